@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analytics being rebuilt are batch-only (full refresh of six tables, then
+views over them); there is no stream, watermark, window-over-time or state in
+them, so this package adds no streaming operators. Incremental refresh is a
+full ``write_model`` followed by re-running the operators.
+"""
