@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import SUM_MONEY, money_sum, month_start
-from ..plans.broadcast import checked_broadcast
+from ..plans.broadcast import one_row
 from ..sources.model import Model
 from .staging import stg_customers
 
@@ -47,7 +47,7 @@ def _campaign_channel_dim(m: Model) -> DataFrame:
     def build():
         dim = m.campaigns.join(m.channels, "channel_id", "left").select(
             "campaign_id", "channel_id", "channel_name", "start_date", "end_date")
-        return checked_broadcast(dim, memo=m._memo, key="campaign_channel")
+        return dim
     return m.memo("campaign_channel_dim", build)
 
 
@@ -144,7 +144,7 @@ def mart_reference_date(m: Model) -> DataFrame:
 
 def reference_row(m: Model) -> DataFrame:
     """M5 marked for broadcast: a global aggregate is always one row."""
-    return F.broadcast(mart_reference_date(m))
+    return one_row(mart_reference_date(m))
 
 
 def mart_ltv_90d(m: Model) -> DataFrame:

@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import pct2, rounded_ratio
+from ..plans.broadcast import one_row
 from ..sources.model import Model
 from .cohort import _cohort_customers, cohort_sizes, mart_channel_retention
 from .marts import (mart_campaign_funnel, mart_campaign_revenue, mart_campaign_spend,
                     mart_customer_revenue, orders_daily)
 from .rfm import mart_customer_rfm
-from .staging import campaigns_dim, stg_campaigns
+from .staging import stg_campaigns
 
 FAILING = T.DecimalType(24, 2)
 
@@ -64,20 +65,16 @@ def _anti_count(fact: DataFrame, key: str, dim: DataFrame, dim_key: str) -> Data
     The fact side is first reduced to (key, rows) so a hot key is one row.
     """
     per_key = fact.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    keys = dim.select(F.col(dim_key).alias(key)).distinct()
+    keys = dim.select(F.col(dim_key).alias(key))
     return per_key.join(keys, key, "left_anti").agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("_v"))
 
 
-def _abs_diff(left: DataFrame, right: DataFrame) -> Column:
-    return F.abs(left["_l"] - right["_r"])
-
-
 def _reconcile(name: str, left: DataFrame, right: DataFrame, round2: bool = False) -> DataFrame:
     """|left - right| of two one-row aggregates named ``_l`` and ``_r``."""
     diff = F.abs(F.col("_l") - F.col("_r"))
     if round2:
         diff = F.round(diff, 2)
-    return left.crossJoin(F.broadcast(right)).select(
+    return left.crossJoin(one_row(right)).select(
         F.lit(name).alias("check_name"), diff.cast(FAILING).alias("failing_rows"))
 
 
@@ -129,9 +126,9 @@ def data_quality_checks(m: Model, sort: bool = False) -> DataFrame:
     for name, fact, key, dim, dim_key in orphan_specs:
         parts.append(_single(name, _anti_count(fact, key, dim, dim_key), F.first("_v")))
 
-    # spend days outside the campaign window (campaign dimension broadcast after a size check)
+    # spend days outside the campaign window
     spend_days = m.daily_campaign_spend.join(
-        campaigns_dim(m).select("campaign_id", "start_date", "end_date"), "campaign_id")
+        m.campaigns.select("campaign_id", "start_date", "end_date"), "campaign_id")
     parts.append(_single("Spend dates within campaign window", spend_days,
                          _count_if((F.col("spend_date") < F.col("start_date"))
                                    | (F.col("spend_date") > F.col("end_date")))))

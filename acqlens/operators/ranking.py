@@ -23,7 +23,11 @@ same numbers are computed with balanced work:
 5. global position = offset + local row number - 1;
    rank = offset + local rank - (earlier rows tied with the bucket's first key).
 
-The only driver work is one count and one bounded sample.
+The only driver work is one count and one bounded sample. Before them the
+input is cut from its lineage with a reliable checkpoint (in the cluster's
+``spark.checkpoint.dir``), so the count, the sample and the final plan read
+the same materialised rows instead of recomputing the order aggregates three
+times, and a lost executor costs a re-read, not a recomputation.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.session import cut_lineage
+
 SAMPLE_PER_BUCKET = 24
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 1024
@@ -147,9 +153,11 @@ def ordered_positions(df: DataFrame, order: list[SortKey], tiebreak: list[str],
 
     ``partition_by`` columns must be low-cardinality (channels, segments): the
     bucket bookkeeping has one row per (partition value, bucket). A ``plan``
-    sampled earlier (from the same rows) skips the sampling job.
+    sampled earlier (from the same rows) skips the sampling job; without one
+    the input is checkpointed first and then counted and sampled.
     """
     if plan is None:
+        df = cut_lineage(df)
         plan = plan_buckets(df, order, tiebreak, partition_by, n, buckets)
     part = plan.partition_by
     keyed = _keyed(df, plan.order, plan.tiebreak, part)

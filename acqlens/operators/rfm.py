@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import cut_lineage
 from ..functions.exprs import SUM_MONEY, avg_round, pct2, rounded_ratio
 from ..sources.model import Model
 from .marts import reference_row, stg_customer_facts
@@ -54,7 +55,7 @@ def segment_rule() -> F.Column:
 def mart_customer_rfm(m: Model) -> DataFrame:
     """M9: R/F/M quintile scores and segment per customer with orders."""
     def build():
-        base = rfm_base(m)
+        base = cut_lineage(rfm_base(m))
         n = base.count()
         # All three samples come from the base rows, before any scoring stage.
         plans = {name: plan_buckets(base, [key], ["customer_id"], n=n) for name, key in SCORES}

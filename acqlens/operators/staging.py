@@ -5,20 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.broadcast import checked_broadcast
 from ..sources.model import Model
 
 
-def _dim(m: Model, name: str, df: DataFrame) -> DataFrame:
-    return checked_broadcast(df, memo=m._memo, key=name)
-
-
 def stg_campaigns(m: Model) -> DataFrame:
     """G1: campaigns with their channel name and duration in days (inner join)."""
     def build():
-        cam = m.campaigns
-        ch = _dim(m, "channels", m.channels)
-        return cam.join(ch, "channel_id").select(
+        return m.campaigns.join(m.channels, "channel_id").select(
             "campaign_id", "channel_id", "channel_name", "campaign_name",
             "start_date", "end_date", "objective",
             F.datediff("end_date", "start_date").alias("campaign_duration_days"),
@@ -26,19 +19,10 @@ def stg_campaigns(m: Model) -> DataFrame:
     return m.memo("stg_campaigns", build)
 
 
-def stg_campaigns_dim(m: Model) -> DataFrame:
-    """G1 with the size-checked broadcast hint, for joining onto large inputs."""
-    return _dim(m, "stg_campaigns", stg_campaigns(m))
-
-
-def campaigns_dim(m: Model) -> DataFrame:
-    return _dim(m, "campaigns", m.campaigns)
-
-
 def stg_customers(m: Model) -> DataFrame:
     """Customers with first-touch campaign, channel id and channel name."""
     def build():
-        sc = stg_campaigns_dim(m).select(
+        sc = stg_campaigns(m).select(
             F.col("campaign_id").alias("first_campaign_id"),
             F.col("channel_id").alias("acquisition_channel_id"),
             F.col("channel_name").alias("acquisition_channel_name"),

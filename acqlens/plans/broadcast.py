@@ -1,12 +1,13 @@
-"""Broadcast policy: hint a join side only after its size has been checked.
-
-Dimension tables (channels, campaigns) are tiny in every known data set, but
-nothing in the schema bounds them. ``checked_broadcast`` reads at most
-``max_rows + 1`` rows of the candidate (a limit, so the probe stops early) and
-only then adds the hint; above the bound the join is left to the planner
-(sort-merge, or AQE's runtime conversion when the shuffle turns out small).
-One-row results (global aggregates) are provably bounded and are broadcast
-directly with ``F.broadcast``.
+"""Broadcast policy.
+
+* Joins against dimension-grain inputs (channels, campaigns, campaign-grain
+  marts) carry **no** hint: Spark's planner broadcasts a side only when its
+  estimated size is under ``spark.sql.autoBroadcastJoinThreshold`` (a size
+  check on plan statistics), and otherwise plans a sort-merge join; adaptive
+  execution re-checks with the real shuffle size at runtime. So a campaign
+  table that unexpectedly grows is never forced into executor memory.
+* ``one_row`` marks global aggregates (no grouping keys): they have exactly
+  one row by construction, the only explicit broadcast in the package.
 """
 
 from __future__ import annotations
@@ -14,24 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIMENSION_ROW_LIMIT = 1_000_000
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DIMENSION_ROW_LIMIT,
-                      memo: dict | None = None, key: str | None = None) -> DataFrame:
-    """``F.broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
 
-    With ``memo``/``key`` the size probe runs once per model.
-    """
-    if memo is not None and key is not None:
-        decision = memo.get(("broadcast", key))
-        if decision is None:
-            decision = fits(df, max_rows)
-            memo[("broadcast", key)] = decision
-    else:
-        decision = fits(df, max_rows)
-    return F.broadcast(df) if decision else df
+def one_row(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a global aggregate (provably one row)."""
+    return F.broadcast(df)
