@@ -93,7 +93,7 @@ def active_cells(m: Model) -> DataFrame:
             months_between_cal("order_month", "cohort_month").alias("months_since_acquisition"),
             "revenue",
         )
-    return m.shared("active_cells", build)
+    return m.memo("active_cells", build)
 
 
 def _cohort_grid(m: Model, keys: list[str]) -> DataFrame:
@@ -122,7 +122,7 @@ def mart_channel_retention(m: Model) -> DataFrame:
             *keys, "months_since_acquisition", "customers_in_scope",
             F.coalesce("active_customers", F.lit(0)).alias("active_customers"),
         ).withColumn("retention_rate_pct", pct2("active_customers", "customers_in_scope"))
-    return m.memo("mart_channel_retention", build)
+    return m.shared("mart_channel_retention", build)
 
 
 def cohort_sizes(m: Model) -> DataFrame:

@@ -26,7 +26,7 @@ from .staging import stg_customers
 
 def orders_daily(m: Model) -> DataFrame:
     """Orders pre-aggregated to (customer_id, order_date)."""
-    return m.shared("orders_daily", lambda: m.orders.groupBy("customer_id", "order_date").agg(
+    return m.memo("orders_daily", lambda: m.orders.groupBy("customer_id", "order_date").agg(
         F.count(F.lit(1)).alias("order_rows"),
         F.count("order_id").alias("order_ids"),
         F.sum("order_amount").alias("amount"),
@@ -35,7 +35,7 @@ def orders_daily(m: Model) -> DataFrame:
 
 def orders_monthly(m: Model) -> DataFrame:
     """Orders per (customer_id, order_month): count and revenue (M7's monthly_orders)."""
-    return m.shared("orders_monthly", lambda: orders_daily(m).groupBy(
+    return m.memo("orders_monthly", lambda: orders_daily(m).groupBy(
         "customer_id", month_start("order_date").alias("order_month")
     ).agg(
         F.sum("order_rows").alias("orders_count"),
@@ -137,7 +137,7 @@ def mart_customer_revenue(m: Model) -> DataFrame:
 
 def mart_reference_date(m: Model) -> DataFrame:
     """M5: latest order date and its month; exactly one row."""
-    return m.memo("mart_reference_date", lambda: m.orders.agg(
+    return m.shared("mart_reference_date", lambda: m.orders.agg(
         F.max("order_date").alias("reference_date"),
     ).select("reference_date", month_start("reference_date").alias("reference_month")))
 

@@ -118,31 +118,58 @@ def _keyed(df: DataFrame, plan_order, tiebreak, part) -> DataFrame:
                                            *[F.col(c) for c in tiebreak]))
 
 
+def _sort_key(value):
+    """Python image of Spark's ascending order on (nested) structs: NULL fields first."""
+    if value is None:
+        return (0,)
+    if hasattr(value, "__fields__"):
+        return (1, tuple(_sort_key(v) for v in value))
+    return (1, value)
+
+
+def plan_buckets_many(df: DataFrame, specs: list[tuple[list[SortKey], list[str], list[str]]],
+                      n: int, buckets: int | None = None) -> list[BucketPlan]:
+    """Boundaries for several orderings of the same rows from ONE bounded sample.
+
+    ``specs`` holds (order, tiebreak, partition_by) triples. The sample is
+    collected once (at most ``B * SAMPLE_PER_BUCKET * 1.5`` rows expected) and
+    sorted per ordering on the driver.
+    """
+    b = buckets or bucket_count(df.sparkSession, n)
+    keyed = df
+    names = []
+    for i, (order, tiebreak, part) in enumerate(specs):
+        k = _keyed(df, order, tiebreak, part).schema["_k"].dataType
+        rk = _rank_key(df, order)
+        keyed = keyed.withColumn(f"_k{i}", F.struct(*[F.col(c) for c in part], rk.alias("_rk"),
+                                                    *[F.col(c) for c in tiebreak]).cast(k))
+        names.append((f"_k{i}", k))
+    plans = []
+    sample = []
+    if n > 0 and b > 1:
+        fraction = min(1.0, (b * SAMPLE_PER_BUCKET * 1.5) / n)
+        sample = keyed.select(*[c for c, _ in names]).sample(False, fraction, SAMPLE_SEED).collect()
+    for (order, tiebreak, part), (col, key_type) in zip(specs, names):
+        bounds = []
+        if sample:
+            keys = sorted((r[col] for r in sample), key=_sort_key)
+            picks = []
+            for i in range(1, b):
+                j = (i * len(keys)) // b
+                if 0 < j < len(keys) and (not picks or picks[-1] != keys[j]):
+                    picks.append(keys[j])
+            bounds = [_literal(p, key_type) for p in picks]
+        plans.append(BucketPlan(list(order), list(tiebreak), list(part), bounds))
+    return plans
+
+
 def plan_buckets(df: DataFrame, order: list[SortKey], tiebreak: list[str],
                  partition_by: list[str] | None = None, n: int | None = None,
                  buckets: int | None = None) -> BucketPlan:
     """Sample ``df`` once (bounded) and fix the bucket boundaries as literals."""
-    part = list(partition_by or [])
-    keyed = _keyed(df, order, tiebreak, part)
     if n is None:
         n = df.count()
-    b = buckets or bucket_count(df.sparkSession, n)
-    bounds: list[Column] = []
-    if n > 0 and b > 1:
-        fraction = min(1.0, (b * SAMPLE_PER_BUCKET * 1.5) / n)
-        sample = keyed.select("_k").sample(False, fraction, SAMPLE_SEED).orderBy("_k").collect()
-        key_type = keyed.schema["_k"].dataType
-        picks = []
-        for i in range(1, b):
-            j = (i * len(sample)) // b
-            if 0 < j < len(sample):
-                picks.append(sample[j]["_k"])
-        distinct = []
-        for p in picks:
-            if not distinct or distinct[-1] != p:
-                distinct.append(p)
-        bounds = [_literal(p, key_type) for p in distinct]
-    return BucketPlan(list(order), list(tiebreak), part, bounds)
+    return plan_buckets_many(df, [(order, tiebreak, list(partition_by or []))], n, buckets)[0]
 
 
 def ordered_positions(df: DataFrame, order: list[SortKey], tiebreak: list[str],
@@ -160,27 +187,30 @@ def ordered_positions(df: DataFrame, order: list[SortKey], tiebreak: list[str],
         df = cut_lineage(df)
         plan = plan_buckets(df, order, tiebreak, partition_by, n, buckets)
     part = plan.partition_by
-    keyed = _keyed(df, plan.order, plan.tiebreak, part)
+    rk = _rank_key(df, plan.order)
+    k = F.struct(*[F.col(c) for c in part], rk.alias("_rk"), *[F.col(c) for c in plan.tiebreak])
     bounds = plan.bounds
-    bucket = _bucket_tree(F.col("_k"), bounds, 0, len(bounds)) if bounds else F.lit(0)
-    keyed = keyed.withColumn("_bucket", bucket)
-
     local = Window.partitionBy(*part, "_bucket")
-    windowed = keyed.withColumn("_rn", F.row_number().over(local.orderBy("_k"))) \
-        .withColumn("_lr", F.rank().over(local.orderBy("_rk")))
+    # one projection for the keys, one for both local windows (each call re-analyses the plan)
+    keyed = df.select("*", rk.alias("_rk"), k.alias("_k"))
+    keyed = keyed.select("*", (_bucket_tree(F.col("_k"), bounds, 0, len(bounds)) if bounds
+                               else F.lit(0)).alias("_bucket"))
+    windowed = keyed.select("*", F.row_number().over(local.orderBy("_k")).alias("_rn"),
+                            F.rank().over(local.orderBy("_rk")).alias("_lr"))
 
+    per_part = Window.partitionBy(*part).orderBy("_bucket")
     stats = windowed.groupBy(*part, "_bucket").agg(
         F.count(F.lit(1)).alias("_cnt"),
         F.max("_lr").alias("_maxlr"),
         F.min("_rk").alias("_kmin"),
         F.max("_rk").alias("_kmax"),
+    ).select(
+        *part, "_bucket", "_kmin", "_kmax",
+        F.coalesce(F.sum("_cnt").over(per_part.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
+        F.sum("_cnt").over(Window.partitionBy(*part)).alias("_n"),
+        (F.col("_cnt") - F.col("_maxlr") + 1).alias("_tail"),
     )
-    per_part = Window.partitionBy(*part).orderBy("_bucket")
-    stats = stats.withColumn(
-        "_off", F.coalesce(F.sum("_cnt").over(per_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).withColumn(
-        "_n", F.sum("_cnt").over(Window.partitionBy(*part))
-    ).withColumn("_tail", F.col("_cnt") - F.col("_maxlr") + 1)
 
     earlier = stats.select(*[F.col(c).alias(f"_e_{c}") for c in part],
                            F.col("_bucket").alias("_e_bucket"),

@@ -14,7 +14,7 @@ from ..plans.session import cut_lineage
 from ..functions.exprs import SUM_MONEY, avg_round, pct2, rounded_ratio
 from ..sources.model import Model
 from .marts import reference_row, stg_customer_facts
-from .ranking import SortKey, distributed_ntile, plan_buckets
+from .ranking import SortKey, distributed_ntile, plan_buckets_many
 
 # Segment names in rule order (first match wins).
 SEGMENTS = ["Champions", "New", "Lapsed", "At Risk", "Loyal", "Needs Attention"]
@@ -29,7 +29,7 @@ SCORES = [
 
 def rfm_base(m: Model) -> DataFrame:
     """Customers with at least one order: recency, frequency, monetary."""
-    return m.shared("rfm_base", lambda: stg_customer_facts(m).where(F.col("order_rows") > 0)
+    return m.memo("rfm_base", lambda: stg_customer_facts(m).where(F.col("order_rows") > 0)
                     .crossJoin(reference_row(m)).select(
         "customer_id",
         "channel_id", "channel_name", "signup_date",
@@ -58,10 +58,10 @@ def mart_customer_rfm(m: Model) -> DataFrame:
         base = cut_lineage(rfm_base(m))
         n = base.count()
         # All three samples come from the base rows, before any scoring stage.
-        plans = {name: plan_buckets(base, [key], ["customer_id"], n=n) for name, key in SCORES}
+        plans = plan_buckets_many(base, [([key], ["customer_id"], []) for _, key in SCORES], n)
         scored = base
-        for name, key in SCORES:
-            scored = distributed_ntile(scored, TILES, [key], ["customer_id"], name, plan=plans[name])
+        for (name, key), plan in zip(SCORES, plans):
+            scored = distributed_ntile(scored, TILES, [key], ["customer_id"], name, plan=plan)
         return scored.select(
             "customer_id", "channel_id", "channel_name", "signup_date", "recency_days",
             "frequency", "monetary", "recency_score", "frequency_score", "monetary_score",

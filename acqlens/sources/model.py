@@ -92,7 +92,7 @@ class Model:
     customers: DataFrame
     leads: DataFrame
     orders: DataFrame
-    persist: bool = False
+    persist: bool = True
     _memo: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
@@ -111,11 +111,16 @@ class Model:
         return self._memo[key]
 
     def shared(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """Memoised intermediate that several operators read.
-
-        With ``persist=True`` it is persisted (memory, spilling to disk) on
-        first use; lost blocks are recomputed from lineage, so executor loss
-        costs time, not correctness. ``release()`` unpersists.
+        """Memoised compact intermediate that several operators (or several
+        branches of one plan) read.
+
+        Catalyst prunes each consumer's columns differently, so identical
+        subplans rarely become one ``ReusedExchange``; persisting (memory,
+        spilling to disk) makes the cache manager substitute one
+        materialisation into every branch. Only compact results go through
+        here (customer grain and smaller), never order-grain data. Lost blocks
+        are recomputed from lineage, so executor loss costs time, not
+        correctness. ``release()`` unpersists; ``persist=False`` disables it.
         """
         def build_and_persist():
             df = build()
