@@ -93,6 +93,7 @@ OPERATORS: dict[str, Callable[[Model], DataFrame]] = {
     "page_channel_table": exports.page_channel_table,
     "page_channel_scatter": exports.page_channel_scatter,
     "page_campaign_table": exports.page_campaign_table,
+    "retention_matrix": cohort.retention_matrix,
     # L1-L8, S7, S8 over the legacy tables derived from the model
     "legacy_ltv_per_user": legacy.ltv_per_user,
     "legacy_top_converting_channel": legacy.top_converting_channel,
@@ -103,7 +104,12 @@ OPERATORS: dict[str, Callable[[Model], DataFrame]] = {
     "legacy_channel_profit": legacy.channel_profit,
     "legacy_cac": legacy.campaign_cac,
     "legacy_row_counts": legacy.row_counts,
+    "legacy_campaigns": lambda m: legacy.legacy_tables(m)["campaigns"],
+    "legacy_conversions": lambda m: legacy.legacy_tables(m)["conversions"],
+    "legacy_daily_spend": lambda m: legacy.legacy_tables(m)["daily_spend"],
+    "legacy_revenue": lambda m: legacy.legacy_tables(m)["revenue"],
     "legacy_users": lambda m: legacy.legacy_tables(m)["users"],
+    "legacy_user_acquisition": lambda m: legacy.legacy_tables(m)["user_acquisition"],
 }
 
 
