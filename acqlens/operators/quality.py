@@ -82,7 +82,15 @@ def _reconcile(name: str, left: DataFrame, right: DataFrame, round2: bool = Fals
 
 def data_quality_checks(m: Model, sort: bool = False) -> DataFrame:
     """V1-V8: keys, required fields, orphans, value ranges, lead consistency,
-    order dates and reconciliations."""
+    order dates and reconciliations.
+
+    Passes over the fact tables: orders 2 (one aggregate for keys, required
+    fields, amounts and the total; one per-(customer, day) aggregate left-joined
+    to customers for orphans and early orders), leads 3 (one aggregate; the
+    per-campaign funnel mart for orphans and the lead total; one
+    per-(customer, campaign, day) aggregate for reuse and lead-vs-customer
+    checks), plus the customer facts the revenue reconciliation needs.
+    """
     parts = []
     parts.append(_rows(m.channels.agg(_dup("channel_id").alias("a")),
                        [("PK uniqueness: channels", F.col("a"))]))
@@ -93,55 +101,76 @@ def data_quality_checks(m: Model, sort: bool = False) -> DataFrame:
     ), [("PK uniqueness: campaigns", F.col("a")),
         ("Required fields: campaigns (channel_id/dates)", F.col("b")),
         ("Campaign dates: end >= start", F.col("c"))]))
-    parts.append(_rows(m.customers.agg(
+
+    customers_agg = m.customers.agg(
         _dup("customer_id").alias("a"),
         _count_if(F.col("first_campaign_id").isNull() | F.col("signup_date").isNull()).alias("b"),
-    ), [("PK uniqueness: customers", F.col("a")),
+        F.count(F.lit(1)).alias("_customers"),
+    )
+    parts.append(_rows(customers_agg, [
+        ("PK uniqueness: customers", F.col("a")),
         ("Required fields: customers (first_campaign_id/signup_date)", F.col("b"))]))
+
     flag, cid = F.col("converted_flag"), F.col("converted_customer_id")
-    parts.append(_rows(m.leads.agg(
+    leads_agg = m.leads.agg(
         _dup("lead_id").alias("a"),
         _count_if((flag & cid.isNull()) | (~flag & cid.isNotNull())).alias("b"),
-    ), [("PK uniqueness: leads", F.col("a")),
-        ("Lead conversion flag consistency", F.col("b"))]))
-    parts.append(_rows(m.orders.agg(
+    )
+    parts.append(_rows(leads_agg, [("PK uniqueness: leads", F.col("a")),
+                                   ("Lead conversion flag consistency", F.col("b"))]))
+
+    orders_agg = m.orders.agg(
         _dup("order_id").alias("a"),
         _count_if(F.col("customer_id").isNull() | F.col("order_date").isNull()
                   | F.col("order_amount").isNull()).alias("b"),
         _count_if(F.col("order_amount") <= 0).alias("c"),
-    ), [("PK uniqueness: orders", F.col("a")),
+        F.sum("order_amount").alias("_orders_total"),
+    )
+    parts.append(_rows(orders_agg, [
+        ("PK uniqueness: orders", F.col("a")),
         ("Required fields: orders (customer_id/order_date/order_amount)", F.col("b")),
         ("Positive order amounts", F.col("c"))]))
-    parts.append(_single("Non-negative spend", m.daily_campaign_spend,
-                         _count_if(F.col("spend_amount") < 0)))
-
-    # orphans (LEFT JOIN ... IS NULL == left anti join)
-    orphan_specs = [
-        ("Orphans: campaigns.channel_id -> channels", m.campaigns, "channel_id", m.channels, "channel_id"),
-        ("Orphans: customers.first_campaign_id -> campaigns", m.customers, "first_campaign_id",
-         m.campaigns, "campaign_id"),
-        ("Orphans: leads.campaign_id -> campaigns", m.leads, "campaign_id", m.campaigns, "campaign_id"),
-        ("Orphans: orders.customer_id -> customers", m.orders, "customer_id", m.customers, "customer_id"),
-    ]
-    for name, fact, key, dim, dim_key in orphan_specs:
-        parts.append(_single(name, _anti_count(fact, key, dim, dim_key), F.first("_v")))
-
-    # spend days outside the campaign window
+
+    spend_agg = m.daily_campaign_spend.agg(
+        _count_if(F.col("spend_amount") < 0).alias("a"),
+        F.sum("spend_amount").alias("_spend_total"),
+    )
+    parts.append(_rows(spend_agg, [("Non-negative spend", F.col("a"))]))
+
+    # orphans (LEFT JOIN ... IS NULL == left anti join) on dimension-grain inputs
+    parts.append(_single("Orphans: campaigns.channel_id -> channels",
+                         _anti_count(m.campaigns, "channel_id", m.channels, "channel_id"), F.first("_v")))
+    parts.append(_single("Orphans: customers.first_campaign_id -> campaigns",
+                         _anti_count(m.customers, "first_campaign_id", m.campaigns, "campaign_id"),
+                         F.first("_v")))
+    funnel = mart_campaign_funnel(m)
+    lead_orphans = funnel.join(m.campaigns.select("campaign_id"), "campaign_id", "left_anti")
+    parts.append(_single("Orphans: leads.campaign_id -> campaigns", lead_orphans,
+                         F.coalesce(F.sum("lead_count"), F.lit(0))))
+
+    # orders per (customer, day) against customers: orphans and orders before signup in one join
+    by_day = orders_daily(m).join(
+        m.customers.select("customer_id", F.col("signup_date").alias("_signup"), F.lit(True).alias("_known")),
+        "customer_id", "left")
+    parts.append(_rows(by_day.agg(
+        F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("order_rows"))), F.lit(0)).alias("a"),
+        F.coalesce(F.sum(F.when(F.col("order_date") < F.col("_signup"), F.col("order_rows"))), F.lit(0)).alias("b"),
+    ), [("Orphans: orders.customer_id -> customers", F.col("a")),
+        ("Order date >= customer signup_date", F.col("b"))]))
+
     spend_days = m.daily_campaign_spend.join(
         m.campaigns.select("campaign_id", "start_date", "end_date"), "campaign_id")
     parts.append(_single("Spend dates within campaign window", spend_days,
                          _count_if((F.col("spend_date") < F.col("start_date"))
                                    | (F.col("spend_date") > F.col("end_date")))))
 
-    reused = m.leads.where(cid.isNotNull()).groupBy("converted_customer_id").agg(
-        F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    # converted-customer checks share one aggregate of leads per (customer, campaign, day, flag)
+    lead_keys = m.leads.where(cid.isNotNull()).groupBy(
+        "converted_customer_id", "campaign_id", "lead_date", "converted_flag").agg(F.count(F.lit(1)).alias("_n"))
+    reused = lead_keys.groupBy("converted_customer_id").agg(F.sum("_n").alias("_n")).where(F.col("_n") > 1)
     parts.append(_single("Converted leads map to exactly one customer each (no duplicate customer reuse)",
                          reused, F.count(F.lit(1))))
-
-    # converted leads vs their customer: leads reduced to (customer, campaign, date) first
-    lead_keys = m.leads.where(flag).groupBy("converted_customer_id", "campaign_id", "lead_date").agg(
-        F.count(F.lit(1)).alias("_n"))
-    lead_vs_customer = lead_keys.join(
+    lead_vs_customer = lead_keys.where(flag).join(
         m.customers.select(F.col("customer_id").alias("converted_customer_id"),
                            "first_campaign_id", "signup_date"), "converted_customer_id")
     parts.append(_rows(lead_vs_customer.agg(
@@ -150,24 +179,22 @@ def data_quality_checks(m: Model, sort: bool = False) -> DataFrame:
     ), [("Converted lead campaign matches customer first_campaign_id", F.col("a")),
         ("Converted lead date matches customer signup_date", F.col("b"))]))
 
-    early = orders_daily(m).join(m.customers.select("customer_id", "signup_date"), "customer_id")
-    parts.append(_single("Order date >= customer signup_date", early,
-                         F.coalesce(F.sum(F.when(F.col("order_date") < F.col("signup_date"),
-                                                 F.col("order_rows"))), F.lit(0))))
-
-    funnel = mart_campaign_funnel(m)
+    # reconciliations from one-row totals (table totals come from the aggregates above)
+    funnel_totals = funnel.agg(F.sum("lead_count").alias("_leads_mart"),
+                               F.sum("acquired_customer_count").alias("_acquired"))
+    leads_total = m.leads.agg(F.count(F.lit(1)).alias("_leads"))
     parts.append(_reconcile("Reconciliation: campaign-level leads sum = table total",
-                            funnel.agg(F.sum("lead_count").alias("_l")),
-                            m.leads.agg(F.count(F.lit(1)).alias("_r"))))
+                            funnel_totals.select(F.col("_leads_mart").alias("_l")),
+                            leads_total.select(F.col("_leads").alias("_r"))))
     parts.append(_reconcile("Reconciliation: campaign-level acquired customers sum = customers table total",
-                            funnel.agg(F.sum("acquired_customer_count").alias("_l")),
-                            m.customers.agg(F.count(F.lit(1)).alias("_r"))))
+                            funnel_totals.select(F.col("_acquired").alias("_l")),
+                            customers_agg.select(F.col("_customers").alias("_r"))))
     parts.append(_reconcile("Reconciliation: campaign-level spend sum = daily_campaign_spend total",
                             mart_campaign_spend(m).agg(F.sum("total_spend").alias("_l")),
-                            m.daily_campaign_spend.agg(F.sum("spend_amount").alias("_r"))))
+                            spend_agg.select(F.col("_spend_total").alias("_r"))))
     parts.append(_reconcile("Reconciliation: customer-level revenue sum = orders total",
                             mart_customer_revenue(m).agg(F.sum("lifetime_revenue_to_date").alias("_l")),
-                            m.orders.agg(F.sum("order_amount").alias("_r"))))
+                            orders_agg.select(F.col("_orders_total").alias("_r"))))
     return _finish(parts, sort)
 
 
