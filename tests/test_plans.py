@@ -9,8 +9,16 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def fresh(spark, sf="/root/testdata/sf0.001"):
+    """A model whose shared marts are not persisted, so plans show the full tree."""
+    spark.catalog.clearCache()
+    m = model_from_driver(spark, sf)
+    m.persist = False
+    return m
+
+
 def test_projection_and_filter_reach_the_scan(spark, tmp_path):
-    m = model_from_driver(spark, "/root/testdata/sf0.001")
+    m = fresh(spark)
     write_model(m, str(tmp_path / "model"), partition_months=True)
     pm = read_parquet_model(spark, str(tmp_path / "model"))
     ref = plan(marts.mart_reference_date(pm))
@@ -20,7 +28,7 @@ def test_projection_and_filter_reach_the_scan(spark, tmp_path):
 
 
 def test_customer_grain_has_no_single_partition_window(spark):
-    m = model_from_driver(spark, "/root/testdata/sf0.001")
+    m = fresh(spark)
     text = plan(rfm.mart_customer_rfm(m)) + plan(metrics.customer_revenue_ranked(m))
     assert "ntile" not in text.lower()
     # the row-level windows are partitioned by range bucket
@@ -28,14 +36,14 @@ def test_customer_grain_has_no_single_partition_window(spark):
 
 
 def test_orders_are_pre_aggregated_before_the_customer_join(spark):
-    m = model_from_driver(spark, "/root/testdata/sf0.001")
+    m = fresh(spark)
     text = plan(marts.mart_customer_revenue(m))
     # partial aggregate on (customer_id, order_date) exists below the join
     assert "partial_count" in text or "partial_sum" in text
 
 
 def test_top_k_per_segment_uses_group_limit(spark):
-    m = model_from_driver(spark, "/root/testdata/sf0.001")
+    m = fresh(spark)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         text = plan(rfm.rfm_sample(m))
@@ -45,7 +53,7 @@ def test_top_k_per_segment_uses_group_limit(spark):
 
 
 def test_cohort_aggregates_do_not_explode_the_spine(spark):
-    m = model_from_driver(spark, "/root/testdata/sf0.001")
+    m = fresh(spark)
     text = plan(cohort.mart_channel_retention(m))
     # the only Generate is over the tiny (channel, cohort) size table
     assert text.count("Generate") == 1
