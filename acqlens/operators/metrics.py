@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import SUM_MONEY, avg_round, pct2, rounded_ratio
 from ..sources.model import Model
 from .marts import (mart_campaign_funnel, mart_campaign_revenue, mart_campaign_spend,
-                    mart_customer_revenue, mart_ltv_90d)
+                    mart_customer_revenue, reference_row, stg_customer_facts)
 from .staging import stg_campaigns
 
 
@@ -154,18 +154,43 @@ def performance_by_channel(m: Model, sort: bool = False) -> DataFrame:
 
 # ------------------------------------------------------------ customer revenue / LTV
 
+def customer_stats(m: Model, level: str) -> DataFrame:
+    """Per-channel (``level="channel"``) or per-first-campaign (``"campaign"``)
+    customer statistics in ONE aggregate over the customer facts: customers,
+    order and lifetime-revenue sums, and the 90-day window counts and sums.
+
+    Every LTV figure (Q4, Q13, Q15-Q17, Q19, Q20, Q23, Q24, X1, X2) is read
+    from this one node, so a query that needs several of them aggregates the
+    customer grain once.
+    """
+    key = "channel_name" if level == "channel" else "first_campaign_id"
+
+    def build():
+        zero = F.lit(0).cast(SUM_MONEY)
+        ltv = F.coalesce(F.col("revenue"), zero)
+        ltv90 = F.coalesce(F.col("revenue_90d"), zero)
+        complete = F.date_add("signup_date", 90) <= F.col("reference_date")
+        return stg_customer_facts(m).crossJoin(reference_row(m)).groupBy(key).agg(
+            F.count("customer_id").alias("customers"),
+            F.sum("order_count").alias("_orders"), F.count("order_count").alias("_n_orders"),
+            F.sum(ltv).cast(SUM_MONEY).alias("_rev"), F.count(ltv).alias("_n"),
+            F.count_if(complete).alias("customers_with_complete_window"),
+            F.count_if(~complete).alias("excluded_incomplete_window"),
+            F.sum(F.when(complete, ltv90)).cast(SUM_MONEY).alias("_s90"),
+            F.count(F.when(complete, ltv90)).alias("_n90"),
+        ).select("*", avg_round("_rev", "_n").alias("avg_ltv_lifetime"),
+                 avg_round("_s90", "_n90").alias("avg_ltv_90d"))
+    return m.shared(f"customer_stats_{level}", build)
+
+
 def customer_revenue_by_channel(m: Model, sort: bool = False) -> DataFrame:
     """Q13: customers, average orders, average and total revenue per channel."""
-    df = mart_customer_revenue(m).groupBy("acquisition_channel_name").agg(
-        F.count(F.lit(1)).alias("customers_acquired"),
-        F.sum("order_count").alias("_orders"), F.count("order_count").alias("_n_orders"),
-        _ssum("lifetime_revenue_to_date").alias("total_revenue_to_date"),
-        F.count("lifetime_revenue_to_date").alias("_n_rev"),
-    ).select(
-        "acquisition_channel_name", "customers_acquired",
+    df = customer_stats(m, "channel").select(
+        F.col("channel_name").alias("acquisition_channel_name"),
+        F.col("customers").alias("customers_acquired"),
         avg_round("_orders", "_n_orders", 2, scale=0).alias("avg_orders_per_customer"),
-        avg_round("total_revenue_to_date", "_n_rev", 2).alias("avg_revenue_per_customer"),
-        "total_revenue_to_date",
+        F.col("avg_ltv_lifetime").alias("avg_revenue_per_customer"),
+        F.col("_rev").alias("total_revenue_to_date"),
     )
     return _order(df, sort, F.col("avg_revenue_per_customer").desc_nulls_first())
 
@@ -180,23 +205,13 @@ def ltv_by_customer(m: Model, sort: bool = False) -> DataFrame:
 
 
 def channel_ltv(m: Model) -> DataFrame:
-    """Rounded mean lifetime LTV per channel (shared by Q4, Q15, Q19, Q24, X2)."""
-    return m.memo("channel_ltv", lambda: mart_customer_revenue(m).groupBy(
-        F.col("acquisition_channel_name").alias("channel_name")
-    ).agg(
-        F.count(F.lit(1)).alias("customers"),
-        _ssum("lifetime_revenue_to_date").alias("_rev"),
-        F.count("lifetime_revenue_to_date").alias("_n"),
-    ).select("channel_name", "customers", avg_round("_rev", "_n").alias("avg_ltv_lifetime")))
+    """Rounded mean lifetime LTV per channel."""
+    return customer_stats(m, "channel").select("channel_name", "customers", "avg_ltv_lifetime")
 
 
 def campaign_ltv(m: Model) -> DataFrame:
     """Rounded mean lifetime LTV per first campaign."""
-    return m.memo("campaign_ltv", lambda: mart_customer_revenue(m).groupBy("first_campaign_id").agg(
-        F.count("customer_id").alias("customers"),
-        _ssum("lifetime_revenue_to_date").alias("_rev"),
-        F.count("lifetime_revenue_to_date").alias("_n"),
-    ).select("first_campaign_id", "customers", avg_round("_rev", "_n").alias("avg_ltv_lifetime")))
+    return customer_stats(m, "campaign").select("first_campaign_id", "customers", "avg_ltv_lifetime")
 
 
 def ltv_by_channel(m: Model, sort: bool = False) -> DataFrame:
@@ -224,33 +239,19 @@ def ltv_by_campaign(m: Model, sort: bool = False) -> DataFrame:
     return _order(df, sort, F.col("avg_lifetime_ltv").desc_nulls_first())
 
 
-def _ltv90_aggs():
-    complete = F.col("window_complete")
-    return [
-        F.count_if(complete).alias("customers_with_complete_window"),
-        F.count_if(~complete).alias("excluded_incomplete_window"),
-        F.sum(F.when(complete, F.col("ltv_90d"))).cast(SUM_MONEY).alias("_s90"),
-        F.count(F.when(complete, F.col("ltv_90d"))).alias("_n90"),
-    ]
-
-
 def ltv_90d_by_channel(m: Model, sort: bool = False) -> DataFrame:
     """Q17: complete / incomplete 90-day windows and mean 90-day LTV of complete ones."""
-    df = mart_ltv_90d(m).groupBy("channel_name").agg(*_ltv90_aggs()).select(
-        "channel_name", "customers_with_complete_window", "excluded_incomplete_window",
-        avg_round("_s90", "_n90").alias("avg_ltv_90d"),
-    )
+    df = customer_stats(m, "channel").select(
+        "channel_name", "customers_with_complete_window", "excluded_incomplete_window", "avg_ltv_90d")
     return _order(df, sort, F.col("avg_ltv_90d").desc_nulls_last())
 
 
 def channel_ltv_90d(m: Model) -> DataFrame:
-    return m.memo("channel_ltv_90d", lambda: mart_ltv_90d(m).groupBy("channel_name").agg(
-        *_ltv90_aggs()).select("channel_name", avg_round("_s90", "_n90").alias("avg_ltv_90d")))
+    return customer_stats(m, "channel").select("channel_name", "avg_ltv_90d")
 
 
 def campaign_ltv_90d(m: Model) -> DataFrame:
-    return m.memo("campaign_ltv_90d", lambda: mart_ltv_90d(m).groupBy("first_campaign_id").agg(
-        *_ltv90_aggs()).select("first_campaign_id", avg_round("_s90", "_n90").alias("avg_ltv_90d")))
+    return customer_stats(m, "campaign").select("first_campaign_id", "avg_ltv_90d")
 
 
 # ------------------------------------------------------------ LTV:CAC
@@ -412,7 +413,7 @@ def channel_metrics(m: Model) -> DataFrame:
             (F.col("revenue_lifetime_to_date") - F.col("total_spend")).cast(SUM_MONEY)
             .alias("marketing_contribution"),
         )
-    return m.memo("channel_metrics", build)
+    return m.shared("channel_metrics", build)
 
 
 def overall_avg_cac(m: Model) -> DataFrame:

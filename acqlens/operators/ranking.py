@@ -174,14 +174,17 @@ def plan_buckets(df: DataFrame, order: list[SortKey], tiebreak: list[str],
 
 def ordered_positions(df: DataFrame, order: list[SortKey], tiebreak: list[str],
                       partition_by: list[str] | None = None, n: int | None = None,
-                      buckets: int | None = None, plan: BucketPlan | None = None) -> DataFrame:
+                      buckets: int | None = None, plan: BucketPlan | None = None,
+                      with_rank: bool = True) -> DataFrame:
     """Add ``_pos`` (0-based position in the partition), ``_n`` (partition size)
     and ``_rank`` (SQL RANK over ``order``) to every row of ``df``.
 
     ``partition_by`` columns must be low-cardinality (channels, segments): the
     bucket bookkeeping has one row per (partition value, bucket). A ``plan``
     sampled earlier (from the same rows) skips the sampling job; without one
-    the input is checkpointed first and then counted and sampled.
+    the input is checkpointed first and then counted and sampled. With
+    ``with_rank=False`` only ``_pos`` and ``_n`` are produced (one local
+    window, no tie bookkeeping).
     """
     if plan is None:
         df = cut_lineage(df)
@@ -195,6 +198,8 @@ def ordered_positions(df: DataFrame, order: list[SortKey], tiebreak: list[str],
     keyed = df.select("*", rk.alias("_rk"), k.alias("_k"))
     keyed = keyed.select("*", (_bucket_tree(F.col("_k"), bounds, 0, len(bounds)) if bounds
                                else F.lit(0)).alias("_bucket"))
+    if not with_rank:
+        return _positions_only(df, keyed, part, local)
     windowed = keyed.select("*", F.row_number().over(local.orderBy("_k")).alias("_rn"),
                             F.rank().over(local.orderBy("_rk")).alias("_lr"))
 
@@ -234,6 +239,19 @@ def ordered_positions(df: DataFrame, order: list[SortKey], tiebreak: list[str],
     )
 
 
+def _positions_only(df: DataFrame, keyed: DataFrame, part: list[str], local) -> DataFrame:
+    windowed = keyed.select("*", F.row_number().over(local.orderBy("_k")).alias("_rn"))
+    per_part = Window.partitionBy(*part).orderBy("_bucket")
+    offsets = windowed.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_cnt")).select(
+        *part, "_bucket",
+        F.coalesce(F.sum("_cnt").over(per_part.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
+        F.sum("_cnt").over(Window.partitionBy(*part)).alias("_n"),
+    )
+    out = windowed.join(offsets, [*part, "_bucket"]) if part else windowed.join(offsets, "_bucket")
+    return out.select(*df.columns, (F.col("_off") + F.col("_rn") - 1).alias("_pos"), F.col("_n"))
+
+
 def ntile_from_position(k: int, pos: str = "_pos", n: str = "_n") -> Column:
     """NTILE(k) from a 0-based position: the first ``n % k`` tiles get one extra row."""
     def div(a, b):
@@ -249,8 +267,8 @@ def ntile_from_position(k: int, pos: str = "_pos", n: str = "_n") -> Column:
 def distributed_ntile(df: DataFrame, k: int, order: list[SortKey], tiebreak: list[str],
                       name: str, n: int | None = None, plan: BucketPlan | None = None) -> DataFrame:
     """``NTILE(k) OVER (ORDER BY order, tiebreak)`` as column ``name``."""
-    pos = ordered_positions(df, order, tiebreak, n=n, plan=plan)
-    return pos.withColumn(name, ntile_from_position(k)).drop("_pos", "_n", "_rank")
+    pos = ordered_positions(df, order, tiebreak, n=n, plan=plan, with_rank=False)
+    return pos.select(*df.columns, ntile_from_position(k).alias(name))
 
 
 def distributed_rank(df: DataFrame, partition_by: list[str], order: list[SortKey],
@@ -266,7 +284,7 @@ def group_median(df: DataFrame, group: str, value: str, tiebreak: str) -> DataFr
     Returns (group, median) with the median as an exact decimal midpoint.
     """
     src = df.select(group, value, tiebreak).where(F.col(value).isNotNull())
-    pos = ordered_positions(src, [SortKey(value)], [tiebreak], partition_by=[group])
+    pos = ordered_positions(src, [SortKey(value)], [tiebreak], partition_by=[group], with_rank=False)
     lo = F.floor((F.col("_n") - 1) / 2)
     hi = F.floor(F.col("_n") / 2)
     mids = pos.where((F.col("_pos") == lo) | (F.col("_pos") == hi))

@@ -115,17 +115,21 @@ class Model:
         branches of one plan) read.
 
         Catalyst prunes each consumer's columns differently, so identical
-        subplans rarely become one ``ReusedExchange``; persisting (memory,
-        spilling to disk) makes the cache manager substitute one
-        materialisation into every branch. Only compact results go through
-        here (customer grain and smaller), never order-grain data. Lost blocks
-        are recomputed from lineage, so executor loss costs time, not
-        correctness. ``release()`` unpersists; ``persist=False`` disables it.
+        subplans rarely become one ``ReusedExchange``. On the second request
+        the intermediate is persisted (memory, spilling to disk); the cache
+        manager then substitutes one materialisation into every branch, also
+        into plans built from the first request. A single consumer pays
+        nothing. Only compact results go through here (customer grain and
+        smaller), never order-grain data. Lost blocks are recomputed from
+        lineage, so executor loss costs time, not correctness. ``release()``
+        unpersists; ``persist=False`` disables it.
         """
-        def build_and_persist():
-            df = build()
-            return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
-        return self.memo(key, build_and_persist)
+        uses = self._memo.get(("uses", key), 0) + 1
+        self._memo[("uses", key)] = uses
+        df = self.memo(key, build)
+        if self.persist and uses == 2:
+            df.persist(StorageLevel.MEMORY_AND_DISK)
+        return df
 
     def release(self) -> None:
         for value in self._memo.values():
