@@ -114,10 +114,13 @@ OPERATORS: dict[str, Callable[[Model], DataFrame]] = {
 
 
 def normalize(df: DataFrame) -> DataFrame:
-    """Engine-neutral output types for comparisons: DECIMAL -> DOUBLE, small ints -> BIGINT."""
+    """Engine-neutral output types for comparisons: DECIMAL -> DOUBLE, small ints -> BIGINT,
+    DATE -> ISO 'yyyy-MM-dd' string (engines and pandas disagree on date objects)."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, T.DecimalType):
+        if isinstance(f.dataType, T.DateType):
+            cols.append(F.date_format(F.col(f.name), "yyyy-MM-dd").alias(f.name))
+        elif isinstance(f.dataType, T.DecimalType):
             cols.append(F.col(f.name).cast("double").alias(f.name))
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             cols.append(F.col(f.name).cast("bigint").alias(f.name))

@@ -19,6 +19,12 @@ def test_every_query_has_an_oracle():
     assert sorted(QUERIES) == sorted(SQL)
 
 
+def test_no_date_objects_cross_the_engine_boundary(con):
+    for name, sql in SQL.items():
+        desc = con.execute(f"SELECT * FROM ({sql}) __q LIMIT 0").description
+        assert not [d[0] for d in desc if str(d[1]) in ("DATE", "TIMESTAMP")], name
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_matches_oracle(spark, con, name):
     result = compare(spark, con, name, SF, QUERIES[name], SQL.get(name))
