@@ -62,17 +62,33 @@ def mart_customer_cohort_spine(m: Model) -> DataFrame:
 
 
 def mart_customer_month_activity(m: Model) -> DataFrame:
-    """M7: the spine left-joined to monthly orders; ``is_active`` = a match exists."""
-    mo = orders_monthly(m).select(
-        "customer_id", F.col("order_month").alias("activity_month"),
-        F.col("orders_count").alias("_oc"), F.col("revenue").alias("_rev"),
-        F.lit(True).alias("_hit"))
-    return mart_customer_cohort_spine(m).join(mo, ["customer_id", "activity_month"], "left").select(
+    """M7: the spine left-joined to monthly orders; ``is_active`` = a match exists.
+
+    The exploded spine is never shuffled: each customer's months with orders
+    are first gathered into a map (bounded by the calendar months of the data,
+    also for a customer that owns a third of all orders), joined to the
+    customer at customer grain, and the spine is generated after the join,
+    reading its month's entry from the map.
+    """
+    months = orders_monthly(m).groupBy("customer_id").agg(F.map_from_entries(F.collect_list(
+        F.struct("order_month", F.struct("orders_count", "revenue")))).alias("_months"))
+    spine = stg_customers(m).crossJoin(reference_row(m)).join(months, "customer_id", "left")
+    cohort = month_start("signup_date")
+    exploded = spine.select(
+        "customer_id",
+        cohort.alias("cohort_month"),
+        F.col("acquisition_channel_id").alias("channel_id"),
+        F.col("acquisition_channel_name").alias("channel_name"),
+        "_months",
+        F.explode(_month_series(cohort, F.col("reference_month"))).alias("activity_month"),
+    )
+    hit = F.col("_months")[F.col("activity_month")]
+    return exploded.select(
         "customer_id", "cohort_month", "channel_id", "channel_name", "activity_month",
-        "months_since_acquisition",
-        F.coalesce("_oc", F.lit(0)).cast("bigint").alias("orders_count"),
-        F.coalesce("_rev", F.lit(0).cast(SUM_MONEY)).alias("revenue"),
-        F.coalesce("_hit", F.lit(False)).alias("is_active"),
+        months_between_cal("activity_month", "cohort_month").alias("months_since_acquisition"),
+        F.coalesce(hit["orders_count"], F.lit(0)).cast("bigint").alias("orders_count"),
+        F.coalesce(hit["revenue"], F.lit(0).cast(SUM_MONEY)).alias("revenue"),
+        hit.isNotNull().alias("is_active"),
     )
 
 
