@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..functions.exprs import SUM_MONEY, rounded_ratio
 from ..sources.model import Model
-from .marts import mart_campaign_funnel, mart_reference_date, orders_daily
+from .marts import mart_campaign_funnel, mart_reference_date
 from .staging import stg_campaigns
 
 PROBABILITY = T.DecimalType(5, 4)
@@ -46,7 +46,7 @@ def legacy_tables(m) -> dict[str, DataFrame]:
         return m
 
     def build_users():
-        last = orders_daily(m).groupBy("customer_id").agg(F.max("order_date").alias("_last"))
+        last = m.orders.groupBy("customer_id").agg(F.max("order_date").alias("_last"))
         ref = F.broadcast(mart_reference_date(m).select("reference_date"))
         recency = F.datediff("reference_date", "_last")
         proxy = F.least(rounded_ratio(recency, F.lit(CHURN_HORIZON_DAYS), 4, 0, 0),

@@ -16,7 +16,8 @@ same numbers are computed with balanced work:
    Because ``K`` ends in a unique id, one key value shared by a third of all
    rows is still split across many buckets.
 3. Each bucket is shuffled to one task and windowed locally
-   (``row_number`` and ``rank`` within the bucket).
+   (``row_number`` and ``rank`` within the bucket). The bucket count grows
+   with the data (50k to 1M rows per bucket, at most 1024 buckets).
 4. Per-(partition, bucket) counts, first/last rank key and the size of the
    last tie run (at most ``B + groups`` rows) give each bucket's offset and
    the number of rows of a tie that started in earlier buckets.
@@ -42,7 +43,8 @@ from pyspark.sql import types as T
 from ..plans.session import cut_lineage
 
 SAMPLE_PER_BUCKET = 24
-ROWS_PER_BUCKET = 2_000_000
+MIN_ROWS_PER_BUCKET = 50_000    # below this, more buckets only add scheduling
+MAX_ROWS_PER_BUCKET = 1_000_000  # one task sorts at most this many rows
 MAX_BUCKETS = 1024
 SAMPLE_SEED = 1729
 
@@ -99,8 +101,11 @@ def _bucket_tree(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
 
 
 def bucket_count(spark, n: int) -> int:
+    """Buckets grow with the data: at least ``MIN_ROWS_PER_BUCKET`` rows each up to
+    the shuffle parallelism, and never more than ``MAX_ROWS_PER_BUCKET`` rows."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(MAX_BUCKETS, max(parts, math.ceil(n / ROWS_PER_BUCKET)), max(n, 1)))
+    wanted = max(math.ceil(n / MAX_ROWS_PER_BUCKET), min(parts, math.ceil(n / MIN_ROWS_PER_BUCKET)))
+    return max(1, min(MAX_BUCKETS, wanted))
 
 
 @dataclass

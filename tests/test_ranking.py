@@ -78,3 +78,19 @@ def test_ntile_small_groups_f11_f12(spark, n, expected):
 def test_empty_input(spark):
     df = spark.range(0).select(F.col("id"), F.lit(1).alias("k"))
     assert distributed_ntile(df, 5, [SortKey("k")], ["id"], "t").count() == 0
+
+
+def test_bucket_count_grows_with_data(spark):
+    from acqlens.operators import ranking
+    assert ranking.bucket_count(spark, 1_500) == 1
+    assert ranking.bucket_count(spark, 10_000_000) >= 10          # <= 1M rows per bucket
+    assert ranking.bucket_count(spark, 10**12) == ranking.MAX_BUCKETS
+
+
+def test_automatic_bucketing_matches_window(spark, lines, monkeypatch):
+    from acqlens.operators import ranking
+    monkeypatch.setattr(ranking, "MIN_ROWS_PER_BUCKET", 5_000)
+    monkeypatch.setattr(ranking, "MAX_ROWS_PER_BUCKET", 10_000)   # 60k rows -> 6 buckets
+    expected = lines.withColumn("t", F.ntile(5).over(Window.orderBy(F.col("q").desc(), "id")))
+    got = distributed_ntile(lines, 5, [SortKey("q", ascending=False)], ["id"], "t")
+    assert _diff(expected, got, ["id", "t"]) == 0
