@@ -51,18 +51,18 @@ def build_session(
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (local tests) a private folder under the system temp dir is created and set,
-    so a cluster job never writes lineage cuts to machine-local disk.
+    The context's checkpoint directory (initialised from ``spark.checkpoint.dir``)
+    is used as is. Only when nothing is configured (local tests) a private
+    folder under the system temp dir is set on the context, so a cluster job
+    never writes lineage cuts to machine-local disk.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getCheckpointDir()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="acqlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="acqlens-ckpt-")
+    sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
