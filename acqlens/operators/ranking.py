@@ -19,8 +19,9 @@ same numbers are computed with balanced work:
    (``row_number`` and ``rank`` within the bucket). The bucket count grows
    with the data (50k to 1M rows per bucket, at most 1024 buckets).
 4. Per-(partition, bucket) counts, first/last rank key and the size of the
-   last tie run (at most ``B + groups`` rows) give each bucket's offset and
-   the number of rows of a tie that started in earlier buckets.
+   last tie run (at most ``B + groups`` rows) give, through window functions
+   over those few rows, each bucket's offset and the number of rows of a tie
+   that started in earlier buckets.
 5. global position = offset + local row number - 1;
    rank = offset + local rank - (earlier rows tied with the bucket's first key).
 
@@ -222,16 +223,19 @@ def ordered_positions(df: DataFrame, order: list[SortKey], tiebreak: list[str],
         (F.col("_cnt") - F.col("_maxlr") + 1).alias("_tail"),
     )
 
-    earlier = stats.select(*[F.col(c).alias(f"_e_{c}") for c in part],
-                           F.col("_bucket").alias("_e_bucket"),
-                           F.col("_kmax").alias("_e_kmax"), F.col("_tail").alias("_e_tail"))
-    cond = [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in part]
-    cond += [F.col("_e_kmax") == F.col("_kmin"), F.col("_e_bucket") < F.col("_bucket")]
-    join_cond = cond[0]
-    for c in cond[1:]:
-        join_cond = join_cond & c
-    ties = stats.join(earlier, join_cond, "left").groupBy(*part, "_bucket", "_off", "_n", "_kmin").agg(
-        F.coalesce(F.sum("_e_tail"), F.lit(0)).alias("_tied_before"))
+    # Rows of earlier buckets tied with this bucket's first key: those buckets form a
+    # contiguous run right before it whose last key equals that key (keys are
+    # monotone over buckets), so a running sum of tie tails per last key, read
+    # from the previous bucket, gives the count - window functions only.
+    by_last_key = Window.partitionBy(*part, "_kmax").orderBy("_bucket") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prev = Window.partitionBy(*part).orderBy("_bucket")
+    runs = stats.select("*", F.sum("_tail").over(by_last_key).alias("_run"))
+    ties = runs.select(
+        *part, "_bucket", "_off", "_n", "_kmin",
+        F.when(F.lag("_kmax").over(prev) == F.col("_kmin"), F.lag("_run").over(prev))
+        .otherwise(F.lit(0)).alias("_tied_before"),
+    )
 
     out = windowed.join(ties, [*part, "_bucket"]) if part else windowed.join(ties, "_bucket")
     return out.select(
