@@ -12,7 +12,7 @@ from ..sources.model import Model
 from .cohort import mart_channel_retention, pbi_cohort_retention
 from .marts import (mart_campaign_funnel, mart_campaign_revenue, mart_campaign_spend,
                     mart_customer_revenue, mart_reference_date)
-from .metrics import (campaign_ltv, channel_ltv, channel_ltv_90d, channel_metrics, overall_avg_cac,
+from .metrics import (channel_ltv, channel_ltv_90d, channel_metrics, overall_avg_cac,
                       profitability_by_campaign, retention_at)
 from .rfm import pbi_rfm_segments
 
@@ -176,5 +176,5 @@ __all__ = [
     "pbi_campaign_performance", "pbi_channel_performance", "pbi_executive_summary",
     "pbi_monthly_trend", "kpi_totals", "blended_measures", "slice_channels",
     "page_channel_table", "page_channel_scatter", "page_campaign_table",
-    "export_frames", "write_dashboard_exports", "campaign_ltv",
+    "export_frames", "write_dashboard_exports",
 ]

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from ..functions.exprs import SUM_MONEY, money_sum, month_start
 from ..plans.broadcast import one_row
 from ..sources.model import Model
-from .staging import stg_customers
 
 
 # ---------------------------------------------------------------- shared
