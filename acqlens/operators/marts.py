@@ -54,34 +54,52 @@ def _campaign_channel_dim(m: Model) -> DataFrame:
     return m.memo("campaign_channel_dim", build)
 
 
+CUSTOMER_KEYS = ["customer_id", "first_campaign_id", "channel_id", "channel_name",
+                 "signup_date", "region", "start_date", "end_date"]
+
+
 def customer_facts(m: Model) -> DataFrame:
     """One row per customer (joined to its first campaign) with order measures.
 
     ``channel_name`` is NULL when the campaign's channel is missing; such
     customers count for campaign revenue (M3 joins campaigns only) but not for
     the ``stg_customers``-based marts.
+
+    ``copies`` counts identical customer rows (1 unless the primary key is
+    violated). ``copy_*`` columns hold one copy's measures (what RFM reports per
+    row); the unprefixed measures are multiplied by ``copies``, as a join of
+    every copy to the orders followed by a GROUP BY yields. The customer side is
+    partitioned by ``customer_id`` once, which both the copy count and the join
+    reuse.
     """
     def build():
         base = m.customers.join(
             _campaign_channel_dim(m),
             F.col("first_campaign_id") == F.col("campaign_id"),
         ).drop("campaign_id")
-        daily = orders_daily(m)
-        joined = base.join(daily, "customer_id", "left")
+        rows = base.repartition("customer_id").groupBy(*CUSTOMER_KEYS).agg(
+            F.count(F.lit(1)).alias("copies"))
+        joined = rows.join(orders_daily(m), "customer_id", "left")
         in_window = F.col("order_date").between(F.col("start_date"), F.col("end_date"))
         in_90d = F.col("order_date") <= F.date_add("signup_date", 90)
-        return joined.groupBy(
-            "customer_id", "first_campaign_id", "channel_id", "channel_name",
-            "signup_date", "region", "start_date", "end_date",
-        ).agg(
-            F.coalesce(F.sum("order_rows"), F.lit(0)).alias("order_rows"),
-            F.coalesce(F.sum("order_ids"), F.lit(0)).alias("order_count"),
-            F.sum("amount").cast(SUM_MONEY).alias("revenue"),
-            F.sum(F.when(in_window, F.col("amount"))).cast(SUM_MONEY).alias("revenue_in_window"),
-            F.sum(F.when(in_90d, F.col("amount"))).cast(SUM_MONEY).alias("revenue_90d"),
+        per_copy = joined.groupBy(*CUSTOMER_KEYS, "copies").agg(
+            F.coalesce(F.sum("order_rows"), F.lit(0)).alias("copy_order_rows"),
+            F.coalesce(F.sum("order_ids"), F.lit(0)).alias("copy_order_count"),
+            F.sum("amount").cast(SUM_MONEY).alias("copy_revenue"),
+            F.sum(F.when(in_window, F.col("amount"))).cast(SUM_MONEY).alias("copy_revenue_in_window"),
+            F.sum(F.when(in_90d, F.col("amount"))).cast(SUM_MONEY).alias("copy_revenue_90d"),
             F.min("order_date").alias("first_order_date"),
             F.max("order_date").alias("last_order_date"),
         )
+        k = F.col("copies")
+        return per_copy.select(
+            "*",
+            (F.col("copy_order_rows") * k).alias("order_rows"),
+            (F.col("copy_order_count") * k).alias("order_count"),
+            (F.col("copy_revenue") * k).cast(SUM_MONEY).alias("revenue"),
+            (F.col("copy_revenue_in_window") * k).cast(SUM_MONEY).alias("revenue_in_window"),
+            (F.col("copy_revenue_90d") * k).cast(SUM_MONEY).alias("revenue_90d"),
+        )
     return m.shared("customer_facts", build)
 
 

@@ -28,16 +28,21 @@ SCORES = [
 
 
 def rfm_base(m: Model) -> DataFrame:
-    """Customers with at least one order: recency, frequency, monetary."""
-    return m.memo("rfm_base", lambda: stg_customer_facts(m).where(F.col("order_rows") > 0)
+    """Customers with at least one order: recency, frequency, monetary.
+
+    One row per customer row (a duplicated customer row stays duplicated, each
+    copy with the customer's own order measures, as the join it mirrors does).
+    """
+    return m.memo("rfm_base", lambda: stg_customer_facts(m).where(F.col("copy_order_rows") > 0)
                     .crossJoin(reference_row(m)).select(
         "customer_id",
         "channel_id", "channel_name", "signup_date",
-        F.col("order_rows").alias("frequency"),
-        F.col("revenue").alias("monetary"),
+        F.col("copy_order_rows").alias("frequency"),
+        F.col("copy_revenue").alias("monetary"),
         "last_order_date",
         F.datediff("reference_date", "last_order_date").alias("recency_days"),
-    ))
+        F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
+    ).drop("_copy"))
 
 
 def segment_rule() -> F.Column:

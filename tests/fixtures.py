@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
+from pyspark.sql import types as T
+
 from acqlens.sources.model import TABLES, Model
 
 
@@ -16,12 +18,19 @@ def M(x) -> Decimal:
     return Decimal(str(x)).quantize(Decimal("0.01"))
 
 
-def make_model(spark, channels=(), campaigns=(), spend=(), customers=(), leads=(), orders=()) -> Model:
+def make_model(spark, channels=(), campaigns=(), spend=(), customers=(), leads=(), orders=(),
+               nullable: bool = False) -> Model:
+    """A model from row tuples; ``nullable=True`` admits NULLs in NOT NULL columns
+    (to exercise the required-field checks)."""
     rows = {
         "channels": channels, "campaigns": campaigns, "daily_campaign_spend": spend,
         "customers": customers, "leads": leads, "orders": orders,
     }
-    frames = {name: spark.createDataFrame(list(rows[name]), TABLES[name]) for name in TABLES}
+    frames = {}
+    for name, schema in TABLES.items():
+        if nullable:
+            schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+        frames[name] = spark.createDataFrame(list(rows[name]), schema)
     return Model(**frames)
 
 
