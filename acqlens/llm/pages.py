@@ -1,0 +1,210 @@
+"""Main text of web pages by nearest-URL page differencing.
+
+Pages are range-partitioned and sorted by (host, path), so one host's pages may
+lie in several tasks, and each page is paired with the neighbour of its host
+whose path shares the longer prefix. The text lines (blocks) of the two pages are
+aligned by longest common subsequence; aligned lines are what the site repeats
+and are deleted. A page's mark-up then checks the deletion: lines inside an
+article or main element come back (pages of one host may carry one article), and
+unshared lines inside menus, headers, footers, sidebars, notices, adverts, forms
+or reader comments, or beside an article element, go.
+
+Lines: character references decoded, white space inside a block turned into one
+space, trimmed, blocks joined by a line break. Blocks end at block elements; a br
+is white space. Scripts, styles, head, hidden elements and comments give no line.
+
+Defined cases: null html is an empty page and gives empty text; a null url has no
+host and no partner; repeated rows are each extracted; a page without a partner
+in its task keeps what the mark-up allows; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from os.path import commonprefix
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from acqlens.llm import words as W
+from acqlens.llm.urls import host_of, path_of
+
+ARTICLE, PLAIN, ASIDE = "article", "plain", "aside"
+
+# HTML element names and common container names.
+BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption
+figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td
+tfoot th thead tr ul""".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+SILENT = frozenset("head title script style template noscript svg iframe object canvas select textarea button audio video".split())
+CHROME = frozenset("nav aside footer form menu dialog".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+CLOSED_BY_SELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|menu"
+                   r"|modal|navbar|navigation|newsletter|notices?|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*"
+                   r"|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+class Blocks(HTMLParser):
+    """Collects (line, ARTICLE | PLAIN | ASIDE) in page order."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.lines: list[tuple[str, str]] = []
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # name, silent, aside, article
+        self.text: list[str] = []
+
+    def _flush(self) -> None:
+        line = " ".join("".join(self.text).split())
+        self.text.clear()
+        if line:
+            _, silent, aside, article = self.stack[-1] if self.stack else ("", False, False, False)
+            if not silent:
+                self.lines.append((line, ASIDE if aside else ARTICLE if article else PLAIN))
+
+    def _close_paragraph(self, tag: str) -> None:
+        for depth in range(len(self.stack) - 1, -1, -1):
+            name = self.stack[depth][0]
+            if name == tag or name == "p":
+                del self.stack[depth:]
+                return
+            if name in CLOSED_BY_SELF.get(tag, ()) or name in BLOCKS:
+                return
+
+    def handle_starttag(self, tag, attrs):
+        block = tag in BLOCKS
+        if block:
+            self._flush()
+            self._close_paragraph(tag if tag in CLOSED_BY_SELF else "p")
+        elif tag == "br":
+            self.text.append(" ")
+        if tag in VOID:
+            return
+        _, silent, aside, article = self.stack[-1] if self.stack else ("", False, False, False)
+        known = dict(attrs)
+        named = f"{known.get('class') or ''} {known.get('id') or ''}"
+        silent_here = (tag in SILENT or "hidden" in known or known.get("aria-hidden") == "true"
+                       or bool(HIDDEN.search(known.get("style") or "")))
+        aside_here = (tag in CHROME or (tag == "header" and not article) or known.get("role") in ROLES
+                      or (tag not in ("html", "body", "main") and bool(NAMES.search(named))))
+        article_here = tag in ("article", "main") or known.get("role") in ("main", "article")
+        if block or silent_here or aside_here or article_here:
+            if not block:
+                self._flush_inline(silent_here or aside_here)
+            self.stack.append((tag, silent or silent_here, aside or aside_here, article or article_here))
+
+    def _flush_inline(self, ends: bool) -> None:
+        if ends:  # an inline element with another fate than its block: its text is a line of its own
+            self._flush()
+
+    def handle_endtag(self, tag):
+        if tag in BLOCKS:
+            self._flush()
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if self.stack[depth][0] == tag:
+                self._flush()
+                del self.stack[depth:]
+                return
+            if self.stack[depth][0] in ("article", "main", "body") and tag not in ("body", "html", "article", "main"):
+                return
+
+    def handle_data(self, data):
+        self.text.append(data)
+
+
+def lines_of(html: str | None) -> list[tuple[str, str]]:
+    """The text lines of a page with their place in the mark-up."""
+    parser = Blocks()
+    parser.feed(html or "")
+    parser.close()
+    parser._flush()
+    return parser.lines
+
+
+def aligned(a: list[str], b: list[str]) -> set[int]:
+    """Places in ``a`` of a longest common subsequence of a and b (bit-parallel rows, read back)."""
+    where: dict[str, int] = {}
+    for j, line in enumerate(b):
+        where[line] = where.get(line, 0) | 1 << j
+    mask = (1 << len(b)) - 1
+    row, rows = mask, [mask]  # a zero bit j: the subsequence grows at b's line j
+    for line in a:
+        match = where.get(line, 0)
+        carry = row & match
+        row = ((row + carry) | (row - carry)) & mask
+        rows.append(row)
+    out: set[int] = set()
+    i, j = len(a), len(b)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if rows[i] >> (j - 1) & 1:  # only line i of a reaches this far: it is aligned with line j - 1 of b
+            out.add(i)
+            j -= 1
+    return out
+
+
+def main_lines(page: list[tuple[str, str]], partner: list[tuple[str, str]] | None) -> list[str]:
+    """The page's lines without those aligned with its partner, checked by the mark-up."""
+    shared = aligned([x for x, _ in page], [x for x, _ in partner]) if partner else set()
+    has_article = any(kind == ARTICLE for _, kind in page)
+    return [line for i, (line, kind) in enumerate(page)
+            if kind == ARTICLE or (kind == PLAIN and not has_article and i not in shared)]
+
+
+def _pages(batches) -> Iterator[tuple]:
+    """(id, url, host, path, lines) in the task's order."""
+    for whole in batches:
+        for batch in W.slices(whole, "html"):
+            yield from zip(*(batch.column(c).to_pylist() for c in ("id", "url", "host", "path")),
+                           map(lines_of, batch.column("html").to_pylist()), strict=True)
+
+
+def _with_neighbours(pages: Iterator[tuple]) -> Iterator[tuple]:
+    before, page = None, next(pages, None)
+    while page is not None:
+        after = next(pages, None)
+        yield before, page, after
+        before, page = page, after
+
+
+def partner_of(before, page, after):
+    """The neighbour of the same host whose path shares the longer prefix; the one before wins ties."""
+    near = [p for p in (before, after) if p is not None and page[2] and p[2] == page[2]]
+    return max(near, key=lambda p: len(commonprefix([p[3], page[3]])), default=None)
+
+
+def extractor(id_type: pa.DataType):
+    schema = pa.schema([("id", id_type), ("url", pa.string()), ("text", pa.string())])
+
+    def extract_batches(batches):
+        rows: list[tuple] = []
+        for before, page, after in _with_neighbours(_pages(batches)):
+            partner = partner_of(before, page, after)
+            rows.append((page[0], page[1], "\n".join(main_lines(page[4], partner and partner[4]))))
+            if len(rows) == 500:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rows.clear()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return extract_batches
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(id, url, text) of every page."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = pages.schema[id_col].dataType
+    ordered = pages.select(
+        F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"),
+        path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("html"),
+    ).repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id")
+    return ordered.mapInArrow(extractor(to_arrow_type(kind)), f"id {kind.simpleString()}, url string, text string").select(
+        F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
