@@ -26,6 +26,7 @@ import re
 import sys
 import types
 import zlib
+from array import array
 from collections import defaultdict, deque
 
 import numpy as np
@@ -41,7 +42,8 @@ END_ID = 1
 POOL = 8192  # remainders that wait at most
 LOW = 4096  # windows are filled until this many wait
 SLACK = 8  # a window that stays shorter by more than this takes a cut piece
-CACHE = 400_000  # word pieces remembered per Python worker
+CACHE = 1_000_000  # word pieces remembered per Python worker (about 200 MB)
+TOGETHER = 128  # fresh word pieces encoded in one call
 
 # The vocabulary's word pattern for lower-cased Latin-1 text without control characters.
 PLAIN = re.compile("[^\\t\\n\\r -~\\xa1-\\xff]")
@@ -63,20 +65,35 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code)
+        vocab = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocab.values()) + 1, dtype=bool)  # tokens that end a word piece
+        self.final[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes()
+        return [array(self.code, e.ids).tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of single word pieces: many in one text, cut at the tokens that end a piece."""
+        out: list[bytes] = []
+        groups = [pieces[at : at + TOGETHER] for at in range(0, len(pieces), TOGETHER)]
+        for group, raw in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            ends = (np.flatnonzero(self.final[np.frombuffer(raw, dtype=self.kind)]) + 1) * self.kind.itemsize
+            cuts = [0, *ends.tolist()]
+            whole = len(ends) == len(group) and cuts[-1] == len(raw)
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:])] if whole else self._encode(group)
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if PLAIN.search(t) else PIECE.findall(t.lower()) for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
         fresh = list({w for words in split if words for w in words if w not in known})
-        known.update(zip(fresh, self._encode(fresh), strict=True))
+        known.update(zip(fresh, self._encode_pieces(fresh), strict=True))
         rest = iter(self._encode([t for t, words in zip(texts, split, strict=True) if words is None]))
         return [np.frombuffer(next(rest) if words is None else b"".join(map(known.__getitem__, words)), dtype=self.kind)
                 for words in split]
@@ -90,22 +107,25 @@ def encoder(path: str) -> Encoder:
     return kept[("encoder", path)]
 
 
-def closest(lengths: list[tuple[int, int]], space: int) -> dict[int, int]:
-    """How many pieces of each length fill ``space`` best; ``lengths`` are (length, count), longest first."""
+def closest(waiting: dict[int, deque], present: int, space: int) -> dict[int, int]:
+    """How many pieces of each length fill ``space`` best.
+
+    ``present`` has a bit for each length that waits; lengths are taken longest
+    first, until the whole space is reachable.
+    """
     full = (1 << (space + 1)) - 1
     goal, reach, steps = 1 << space, 1, []
-    for length, count in lengths:
-        if length > space:
-            continue
-        count, part = min(count, space // length), 1
+    present &= full
+    while present and not reach & goal:
+        length = present.bit_length() - 1
+        present ^= 1 << length
+        count, part = min(len(waiting[length]), space // length), 1
         while count and not reach & goal:
             part = min(part, count)
             steps.append((length, part, reach))
             reach |= (reach << (length * part)) & full
             count -= part
             part *= 2
-        if reach & goal:
-            break
     at = reach.bit_length() - 1
     chosen: dict[int, int] = defaultdict(int)
     for length, part, before in reversed(steps):
@@ -119,10 +139,13 @@ class Pool:
     """Waiting pieces by length; ``fill`` takes out one window's pieces."""
 
     def __init__(self, window: int):
-        self.window, self.size, self.by = window, 0, defaultdict(deque)
+        self.window, self.size, self.present = window, 0, 0
+        self.by: dict[int, deque] = defaultdict(deque)
 
     def add(self, piece) -> None:
-        self.by[len(piece[2])].append(piece)
+        length = len(piece[2])
+        self.by[length].append(piece)
+        self.present |= 1 << length
         self.size += 1
 
     def take(self, length: int):
@@ -130,18 +153,18 @@ class Pool:
         piece = line.popleft()
         self.size -= 1
         if not line:
-            del self.by[length]
+            self.present ^= 1 << length
         return piece
 
     def fill(self) -> list:
-        longest = max(self.by)
+        longest = self.present.bit_length() - 1
         out = [self.take(longest)]
         space = self.window - longest
-        for length, n in closest(sorted(((k, len(v)) for k, v in self.by.items()), reverse=True), space).items():
+        for length, n in closest(self.by, self.present, space).items():
             out += [self.take(length) for _ in range(n)]
             space -= n * length
         if space > SLACK and self.size:  # every waiting piece is longer than the space
-            doc, start, ids, total = self.take(min(self.by))
+            doc, start, ids, total = self.take(min(length for length, line in self.by.items() if line))
             out.append((doc, start, ids[:space], total))
             self.add((doc, start + space, ids[space:], total))
         return out
