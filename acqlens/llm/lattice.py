@@ -12,7 +12,7 @@ forward recursion run over that table, partitioned, not over the texts; only the
 expected count of each vocabulary piece (a fixed number) reaches the driver.
 Scoring joins each document's words with the table. The FREQUENT most frequent
 words (a fixed number, hence a bounded broadcast) are looked up map-side, which
-also takes the hot keys out of the join; every other word goes through the
+also takes the hot keys out of the join (they are found by a histogram); every other word goes through the
 shuffle join, so nothing is cut.
 
 Defined cases: null text is empty: one token, the end. A character without piece
@@ -37,6 +37,8 @@ from acqlens.llm import words as W
 from acqlens.llm.storage import settle
 
 FREQUENT = 100_000
+WORDS_AT_ONCE = 100_000  # distinct words handled together by the vectorised recursions
+DISTINCT_HELD = 300_000  # distinct words a task counts before it hands its counts on
 ROUNDS = 2
 SPACE = "▁"  # fixed value: the vocabulary's word-start mark
 END = "</s>"
@@ -193,26 +195,26 @@ def _tokens(column: pa.Array) -> list[list[str]]:
 
 def _count_words(batches):
     """(word, known, n): counts of training words and of all words, summed per slice of the task."""
-    train, every = Counter(), Counter()
+    train, other = Counter(), Counter()
 
     def flush():
-        words = list(every)
+        n = other.copy()
+        n.update(train)
+        words = list(n)
         out = pa.RecordBatch.from_arrays(
             [pa.array(words, type=pa.string()), pa.array([train[w] for w in words], type=pa.int64()),
-             pa.array(list(every.values()), type=pa.int64())], names=["word", "c", "n"])
+             pa.array(list(n.values()), type=pa.int64())], names=["word", "c", "n"])
         train.clear()
-        every.clear()
+        other.clear()
         return out
 
     for whole in batches:
         for batch in W.slices(whole, "text"):
             for words, use in zip(_tokens(batch.column("text")), batch.column("train").to_pylist(), strict=True):
-                every.update(words)
-                if use:
-                    train.update(words)
-            if len(every) > 200_000:
+                (train if use else other).update(words)
+            if len(train) + len(other) > DISTINCT_HELD:
                 yield flush()
-    if every:
+    if train or other:
         yield flush()
 
 
@@ -222,11 +224,24 @@ def word_table(docs: DataFrame) -> DataFrame:
         F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+def _together(batches):
+    """Record batches joined to about WORDS_AT_ONCE rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= WORDS_AT_ONCE:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.concat_batches(held)
+
+
 def _expected_pieces(path: str, logp: np.ndarray):
     def run(batches):
         vocab = vocabulary(path)
         total = np.zeros(vocab.n + 2)
-        for batch in batches:
+        for batch in _together(batches):
             words, weight = batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float)
             for rows in _by_length(words):
                 total += expected([SPACE + words[r] for r in rows], weight[rows], logp, vocab)
@@ -257,7 +272,7 @@ def _score_words(path: str, logp: np.ndarray):
 
     def run(batches):
         vocab = vocabulary(path)
-        for batch in batches:
+        for batch in _together(batches):
             words = batch.column("word").to_pylist()
             out = np.zeros(len(words))
             for rows in _by_length(words):
@@ -268,6 +283,26 @@ def _score_words(path: str, logp: np.ndarray):
     return run
 
 
+def _frequent(words: DataFrame) -> dict[str, tuple[int, float, float]]:
+    """The most frequent words, at most FREQUENT: all with a count of at least a bound.
+
+    The bound comes from a histogram over sixteenths of powers of two (at most
+    1,024 rows), so no task or driver sorts the table.
+    """
+    level = F.floor(F.log2("n") * 16)
+    sizes = sorted(words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("size")).collect(), reverse=True)
+    least, total = None, 0
+    for row in sizes:
+        total += row["size"]
+        if total > FREQUENT:
+            break
+        least = row["level"]
+    if least is None:
+        return {}
+    rows = words.where(level >= least).select("word", (F.col("c") > 0).cast("int").alias("known"), "base", "piece_score").collect()
+    return {r.word: (r.known, r.base, r.piece_score) for r in rows}
+
+
 def _document_words(frequent):
     """Arrow function: (row, id, held_out, text) to one head row per document and one per rarer word.
 
@@ -332,9 +367,7 @@ def scored(docs: DataFrame, path: str, held_out: Column, id_col: str = "doc_id",
     bottom = math.log10(total + distinct + 1)
     words = settle(counted.mapInArrow(_score_words(path, logp), "word string, c bigint, n bigint, piece_score double")
                    .withColumn("base", F.log10(F.col("c") + 1) - bottom))
-    top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).select(
-        "word", (F.col("c") > 0).cast("int").alias("known"), "base", "piece_score").collect()
-    frequent = spark.sparkContext.broadcast({r.word: (r.known, r.base, r.piece_score) for r in top})
+    frequent = spark.sparkContext.broadcast(_frequent(words))
 
     kind = docs.schema[id_col].dataType.simpleString()
     parts = source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
