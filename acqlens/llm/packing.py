@@ -42,7 +42,7 @@ END_ID = 1
 POOL = 8192  # remainders that wait at most
 LOW = 4096  # windows are filled until this many wait
 SLACK = 8  # a window that stays shorter by more than this takes a cut piece
-CACHE = 1_000_000  # word pieces remembered per Python worker (about 200 MB)
+CACHE = 300_000  # word pieces remembered per Python worker (about 60 MB)
 TOGETHER = 128  # fresh word pieces encoded in one call
 
 # The vocabulary's word pattern for lower-cased Latin-1 text without control characters.

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from acqlens.llm import words as W
 from acqlens.llm.storage import settle
@@ -113,23 +114,27 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def _measure(batches):
-    for whole in batches:
-        for batch in W.slices(whole, "_text"):
-            found = counts(batch.column("_text"))
-            struct = pa.StructArray.from_arrays([pa.array(found[c], type=pa.int64()) for c in COUNTS], names=COUNTS)
-            yield pa.RecordBatch.from_arrays(
-                [*(c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "_text"), struct],
-                names=[*(x for x in batch.schema.names if x != "_text"), "_counts"])
+def measurer(text: str, keep_text: bool):
+    """Arrow function: appends the struct column ``_counts``, with or without the text itself."""
+
+    def measure(batches):
+        for whole in batches:
+            for batch in W.slices(whole, text):
+                found = counts(batch.column(text))
+                struct = pa.StructArray.from_arrays([pa.array(found[c], type=pa.int64()) for c in COUNTS], names=COUNTS)
+                names = [c for c in batch.schema.names if keep_text or c != text]
+                yield pa.RecordBatch.from_arrays([*map(batch.column, names), struct], names=[*names, "_counts"])
+
+    return measure
 
 
 def measured(docs: DataFrame, columns: list[str], text_col: str) -> DataFrame:
     """``columns`` of docs and a struct column ``_counts``; a map without shuffle."""
-    from pyspark.sql import types as T
-
+    keep = text_col in columns
     schema = T.StructType([*(docs.schema[c] for c in columns),
                            T.StructField("_counts", T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))])
-    return docs.select(*columns, F.col(text_col).alias("_text")).mapInArrow(_measure, schema)
+    source = docs.select(*columns) if keep else docs.select(*columns, text_col)
+    return source.mapInArrow(measurer(text_col, keep), schema)
 
 
 def votes() -> list[Column]:

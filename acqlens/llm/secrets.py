@@ -184,18 +184,16 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
 
     def clean(batches):
         for whole in batches:
-            for batch in W.slices(whole, "_text"):
-                texts, found = _scanned(batch.column("_text"), ratio)
-                hit = [bool(x) for x in found]
+            for batch in W.slices(whole, text_col):
+                texts, found = _scanned(batch.column(text_col), ratio)
                 masked = [mask(t, x) if x else None for t, x in zip(texts, found, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "_text"),
-                     pa.array(masked, type=pa.string()), pa.array([len(m) if h else 0 for m, h in zip(masked, hit, strict=True)],
-                                                                  type=pa.int64())],
-                    names=[*(n for n in batch.schema.names if n != "_text"), "_masked", "_length"])
+                    [*batch.columns, pa.array(masked, type=pa.string()),
+                     pa.array([m and len(m) for m in masked], type=pa.int64())],
+                    names=[*batch.schema.names, "_masked", "_length"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("_masked", T.StringType()), T.StructField("_length", T.LongType())])
-    out = docs.select(*docs.columns, F.col(text_col).alias("_text")).mapInArrow(clean, schema)
+    out = docs.mapInArrow(clean, schema)
     new = {text_col: F.coalesce("_masked", F.col(text_col))}
     if chars_col in docs.columns:
         new[chars_col] = F.when(F.col("_masked").isNotNull(), F.col("_length")).otherwise(F.col(chars_col)).cast(

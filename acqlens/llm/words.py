@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21  # text handled at once; a longer document makes a slice of its own
+SLICE_BYTES = 1 << 19  # text handled at once (about 40 MB of arrays); a longer document makes a slice of its own
 GOLDEN = 0x9E3779B97F4A7C15
 
 
