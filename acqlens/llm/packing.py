@@ -42,7 +42,7 @@ END_ID = 1
 POOL = 8192  # remainders that wait at most
 LOW = 4096  # windows are filled until this many wait
 SLACK = 8  # a window that stays shorter by more than this takes a cut piece
-CACHE = 300_000  # word pieces remembered per Python worker (about 60 MB)
+CACHE = 200_000  # word pieces in each of the worker's two cache generations (about 40 MB each)
 TOGETHER = 128  # fresh word pieces encoded in one call
 
 # The vocabulary's word pattern for lower-cased Latin-1 text without control characters.
@@ -71,6 +71,7 @@ class Encoder:
         self.final = np.zeros(max(vocab.values()) + 1, dtype=bool)  # tokens that end a word piece
         self.final[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the generation before: pieces met again move back
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes()
@@ -90,9 +91,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [None if PLAIN.search(t) else PIECE.findall(t.lower()) for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        fresh = list({w for words in split if words for w in words if w not in known})
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        absent = {w for words in split if words for w in words if w not in known}
+        known.update((w, old[w]) for w in absent if w in old)
+        fresh = [w for w in absent if w not in known]
         known.update(zip(fresh, self._encode_pieces(fresh), strict=True))
         rest = iter(self._encode([t for t, words in zip(texts, split, strict=True) if words is None]))
         return [np.frombuffer(next(rest) if words is None else b"".join(map(known.__getitem__, words)), dtype=self.kind)
