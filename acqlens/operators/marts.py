@@ -1,14 +1,16 @@
 """Mart operators M1-M5 and M10, plus the shared customer-grain intermediates.
 
-Plan shape for everything at customer grain::
+Two shared customer-grain plans:
 
-    orders --partial agg--> (customer_id, order_date)      # shuffle on both keys
-           --join customer/campaign attributes on customer_id, agg per customer
+* ``customer_totals`` (M4, M9, Q12-Q14) aggregates orders straight by
+  ``customer_id``: one shuffle of order rows. Map-side partial sums turn a
+  customer that owns a third of all orders into one row per task.
+* ``customer_facts`` (M3, M10 and what reports them) also needs sums over date
+  windows that are known only after the join with the customer. It reduces
+  orders to (customer, day) first, so a hot customer is at most one row per day
+  when it meets its attributes; that bound costs a second shuffle.
 
-A customer that owns a third of all orders becomes at most one row per order
-day after the first aggregate, so no task ever sees its raw orders. The
-per-customer facts (``customer_facts``) feed M3, M4, M9 and M10 from one
-join; the per-(customer, month) aggregate feeds the cohort operators.
+The per-(customer, month) aggregate feeds the cohort operators.
 """
 
 from __future__ import annotations
@@ -58,6 +60,41 @@ CUSTOMER_KEYS = ["customer_id", "first_campaign_id", "channel_id", "channel_name
                  "signup_date", "region", "start_date", "end_date"]
 
 
+def _customer_rows(m: Model) -> DataFrame:
+    """Distinct customer rows with their first campaign's attributes and the number of copies,
+    partitioned by ``customer_id``."""
+    base = m.customers.join(
+        _campaign_channel_dim(m), F.col("first_campaign_id") == F.col("campaign_id")).drop("campaign_id")
+    return base.repartition("customer_id").groupBy(*CUSTOMER_KEYS).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def customer_totals(m: Model) -> DataFrame:
+    """One row per customer with order count, revenue and order dates, from one shuffle of the orders.
+
+    ``copies`` and ``copy_*`` as in ``customer_facts``.
+    """
+    def build():
+        per_customer = m.orders.groupBy("customer_id").agg(
+            F.count(F.lit(1)).alias("copy_order_rows"),
+            F.count("order_id").alias("copy_order_count"),
+            F.sum("order_amount").cast(SUM_MONEY).alias("copy_revenue"),
+            F.min("order_date").alias("first_order_date"),
+            F.max("order_date").alias("last_order_date"),
+        )
+        k = F.col("copies")
+        return _customer_rows(m).join(per_customer, "customer_id", "left").withColumns({
+            "copy_order_rows": F.coalesce("copy_order_rows", F.lit(0)),
+            "order_count": F.coalesce("copy_order_count", F.lit(0)) * k,
+            "revenue": (F.col("copy_revenue") * k).cast(SUM_MONEY),
+        })
+    return m.shared("customer_totals", build)
+
+
+def stg_customer_totals(m: Model) -> DataFrame:
+    """``customer_totals`` restricted to ``stg_customers`` (channel present)."""
+    return customer_totals(m).where(F.col("channel_name").isNotNull())
+
+
 def customer_facts(m: Model) -> DataFrame:
     """One row per customer (joined to its first campaign) with order measures.
 
@@ -73,13 +110,7 @@ def customer_facts(m: Model) -> DataFrame:
     reuse.
     """
     def build():
-        base = m.customers.join(
-            _campaign_channel_dim(m),
-            F.col("first_campaign_id") == F.col("campaign_id"),
-        ).drop("campaign_id")
-        rows = base.repartition("customer_id").groupBy(*CUSTOMER_KEYS).agg(
-            F.count(F.lit(1)).alias("copies"))
-        joined = rows.join(orders_daily(m), "customer_id", "left")
+        joined = _customer_rows(m).join(orders_daily(m), "customer_id", "left")
         in_window = F.col("order_date").between(F.col("start_date"), F.col("end_date"))
         in_90d = F.col("order_date") <= F.date_add("signup_date", 90)
         per_copy = joined.groupBy(*CUSTOMER_KEYS, "copies").agg(
@@ -146,7 +177,7 @@ def mart_campaign_revenue(m: Model) -> DataFrame:
 
 def mart_customer_revenue(m: Model) -> DataFrame:
     """M4: observed revenue, order count and order date range per customer."""
-    return m.memo("mart_customer_revenue", lambda: stg_customer_facts(m).select(
+    return m.memo("mart_customer_revenue", lambda: stg_customer_totals(m).select(
         "customer_id", "first_campaign_id",
         F.col("channel_id").alias("acquisition_channel_id"),
         F.col("channel_name").alias("acquisition_channel_name"),
@@ -177,5 +208,3 @@ def mart_ltv_90d(m: Model) -> DataFrame:
             (F.date_add("signup_date", 90) <= F.col("reference_date")).alias("window_complete"),
         )
     return m.memo("mart_ltv_90d", build)
-
-

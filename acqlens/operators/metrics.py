@@ -466,15 +466,14 @@ def customer_revenue_ranked(m: Model, sort: bool = False) -> DataFrame:
     """Q12: M4 with RANK of lifetime revenue within the acquisition channel.
 
     A channel can hold a third of all customers, so the rank is computed by
-    ``ranking.distributed_rank`` (balanced range buckets) rather than a window
-    partitioned by channel.
+    ``ranking.ranked`` (range partitions) rather than a window partitioned by
+    channel.
     """
-    from .ranking import SortKey, distributed_rank
+    from .ranking import SortKey, ranked
 
     src = mart_customer_revenue(m).select(
         "customer_id", "acquisition_channel_name", "signup_date", "order_count",
         "lifetime_revenue_to_date", "first_order_date", "last_order_date")
-    df = distributed_rank(src, ["acquisition_channel_name"],
-                          [SortKey("lifetime_revenue_to_date", ascending=False)], ["customer_id"],
-                          "revenue_rank_in_channel")
+    df = ranked(src, ["acquisition_channel_name"], [SortKey("lifetime_revenue_to_date", ascending=False)],
+                ["customer_id"], "revenue_rank_in_channel")
     return _order(df, sort, F.col("lifetime_revenue_to_date").desc_nulls_first())

@@ -1,35 +1,26 @@
 """Exact ordered positions without a single-partition sort.
 
-``NTILE(k) OVER (ORDER BY ...)`` and ``RANK() OVER (PARTITION BY channel ...)``
-plan as one task per (few) window partition: all customers on one task. Here the
-same numbers are computed with balanced work:
-
-1. Sort key ``K = (partition cols, rank key, tiebreak)``, made totally ordered
-   by a unique tiebreak (``customer_id``); descending numeric keys are negated
-   and NULL placement becomes a leading flag, so plain ascending struct order
-   is the requested order.
-2. Range buckets: a bounded sample of ``K`` is sorted by Spark and ``B - 1``
-   boundaries are taken from it on the driver. They enter the plan as
-   **literals**, so bucket assignment is a pure function of the row and stays
-   identical under task retries and executor loss. The bucket test is a
-   balanced tree of struct comparisons (``log2 B`` per row, codegen'd).
-   Because ``K`` ends in a unique id, one key value shared by a third of all
-   rows is still split across many buckets.
-3. Each bucket is shuffled to one task and windowed locally
-   (``row_number`` and ``rank`` within the bucket). The bucket count grows
-   with the data (50k to 1M rows per bucket, at most 1024 buckets).
-4. Per-(partition, bucket) counts, first/last rank key and the size of the
-   last tie run (at most ``B + groups`` rows) give, through window functions
-   over those few rows, each bucket's offset and the number of rows of a tie
-   that started in earlier buckets.
-5. global position = offset + local row number - 1;
-   rank = offset + local rank - (earlier rows tied with the bucket's first key).
-
-The only driver work is one count and one bounded sample. Before them the
-input is cut from its lineage with a reliable checkpoint (in the cluster's
-``spark.checkpoint.dir``), so the count, the sample and the final plan read
-the same materialised rows instead of recomputing the order aggregates three
-times, and a lost executor costs a re-read, not a recomputation.
+Two methods, neither of which grows a plan with the data:
+
+* **Cut keys** (``order_statistics``; NTILE and medians). ``NTILE(5)`` over a
+  total order needs only the four keys at the tile borders, a median the one or
+  two middle ones. Each wanted position is bracketed by two keys of a small
+  sample, one aggregate pass counts the rows below and inside every bracket
+  (map-side partial sums), and the bracket is narrowed until few distinct keys
+  remain, which are collected. The number of rounds is logarithmic in the row
+  count, the sample and the collected keys have fixed sizes, and rows are never
+  shuffled or sorted: a row's tile is a comparison with four literal keys.
+* **Range partitions** (``ranked``; RANK). The rows are range-partitioned by
+  (partition columns, rank key, tiebreak) with Spark's own sampler, so a key
+  shared by a third of all rows is split by the tiebreak, and windowed inside
+  each range. Per-range counts and border keys, a few rows, give every range's
+  offset and the ties that began in earlier ranges. Any number of ranges works.
+
+Keys are structs in which descending numeric and date columns are negated and
+NULL placement is a leading flag, so ascending struct order is the wanted order.
+The input is checkpointed first (in the cluster's ``spark.checkpoint.dir``):
+the passes read the same rows, and a lost executor costs a re-read. These
+functions therefore run jobs when they are called.
 """
 
 from __future__ import annotations
@@ -43,11 +34,9 @@ from pyspark.sql import types as T
 
 from ..plans.session import cut_lineage
 
-SAMPLE_PER_BUCKET = 24
-MIN_ROWS_PER_BUCKET = 50_000    # below this, more buckets only add scheduling
-MAX_ROWS_PER_BUCKET = 1_000_000  # one task sorts at most this many rows
-MAX_BUCKETS = 1024
-SAMPLE_SEED = 1729
+SAMPLE = 4096   # sampled keys per wanted position and round
+FINISH = 512    # a bracket with at most so many rows is read out
+SEED = 1729
 
 
 @dataclass(frozen=True)
@@ -73,15 +62,15 @@ def _directed(c: Column, dtype: T.DataType, ascending: bool) -> Column:
     raise TypeError(f"descending order on {dtype} is not supported")
 
 
-def _rank_key(df: DataFrame, order: list[SortKey]) -> Column:
+def sort_struct(df: DataFrame, order: list[SortKey]) -> Column:
+    """One struct whose ascending order is ``order``."""
     fields = []
     for i, key in enumerate(order):
         c = F.col(key.column)
-        dtype = df.schema[key.column].dataType
         first = key.nulls_go_first
         fields.append(F.when(c.isNull(), F.lit(0 if first else 1))
                       .otherwise(F.lit(1 if first else 0)).alias(f"f{i}"))
-        fields.append(_directed(c, dtype, key.ascending).alias(f"v{i}"))
+        fields.append(_directed(c, df.schema[key.column].dataType, key.ascending).alias(f"v{i}"))
     return F.struct(*fields)
 
 
@@ -92,199 +81,140 @@ def _literal(value, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
-def _bucket_tree(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """Bucket index in [lo, hi]; bucket i holds keys in [bounds[i-1], bounds[i])."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    return F.when(key < bounds[mid - 1], _bucket_tree(key, bounds, lo, mid - 1)) \
-        .otherwise(_bucket_tree(key, bounds, mid, hi))
-
-
-def bucket_count(spark, n: int) -> int:
-    """Buckets grow with the data: at least ``MIN_ROWS_PER_BUCKET`` rows each up to
-    the shuffle parallelism, and never more than ``MAX_ROWS_PER_BUCKET`` rows."""
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    wanted = max(math.ceil(n / MAX_ROWS_PER_BUCKET), min(parts, math.ceil(n / MIN_ROWS_PER_BUCKET)))
-    return max(1, min(MAX_BUCKETS, wanted))
-
-
-@dataclass
-class BucketPlan:
-    """Literal range boundaries for one ordering, sampled once."""
-    order: list
-    tiebreak: list
-    partition_by: list
-    bounds: list
-
-
-def _keyed(df: DataFrame, plan_order, tiebreak, part) -> DataFrame:
-    keyed = df.withColumn("_rk", _rank_key(df, plan_order))
-    return keyed.withColumn("_k", F.struct(*[F.col(c) for c in part], F.col("_rk"),
-                                           *[F.col(c) for c in tiebreak]))
-
-
-def _sort_key(value):
+def _comparable(value):
     """Python image of Spark's ascending order on (nested) structs: NULL fields first."""
     if value is None:
         return (0,)
     if hasattr(value, "__fields__"):
-        return (1, tuple(_sort_key(v) for v in value))
+        return (1, tuple(_comparable(v) for v in value))
     return (1, value)
 
 
-def plan_buckets_many(df: DataFrame, specs: list[tuple[list[SortKey], list[str], list[str]]],
-                      n: int, buckets: int | None = None) -> list[BucketPlan]:
-    """Boundaries for several orderings of the same rows from ONE bounded sample.
+# ------------------------------------------------------------------ cut keys
 
-    ``specs`` holds (order, tiebreak, partition_by) triples. The sample is
-    collected once (at most ``B * SAMPLE_PER_BUCKET * 1.5`` rows expected) and
-    sorted per ordering on the driver.
+@dataclass
+class _Target:
+    """A wanted 0-based position of one key column in one group, and its bracket."""
+    group: object
+    key: str
+    position: int
+    rows: int                  # rows inside the bracket
+    below: int = 0             # rows before it
+    low: object = None         # inclusive ends; None is open
+    high: object = None
+    stalled: bool = False
+    round: int = 0
+
+    def inside(self, group_col: str | None, dtype: T.DataType) -> Column:
+        cond = F.lit(True) if group_col is None else F.col(group_col).eqNullSafe(F.lit(self.group))
+        if self.low is not None:
+            cond = cond & (F.col(self.key) >= _literal(self.low, dtype))
+        if self.high is not None:
+            cond = cond & (F.col(self.key) <= _literal(self.high, dtype))
+        return cond
+
+
+def _collect_inside(base: DataFrame, targets: list[_Target], group_col, dtype, fraction, counted: bool) -> list[list]:
+    """Per target: sampled keys of its bracket, or all its (key, count) pairs in order."""
+    key = targets[0].key
+    marks = [F.when(t.inside(group_col, dtype) & (F.rand(SEED + 101 * t.round + i) < fraction(t) if fraction else F.lit(True)), F.lit(i))
+             for i, t in enumerate(targets)]
+    rows = base.select(F.explode(F.array_compact(F.array(*marks))).alias("t"), F.col(key).alias("k"))
+    out: list[list] = [[] for _ in targets]
+    if counted:
+        for r in rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).collect():
+            out[r["t"]].append((r["k"], r["n"]))
+        return [sorted(x, key=lambda p: _comparable(p[0])) for x in out]
+    for r in rows.collect():
+        out[r["t"]].append(r["k"])
+    return [sorted(x, key=_comparable) for x in out]
+
+
+def _narrow(base: DataFrame, targets: list[_Target], group_col, dtype) -> None:
+    """One round: sample every bracket, propose a narrower one, count, keep the side that holds the position."""
+    samples = _collect_inside(base, targets, group_col, dtype, lambda t: min(1.0, SAMPLE / t.rows), counted=False)
+    proposals = []
+    for t, keys in zip(targets, samples):
+        s = len(keys)
+        share = (t.position - t.below) / t.rows
+        margin = 3 * math.sqrt(s * share * (1 - share)) + 2
+        lo, hi = math.floor(share * s - margin), math.ceil(share * s + margin)
+        proposals.append((keys[lo] if 0 <= lo < s else t.low, keys[hi] if 0 <= hi < s else t.high))
+    counts = []
+    for i, (t, (low, high)) in enumerate(zip(targets, proposals)):
+        here = t.inside(group_col, dtype)
+        k = F.col(t.key)
+        under = F.lit(False) if low is None else k < _literal(low, dtype)
+        over = F.lit(False) if high is None else k > _literal(high, dtype)
+        counts += [F.count_if(here & under).alias(f"u{i}"), F.count_if(here & over).alias(f"o{i}")]
+    row = base.agg(*counts).first()
+    for i, (t, (low, high)) in enumerate(zip(targets, proposals)):
+        under, over = row[f"u{i}"], row[f"o{i}"]
+        at, before = t.position - t.below, (t.low, t.high)
+        if under <= at < t.rows - over:
+            t.below, t.rows, t.low, t.high = t.below + under, t.rows - under - over, low, high
+            t.stalled = (t.low, t.high) == before
+        # else the sample missed the position (rare): the next round draws another sample of the same bracket
+        t.round += 1
+
+
+def order_statistics(df: DataFrame, keys: list[str], wanted, group_col: str | None = None) -> dict:
+    """Keys at wanted positions: ``{(group, key column, position): key}``.
+
+    ``df`` is materialised (checkpointed) and holds the struct columns ``keys``;
+    ``wanted(n)`` gives the 0-based positions for a group of n rows (positions
+    outside 0..n-1 are left out). ``group_col`` must have few values.
     """
-    b = buckets or bucket_count(df.sparkSession, n)
-    keyed = df
-    names = []
-    for i, (order, tiebreak, part) in enumerate(specs):
-        k = _keyed(df, order, tiebreak, part).schema["_k"].dataType
-        rk = _rank_key(df, order)
-        keyed = keyed.withColumn(f"_k{i}", F.struct(*[F.col(c) for c in part], rk.alias("_rk"),
-                                                    *[F.col(c) for c in tiebreak]).cast(k))
-        names.append((f"_k{i}", k))
-    plans = []
-    sample = []
-    if n > 0 and b > 1:
-        fraction = min(1.0, (b * SAMPLE_PER_BUCKET * 1.5) / n)
-        sample = keyed.select(*[c for c, _ in names]).sample(False, fraction, SAMPLE_SEED).collect()
-    for (order, tiebreak, part), (col, key_type) in zip(specs, names):
-        bounds = []
-        if sample:
-            keys = sorted((r[col] for r in sample), key=_sort_key)
-            picks = []
-            for i in range(1, b):
-                j = (i * len(keys)) // b
-                if 0 < j < len(keys) and (not picks or picks[-1] != keys[j]):
-                    picks.append(keys[j])
-            bounds = [_literal(p, key_type) for p in picks]
-        plans.append(BucketPlan(list(order), list(tiebreak), list(part), bounds))
-    return plans
-
-
-def plan_buckets(df: DataFrame, order: list[SortKey], tiebreak: list[str],
-                 partition_by: list[str] | None = None, n: int | None = None,
-                 buckets: int | None = None) -> BucketPlan:
-    """Sample ``df`` once (bounded) and fix the bucket boundaries as literals."""
-    if n is None:
-        n = df.count()
-    return plan_buckets_many(df, [(order, tiebreak, list(partition_by or []))], n, buckets)[0]
-
-
-def ordered_positions(df: DataFrame, order: list[SortKey], tiebreak: list[str],
-                      partition_by: list[str] | None = None, n: int | None = None,
-                      buckets: int | None = None, plan: BucketPlan | None = None,
-                      with_rank: bool = True) -> DataFrame:
-    """Add ``_pos`` (0-based position in the partition), ``_n`` (partition size)
-    and ``_rank`` (SQL RANK over ``order``) to every row of ``df``.
-
-    ``partition_by`` columns must be low-cardinality (channels, segments): the
-    bucket bookkeeping has one row per (partition value, bucket). A ``plan``
-    sampled earlier (from the same rows) skips the sampling job; without one
-    the input is checkpointed first and then counted and sampled. With
-    ``with_rank=False`` only ``_pos`` and ``_n`` are produced (one local
-    window, no tie bookkeeping).
+    if group_col is None:
+        sizes = {None: df.count()}
+    else:
+        sizes = {r[0]: r[1] for r in df.groupBy(group_col).count().collect()}
+    done = {}
+    for key in keys:
+        dtype = df.schema[key].dataType
+        base = df.select(*([group_col] if group_col else []), key)
+        open_targets = [_Target(g, key, p, n) for g, n in sizes.items() for p in sorted(set(wanted(n))) if 0 <= p < n]
+        while open_targets:
+            ready = [t for t in open_targets if t.rows <= FINISH or t.stalled]
+            if ready:
+                for t, pairs in zip(ready, _collect_inside(base, ready, group_col, dtype, None, counted=True)):
+                    at = t.position - t.below
+                    for value, n in pairs:
+                        if at < n:
+                            done[(t.group, key, t.position)] = value
+                            break
+                        at -= n
+                open_targets = [t for t in open_targets if t not in ready]
+            if open_targets:
+                _narrow(base, open_targets, group_col, dtype)
+    return done
+
+
+def tile_starts(n: int, k: int) -> list[int]:
+    """0-based positions at which tiles 2..k of ``NTILE(k)`` begin (the first n % k tiles have one row more)."""
+    q, r = divmod(n, k)
+    return [t * q + min(t, r) for t in range(1, k)]
+
+
+def ntiles(df: DataFrame, k: int, orders: dict[str, list[SortKey]], tiebreak: list[str]) -> DataFrame:
+    """``df`` with one column per entry of ``orders``: ``NTILE(k) OVER (ORDER BY order, tiebreak)``.
+
+    ``df`` is checkpointed; all orderings share it. Rows that agree in order and
+    tiebreak share a tile.
     """
-    if plan is None:
-        df = cut_lineage(df)
-        plan = plan_buckets(df, order, tiebreak, partition_by, n, buckets)
-    part = plan.partition_by
-    rk = _rank_key(df, plan.order)
-    k = F.struct(*[F.col(c) for c in part], rk.alias("_rk"), *[F.col(c) for c in plan.tiebreak])
-    bounds = plan.bounds
-    local = Window.partitionBy(*part, "_bucket")
-    # one projection for the keys, one for both local windows (each call re-analyses the plan)
-    keyed = df.select("*", rk.alias("_rk"), k.alias("_k"))
-    keyed = keyed.select("*", (_bucket_tree(F.col("_k"), bounds, 0, len(bounds)) if bounds
-                               else F.lit(0)).alias("_bucket"))
-    if not with_rank:
-        return _positions_only(df, keyed, part, local)
-    windowed = keyed.select("*", F.row_number().over(local.orderBy("_k")).alias("_rn"),
-                            F.rank().over(local.orderBy("_rk")).alias("_lr"))
-
-    per_part = Window.partitionBy(*part).orderBy("_bucket")
-    stats = windowed.groupBy(*part, "_bucket").agg(
-        F.count(F.lit(1)).alias("_cnt"),
-        F.max("_lr").alias("_maxlr"),
-        F.min("_rk").alias("_kmin"),
-        F.max("_rk").alias("_kmax"),
-    ).select(
-        *part, "_bucket", "_kmin", "_kmax",
-        F.coalesce(F.sum("_cnt").over(per_part.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy(*part)).alias("_n"),
-        (F.col("_cnt") - F.col("_maxlr") + 1).alias("_tail"),
-    )
-
-    # Rows of earlier buckets tied with this bucket's first key: those buckets form a
-    # contiguous run right before it whose last key equals that key (keys are
-    # monotone over buckets), so a running sum of tie tails per last key, read
-    # from the previous bucket, gives the count - window functions only.
-    by_last_key = Window.partitionBy(*part, "_kmax").orderBy("_bucket") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prev = Window.partitionBy(*part).orderBy("_bucket")
-    runs = stats.select("*", F.sum("_tail").over(by_last_key).alias("_run"))
-    ties = runs.select(
-        *part, "_bucket", "_off", "_n", "_kmin",
-        F.when(F.lag("_kmax").over(prev) == F.col("_kmin"), F.lag("_run").over(prev))
-        .otherwise(F.lit(0)).alias("_tied_before"),
-    )
-
-    out = windowed.join(ties, [*part, "_bucket"]) if part else windowed.join(ties, "_bucket")
-    return out.select(
-        *df.columns,
-        (F.col("_off") + F.col("_rn") - 1).alias("_pos"),
-        F.col("_n"),
-        (F.col("_off") + F.col("_lr")
-         - F.when(F.col("_rk") == F.col("_kmin"), F.col("_tied_before")).otherwise(F.lit(0)))
-        .cast("int").alias("_rank"),
-    )
-
-
-def _positions_only(df: DataFrame, keyed: DataFrame, part: list[str], local) -> DataFrame:
-    windowed = keyed.select("*", F.row_number().over(local.orderBy("_k")).alias("_rn"))
-    per_part = Window.partitionBy(*part).orderBy("_bucket")
-    offsets = windowed.groupBy(*part, "_bucket").agg(F.count(F.lit(1)).alias("_cnt")).select(
-        *part, "_bucket",
-        F.coalesce(F.sum("_cnt").over(per_part.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy(*part)).alias("_n"),
-    )
-    out = windowed.join(offsets, [*part, "_bucket"]) if part else windowed.join(offsets, "_bucket")
-    return out.select(*df.columns, (F.col("_off") + F.col("_rn") - 1).alias("_pos"), F.col("_n"))
-
-
-def ntile_from_position(k: int, pos: str = "_pos", n: str = "_n") -> Column:
-    """NTILE(k) from a 0-based position: the first ``n % k`` tiles get one extra row."""
-    def div(a, b):
-        return F.call_function("div", a, b)
-    g, total = F.col(pos), F.col(n)
-    q = div(total, F.lit(k))
-    r = total - q * k
-    tile = F.when(g < r * (q + 1), div(g, q + 1) + 1) \
-        .otherwise(div(g - r, F.nullif(q, F.lit(0))) + 1)
-    return tile.cast("int")
-
-
-def distributed_ntile(df: DataFrame, k: int, order: list[SortKey], tiebreak: list[str],
-                      name: str, n: int | None = None, plan: BucketPlan | None = None) -> DataFrame:
-    """``NTILE(k) OVER (ORDER BY order, tiebreak)`` as column ``name``."""
-    pos = ordered_positions(df, order, tiebreak, n=n, plan=plan, with_rank=False)
-    return pos.select(*df.columns, ntile_from_position(k).alias(name))
-
-
-def distributed_rank(df: DataFrame, partition_by: list[str], order: list[SortKey],
-                     tiebreak: list[str], name: str) -> DataFrame:
-    """``RANK() OVER (PARTITION BY partition_by ORDER BY order)`` as column ``name``."""
-    pos = ordered_positions(df, order, tiebreak, partition_by=partition_by)
-    return pos.withColumnRenamed("_rank", name).drop("_pos", "_n")
+    df = cut_lineage(df)
+    structs = {name: F.struct(sort_struct(df, order).alias("o"), *[F.col(c) for c in tiebreak]) for name, order in orders.items()}
+    keyed = df.select("*", *[s.alias(f"_k_{name}") for name, s in structs.items()])
+    cuts = order_statistics(keyed, [f"_k_{name}" for name in orders], lambda n: tile_starts(n, k))
+    out = []
+    for name in orders:
+        column = f"_k_{name}"
+        tile = F.lit(1)
+        for (_, key, _), value in cuts.items():
+            if key == column:
+                tile = tile + (F.col(column) >= _literal(value, keyed.schema[column].dataType)).cast("int")
+        out.append(tile.alias(name))
+    return keyed.select(*df.columns, *out)
 
 
 def group_median(df: DataFrame, group: str, value: str, tiebreak: str) -> DataFrame:
@@ -292,9 +222,55 @@ def group_median(df: DataFrame, group: str, value: str, tiebreak: str) -> DataFr
 
     Returns (group, median) with the median as an exact decimal midpoint.
     """
-    src = df.select(group, value, tiebreak).where(F.col(value).isNotNull())
-    pos = ordered_positions(src, [SortKey(value)], [tiebreak], partition_by=[group], with_rank=False)
-    lo = F.floor((F.col("_n") - 1) / 2)
-    hi = F.floor(F.col("_n") / 2)
-    mids = pos.where((F.col("_pos") == lo) | (F.col("_pos") == hi))
-    return mids.groupBy(group).agg(((F.min(value) + F.max(value)) / 2).alias("median"))
+    src = cut_lineage(df.select(group, F.struct(F.col(value).alias("v"), F.col(tiebreak).alias("t")).alias("_k"))
+                      .where(F.col(value).isNotNull()))
+    found = order_statistics(src, ["_k"], lambda n: [(n - 1) // 2, n // 2], group)
+    by_group: dict = {}
+    for (g, _, position), key in sorted(found.items(), key=lambda x: x[0][2]):
+        by_group.setdefault(g, []).append(key["v"])
+    spark = df.sparkSession
+    schema = T.StructType([T.StructField(group, df.schema[group].dataType), T.StructField("lo", df.schema[value].dataType),
+                           T.StructField("hi", df.schema[value].dataType)])
+    rows = spark.createDataFrame([(g, v[0], v[-1]) for g, v in by_group.items()], schema)
+    return rows.select(group, ((F.col("lo") + F.col("hi")) / 2).alias("median"))
+
+
+# ------------------------------------------------------------------ range partitions
+
+def ranked(df: DataFrame, partition_by: list[str], order: list[SortKey], tiebreak: list[str], name: str,
+           ranges: int | None = None) -> DataFrame:
+    """``RANK() OVER (PARTITION BY partition_by ORDER BY order)`` as column ``name``.
+
+    ``partition_by`` columns must be low-cardinality (channels): the bookkeeping
+    has one row per (partition value, range).
+    """
+    part = list(partition_by)
+    df = cut_lineage(df)  # the range sampler and the shuffle read the same rows
+    keyed = df.withColumn("_rk", sort_struct(df, order))
+    by = [*part, "_rk", *tiebreak]
+    spread = keyed.repartitionByRange(ranges, *by) if ranges else keyed.repartitionByRange(*by)
+    local = Window.partitionBy(*part, "_range").orderBy("_rk")
+    # The range number is a row's partition after the range shuffle; it is fixed by the checkpoint.
+    windowed = cut_lineage(spread.withColumn("_range", F.spark_partition_id()).select("*", F.rank().over(local).alias("_lr")))
+
+    per_part = Window.partitionBy(*part).orderBy("_range")
+    stats = windowed.groupBy(*part, "_range").agg(
+        F.count(F.lit(1)).alias("_cnt"), F.max("_lr").alias("_maxlr"),
+        F.min("_rk").alias("_kmin"), F.max("_rk").alias("_kmax"),
+    ).select(
+        *part, "_range", "_kmin", "_kmax",
+        F.coalesce(F.sum("_cnt").over(per_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        (F.col("_cnt") - F.col("_maxlr") + 1).alias("_tail"),
+    )
+    # Rows of earlier ranges tied with this range's first key: keys are monotone over
+    # ranges, so a running sum of tie tails per last key, read from the range before.
+    run = Window.partitionBy(*part, "_kmax").orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = stats.withColumn("_run", F.sum("_tail").over(run)).select(
+        *part, "_range", "_off", "_kmin",
+        F.when(F.lag("_kmax").over(per_part) == F.col("_kmin"), F.lag("_run").over(per_part)).otherwise(F.lit(0)).alias("_tied"))
+    small = ties.select("_off", "_kmin", "_tied", *[F.col(c).alias(f"_to_{c}") for c in [*part, "_range"]])
+    same = [F.col(c).eqNullSafe(F.col(f"_to_{c}")) for c in [*part, "_range"]]
+    return windowed.join(small, same).select(
+        *df.columns,
+        (F.col("_off") + F.col("_lr") - F.when(F.col("_rk") == F.col("_kmin"), F.col("_tied")).otherwise(F.lit(0)))
+        .cast("int").alias(name))

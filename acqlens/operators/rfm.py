@@ -1,8 +1,8 @@
 """RFM operators: M9, Q25-Q27 and the X6 export.
 
 Scores are exact ``NTILE(5)`` over all customers with orders, with
-``customer_id`` as the tiebreak, computed by ``ranking.distributed_ntile``
-(balanced range buckets, no single-partition sort).
+``customer_id`` as the tiebreak, computed by ``ranking.ntiles`` (exact cut keys;
+customers are neither sorted nor shuffled).
 """
 
 from __future__ import annotations
@@ -10,11 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import cut_lineage
 from ..functions.exprs import SUM_MONEY, avg_round, pct2, rounded_ratio
 from ..sources.model import Model
-from .marts import reference_row, stg_customer_facts
-from .ranking import SortKey, distributed_ntile, plan_buckets_many
+from .marts import reference_row, stg_customer_totals
+from .ranking import SortKey, ntiles
 
 # Segment names in rule order (first match wins).
 SEGMENTS = ["Champions", "New", "Lapsed", "At Risk", "Loyal", "Needs Attention"]
@@ -33,7 +32,7 @@ def rfm_base(m: Model) -> DataFrame:
     One row per customer row (a duplicated customer row stays duplicated, each
     copy with the customer's own order measures, as the join it mirrors does).
     """
-    return m.memo("rfm_base", lambda: stg_customer_facts(m).where(F.col("copy_order_rows") > 0)
+    return m.memo("rfm_base", lambda: stg_customer_totals(m).where(F.col("copy_order_rows") > 0)
                     .crossJoin(reference_row(m)).select(
         "customer_id",
         "channel_id", "channel_name", "signup_date",
@@ -41,8 +40,8 @@ def rfm_base(m: Model) -> DataFrame:
         F.col("copy_revenue").alias("monetary"),
         "last_order_date",
         F.datediff("reference_date", "last_order_date").alias("recency_days"),
-        F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
-    ).drop("_copy"))
+        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"),
+    ))
 
 
 def segment_rule() -> F.Column:
@@ -60,13 +59,8 @@ def segment_rule() -> F.Column:
 def mart_customer_rfm(m: Model) -> DataFrame:
     """M9: R/F/M quintile scores and segment per customer with orders."""
     def build():
-        base = cut_lineage(rfm_base(m))
-        n = base.count()
-        # All three samples come from the base rows, before any scoring stage.
-        plans = plan_buckets_many(base, [([key], ["customer_id"], []) for _, key in SCORES], n)
-        scored = base
-        for (name, key), plan in zip(SCORES, plans):
-            scored = distributed_ntile(scored, TILES, [key], ["customer_id"], name, plan=plan)
+        # a duplicated customer's copies are told apart by their number
+        scored = ntiles(rfm_base(m), TILES, {name: [key] for name, key in SCORES}, ["customer_id", "_copy"])
         return scored.select(
             "customer_id", "channel_id", "channel_name", "signup_date", "recency_days",
             "frequency", "monetary", "recency_score", "frequency_score", "monetary_score",

@@ -27,21 +27,40 @@ def test_projection_and_filter_reach_the_scan(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(order_date), GreaterThanOrEqual(order_date,1997-01-01)]" in q
 
 
-def test_customer_grain_has_no_single_partition_window(spark, monkeypatch):
-    from acqlens.operators import ranking
-    monkeypatch.setattr(ranking, "MAX_ROWS_PER_BUCKET", 40)  # force the multi-bucket plan shape
-    m = fresh(spark)
-    text = plan(rfm.mart_customer_rfm(m)) + plan(metrics.customer_revenue_ranked(m))
-    assert "ntile" not in text.lower()
-    # the row-level windows are partitioned by range bucket
-    assert "_bucket" in text
+def _without_aqe(spark, build):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return plan(build())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_orders_are_pre_aggregated_before_the_customer_join(spark):
-    m = fresh(spark)
-    text = plan(marts.mart_customer_revenue(m))
-    # partial aggregate on (customer_id, order_date) exists below the join
-    assert "partial_count" in text or "partial_sum" in text
+def test_customer_grain_has_no_single_partition_window(spark):
+    text = _without_aqe(spark, lambda: rfm.mart_customer_rfm(fresh(spark)))
+    assert "Window" not in text and "Exchange" not in text  # tiles are comparisons with cut keys
+    ranked = _without_aqe(spark, lambda: metrics.customer_revenue_ranked(fresh(spark)))
+    # what is left after the checkpoint: windows over the few per-range rows, partitioned by channel
+    assert "SinglePartition" not in ranked and "Window" in ranked
+
+
+def test_customer_totals_shuffle_orders_once(spark, tmp_path):
+    write_model(fresh(spark), str(tmp_path / "model"))
+    m = read_parquet_model(spark, str(tmp_path / "model"))
+    m.persist = False
+    lines = _without_aqe(spark, lambda: marts.mart_customer_revenue(m)).splitlines()
+    scan = next(i for i, x in enumerate(lines) if "order_amount" in x and "FileScan" in x)
+    depth = len(lines[scan]) - len(lines[scan].lstrip(" :+-*()0123456789"))
+    above, level = [], depth
+    for x in reversed(lines[:scan]):  # the scan's ancestors
+        d = len(x) - len(x.lstrip(" :+-*()0123456789"))
+        if d < level:
+            above.append(x)
+            level = d
+    exchanges = [x for x in above if "Exchange" in x]
+    assert len(exchanges) == 1 and "hashpartitioning(customer_id" in exchanges[0], exchanges
+    assert any("partial_sum" in x for x in above)
 
 
 def test_top_k_per_segment_uses_group_limit(spark):

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from acqlens.operators.ranking import (SortKey, distributed_ntile, distributed_rank, group_median,
-                                       ordered_positions)
+from acqlens.operators import ranking
+from acqlens.operators.ranking import SortKey, group_median, ntiles, ranked, tile_starts
 
 SF = "/root/testdata/sf0.01"
 
@@ -25,42 +25,37 @@ def _diff(a, b, cols):
     return a.select(*cols).exceptAll(b.select(*cols)).count() + b.select(*cols).exceptAll(a.select(*cols)).count()
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 7, 64])
-@pytest.mark.parametrize("asc", [True, False])
-def test_ntile_matches_window(spark, lines, buckets, asc):
-    key = F.col("q").asc() if asc else F.col("q").desc()
-    expected = lines.withColumn("t", F.ntile(5).over(Window.orderBy(key, "id")))
-    pos = ordered_positions(lines, [SortKey("q", ascending=asc)], ["id"], buckets=buckets)
-    from acqlens.operators.ranking import ntile_from_position
-    got = pos.withColumn("t", ntile_from_position(5))
-    assert _diff(expected, got, ["id", "t"]) == 0
+@pytest.mark.parametrize("finish", [4, 512, 10**9])  # many narrowing rounds, some, none
+def test_ntiles_match_windows(spark, lines, monkeypatch, finish):
+    monkeypatch.setattr(ranking, "FINISH", finish)
+    monkeypatch.setattr(ranking, "SAMPLE", 300 if finish == 4 else 4096)
+    expected = lines.withColumn("t", F.ntile(5).over(Window.orderBy(F.col("q").desc(), "id"))).withColumn(
+        "u", F.ntile(5).over(Window.orderBy(F.col("d").asc_nulls_last(), "id")))
+    got = ntiles(lines, 5, {"t": [SortKey("q", ascending=False)], "u": [SortKey("d")]}, ["id"])
+    assert _diff(expected, got, ["id", "t", "u"]) == 0
 
 
-@pytest.mark.parametrize("buckets", [1, 5, 32])
-def test_rank_per_partition_with_nulls(spark, lines, buckets):
-    w = Window.partitionBy("flag").orderBy(F.col("d").desc_nulls_first())
-    expected = lines.withColumn("r", F.rank().over(w))
-    got = ordered_positions(lines, [SortKey("d", ascending=False)], ["id"], partition_by=["flag"],
-                            buckets=buckets).withColumnRenamed("_rank", "r")
-    assert _diff(expected, got, ["id", "r"]) == 0
+def test_ntiles_neither_sort_nor_shuffle_rows(spark, lines):
+    text = ntiles(lines, 5, {"t": [SortKey("q")]}, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Window" not in text and "Sort" not in text
 
 
-def test_row_position_per_partition(spark, lines):
-    w = Window.partitionBy("flag").orderBy("q", "id")
-    expected = lines.withColumn("p", F.row_number().over(w) - 1)
-    got = ordered_positions(lines, [SortKey("q")], ["id"], partition_by=["flag"], buckets=16) \
-        .withColumnRenamed("_pos", "p")
-    assert _diff(expected, got, ["id", "p"]) == 0
+@pytest.mark.parametrize("ranges", [1, 64, 1500])
+def test_rank_per_partition_with_nulls(spark, lines, ranges):
+    w = Window.partitionBy("flag").orderBy(F.col("d").desc_nulls_first())
+    expected = lines.withColumn("r", F.rank().over(w))
+    assert _diff(expected, ranked(lines, ["flag"], [SortKey("d", ascending=False)], ["id"], "r", ranges), ["id", "r"]) == 0
 
 
-def test_distributed_rank_helper(spark, lines):
-    w = Window.partitionBy("flag").orderBy(F.col("q").desc())
-    expected = lines.withColumn("r", F.rank().over(w))
-    got = distributed_rank(lines, ["flag"], [SortKey("q", ascending=False)], ["id"], "r")
-    assert _diff(expected, got, ["id", "r"]) == 0
+def test_rank_with_default_ranges_and_null_partitions(spark, lines):
+    some = lines.withColumn("flag", F.when(F.col("flag") != "R", F.col("flag")))
+    expected = some.withColumn("r", F.rank().over(Window.partitionBy("flag").orderBy(F.col("q").desc())))
+    assert _diff(expected, ranked(some, ["flag"], [SortKey("q", ascending=False)], ["id"], "r"), ["id", "r"]) == 0
 
 
-def test_median_matches_percentile(spark, lines):
+@pytest.mark.parametrize("finish", [4, 512])
+def test_median_matches_percentile(spark, lines, monkeypatch, finish):
+    monkeypatch.setattr(ranking, "FINISH", finish)
     src = lines.withColumn("v", (F.col("q") * F.lit(1.25)).cast("decimal(12,2)"))
     expected = src.groupBy("flag").agg(F.percentile("v", 0.5).alias("m")).select(
         "flag", F.round(F.col("m"), 2).cast("double").alias("m"))
@@ -68,29 +63,29 @@ def test_median_matches_percentile(spark, lines):
     assert _diff(expected, got, ["flag", "m"]) == 0
 
 
+def test_median_of_repeated_rows_and_small_groups(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "FINISH", 8)  # equal rows cannot be narrowed: they are counted
+    rows = [("a", 1, 7)] * 500 + [("a", 1, 9)] * 501 + [("b", 2, 5), ("b", 3, 6), (None, 4, 1), ("c", 5, None)]
+    df = spark.createDataFrame(rows, "g string, id int, v int")
+    got = {r.g: float(r.median) for r in group_median(df, "g", "v", "id").collect()}
+    assert got == {"a": 9.0, "b": 5.5, None: 1.0}
+
+
 @pytest.mark.parametrize("n,expected", [(7, [1, 1, 2, 2, 3, 4, 5]), (3, [1, 2, 3]), (5, [1, 2, 3, 4, 5])])
 def test_ntile_small_groups_f11_f12(spark, n, expected):
     df = spark.range(n).select(F.col("id"), F.lit(1).alias("frequency"))
-    got = distributed_ntile(df, 5, [SortKey("frequency")], ["id"], "t").orderBy("id")
+    got = ntiles(df, 5, {"t": [SortKey("frequency")]}, ["id"]).orderBy("id")
     assert [r["t"] for r in got.collect()] == expected
 
 
-def test_empty_input(spark):
-    df = spark.range(0).select(F.col("id"), F.lit(1).alias("k"))
-    assert distributed_ntile(df, 5, [SortKey("k")], ["id"], "t").count() == 0
-
+def test_tile_starts():
+    for n in range(30):
+        sizes = [b - a for a, b in zip([0, *tile_starts(n, 5)], [*tile_starts(n, 5), n])]
+        assert sum(sizes) == n and sizes == sorted(sizes, reverse=True) and sizes[0] - sizes[-1] <= 1
 
-def test_bucket_count_grows_with_data(spark):
-    from acqlens.operators import ranking
-    assert ranking.bucket_count(spark, 1_500) == 1
-    assert ranking.bucket_count(spark, 10_000_000) >= 10          # <= 1M rows per bucket
-    assert ranking.bucket_count(spark, 10**12) == ranking.MAX_BUCKETS
 
-
-def test_automatic_bucketing_matches_window(spark, lines, monkeypatch):
-    from acqlens.operators import ranking
-    monkeypatch.setattr(ranking, "MIN_ROWS_PER_BUCKET", 5_000)
-    monkeypatch.setattr(ranking, "MAX_ROWS_PER_BUCKET", 10_000)   # 60k rows -> 6 buckets
-    expected = lines.withColumn("t", F.ntile(5).over(Window.orderBy(F.col("q").desc(), "id")))
-    got = distributed_ntile(lines, 5, [SortKey("q", ascending=False)], ["id"], "t")
-    assert _diff(expected, got, ["id", "t"]) == 0
+def test_empty_input(spark):
+    df = spark.range(0).select(F.col("id"), F.lit(1).alias("k"), F.lit("x").alias("g"))
+    assert ntiles(df, 5, {"t": [SortKey("k")]}, ["id"]).count() == 0
+    assert ranked(df, ["g"], [SortKey("k")], ["id"], "r").count() == 0
+    assert group_median(df, "g", "k", "id").count() == 0
