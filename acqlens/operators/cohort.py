@@ -14,9 +14,9 @@ Two paths with identical results (asserted in the tests):
   x 18 months the spine would be ~1.8B rows; the compact path shuffles the
   monthly order aggregate once and everything after it is tiny.
 
-The spine has exactly one row per (customer, month), so
-``COUNT(DISTINCT customer_id)`` over it equals a row count as long as
-``customer_id`` is unique (the PK check V1 guards this).
+Customers are counted distinct: the compact path reduces customer rows to one
+per (customer, channel, cohort month) before it counts, and keeps the number of
+copies for the revenue, which a join of every copy to the orders multiplies.
 """
 
 from __future__ import annotations
@@ -31,14 +31,16 @@ from .staging import stg_customers
 
 
 def _cohort_customers(m: Model) -> DataFrame:
-    """stg_customers with cohort month, restricted to cohorts the spine covers."""
-    return stg_customers(m).crossJoin(reference_row(m)).select(
+    """Distinct (customer, channel, cohort month) of stg_customers with the number of ``copies``,
+    restricted to cohorts the spine covers; partitioned by ``customer_id`` for the joins."""
+    keys = ["customer_id", "channel_id", "channel_name", "cohort_month", "reference_month"]
+    return stg_customers(m).repartition("customer_id").crossJoin(reference_row(m)).select(
         "customer_id",
         F.col("acquisition_channel_id").alias("channel_id"),
         F.col("acquisition_channel_name").alias("channel_name"),
         month_start("signup_date").alias("cohort_month"),
         "reference_month",
-    ).where(F.col("cohort_month") <= F.col("reference_month"))
+    ).where(F.col("cohort_month") <= F.col("reference_month")).groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def _month_series(start, stop):
@@ -107,7 +109,7 @@ def active_cells(m: Model) -> DataFrame:
         ).select(
             "customer_id", "channel_id", "channel_name", "cohort_month",
             months_between_cal("order_month", "cohort_month").alias("months_since_acquisition"),
-            "revenue",
+            (F.col("revenue") * F.col("copies")).cast(SUM_MONEY).alias("revenue"),
         )
     return m.memo("active_cells", build)
 
@@ -217,16 +219,20 @@ def pbi_cohort_retention(m: Model) -> DataFrame:
     )
 
 
-def retention_matrix(m: Model, max_month: int | None = None) -> DataFrame:
-    """Rows cohort_month, one column per month since acquisition, values retention %.
+def retention_matrix(m: Model) -> DataFrame:
+    """One row per cohort month; its retention percentages from month 0 on, in order, as one
+    comma-separated text. Any number of months fits, as the table has no column per month."""
+    cells = F.sort_array(F.collect_list(F.struct("months_since_acquisition", "retention_rate_pct")))
+    return pbi_cohort_retention(m).groupBy("cohort_month").agg(
+        F.array_join(F.transform(cells, lambda c: c["retention_rate_pct"].cast("string")), ",").alias("retention_by_month"))
 
-    Pivot values are passed explicitly (0..max_month) so Spark does not run a
-    distinct query to discover them; by default the widest cohort decides.
+
+def retention_pivot(m: Model) -> DataFrame:
+    """The retention matrix laid out for display: one column per month since acquisition.
+
+    Reads the widest cohort's length first (one-row job).
     """
     grid = pbi_cohort_retention(m)
-    if max_month is None:
-        row = grid.agg(F.max("months_since_acquisition").alias("mx")).first()
-        max_month = int(row["mx"]) if row and row["mx"] is not None else 0
-    months = list(range(max_month + 1))
-    return grid.groupBy("cohort_month").pivot("months_since_acquisition", months).agg(
+    widest = grid.agg(F.max("months_since_acquisition").alias("mx")).first()["mx"]
+    return grid.groupBy("cohort_month").pivot("months_since_acquisition", list(range((widest or 0) + 1))).agg(
         F.first("retention_rate_pct"))
