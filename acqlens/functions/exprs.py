@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SUM_MONEY = T.DecimalType(22, 2)
+SUM_MONEY = T.DecimalType(28, 2)
 RATIO = T.DecimalType(20, 2)
 _WIDE = T.DecimalType(38, 0)
 
@@ -49,11 +49,6 @@ def rounded_ratio(num, den, digits: int = 2, num_scale: int = 0, den_scale: int
     return (signed.cast(_WIDE) * unit).cast(T.DecimalType(20, digits))
 
 
-def ratio2(num, den, num_scale: int = 2, den_scale: int = 2) -> Column:
-    """``round(num / nullif(den, 0), 2)``; defaults to money / money."""
-    return rounded_ratio(num, den, 2, num_scale, den_scale)
-
-
 def pct2(num, den) -> Column:
     """``round(100.0 * num / nullif(den, 0), 2)`` for counts."""
     return rounded_ratio(num, den, 2, 0, 0, factor=100)
@@ -86,7 +81,3 @@ def month_index(c) -> Column:
 def months_between_cal(later, earlier) -> Column:
     return month_index(later) - month_index(earlier)
 
-
-def desc_nulls_first(c) -> Column:
-    """Postgres ``DESC`` default null placement."""
-    return _col(c).desc_nulls_first()

@@ -8,17 +8,19 @@ The mapping is a fixed, documented rule so that the DuckDB oracle in
   the campaign runs from ``make_date(1995 + k % 6, 1 + k % 12, 1)`` for
   ``90 + 20 * (k % 5)`` days; the objective cycles through the four objectives.
 * orders    <- orders   (o_orderkey, o_custkey, date of o_orderdate,
-  o_totalprice as DECIMAL(12,2))
+  o_totalprice as money)
 * customers <- customer (c_custkey, c_nationkey as first campaign, region =
   c_mktsegment); signup is the customer's first order date (1996-01-01 when
-  there is none) minus ``c_custkey % 4`` days.
+  there is none) minus ``c_custkey % 4`` days, or plus 20 days for every 40th
+  customer (``c_custkey % 40 = 11``), whose first orders thus precede it.
 * daily_campaign_spend <- lineitem joined to supplier; the supplier's nation is
-  the campaign. Only ship dates inside the campaign window count; per
-  (campaign, day): spend = sum(extendedprice * discount) in exact decimals,
+  the campaign. Every line counts, also on days outside the campaign's window;
+  per (campaign, day): spend = sum(extendedprice * discount) in exact decimals,
   impressions = sum(quantity), clicks = number of lines.
 * leads     <- one converted lead per customer (id 2 * customer_id, the
   customer's campaign and signup date) plus one unconverted lead per event
-  (id 2 * event_id + 1, campaign ``user_id % 25``, the event's date).
+  (id 2 * event_id + 1, campaign ``user_id`` modulo the number of nations, the
+  event's date).
 """
 
 from __future__ import annotations
@@ -28,13 +30,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.broadcast import one_row
 from .model import Model, model_from_frames
 
 # Campaign objectives, in the order k % 4 selects them.
 OBJECTIVES = ["Lead Generation", "Conversions", "Brand Awareness", "Retargeting"]
 
 NO_ORDER_SIGNUP = "1996-01-01"
-EVENT_CAMPAIGNS = 25
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +82,7 @@ def model_from_driver(spark: SparkSession, sf_dir: str) -> Model:
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         F.to_date("o_orderdate").alias("order_date"),
-        F.col("o_totalprice").cast("decimal(12,2)").alias("order_amount"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("order_amount"),
     )
 
     # First order per customer: a partial/final aggregate, one row per buyer.
@@ -90,9 +92,9 @@ def model_from_driver(spark: SparkSession, sf_dir: str) -> Model:
         .select(
             F.col("c_custkey").alias("customer_id"),
             F.col("c_nationkey").cast("int").alias("first_campaign_id"),
-            F.date_sub(
+            F.date_add(
                 F.coalesce(F.col("first_order_date"), F.lit(NO_ORDER_SIGNUP).cast("date")),
-                (F.col("c_custkey") % 4).cast("int"),
+                F.when(F.col("c_custkey") % 40 == 11, 20).otherwise(-(F.col("c_custkey") % 4)).cast("int"),
             ).alias("signup_date"),
             F.col("c_mktsegment").alias("region"),
         )
@@ -100,13 +102,11 @@ def model_from_driver(spark: SparkSession, sf_dir: str) -> Model:
 
     # Spend: lines are first reduced to (supplier, ship day) with exact decimal
     # sums (map-side partial aggregation; a supplier owning a third of all lines
-    # becomes one row per day), then joined to supplier (left to the planner's
-    # size check) and to the campaigns - one per nation, 25 by the TPC-H
-    # definition, so the broadcast hint is bounded - filtered to the campaign
-    # window and summed per (campaign, day).
+    # becomes one row per day), then joined to supplier and summed per
+    # (campaign, day). The planner chooses the join by measured sizes.
     ship = F.to_date("l_shipdate")
     per_supplier_day = lineitem.groupBy("l_suppkey", ship.alias("ship_date")).agg(
-        F.sum(F.col("l_extendedprice").cast("decimal(12,2)")
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")
               * F.col("l_discount").cast("decimal(4,2)")).alias("_spend"),
         F.sum("l_quantity").alias("_qty"),
         F.count(F.lit(1)).alias("_lines"),
@@ -114,14 +114,12 @@ def model_from_driver(spark: SparkSession, sf_dir: str) -> Model:
     spend = (
         per_supplier_day
         .join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(F.broadcast(campaigns.select("campaign_id", "start_date", "end_date")),
-              F.col("s_nationkey") == F.col("campaign_id"))
-        .where(F.col("ship_date").between(F.col("start_date"), F.col("end_date")))
+        .join(campaigns.select("campaign_id"), F.col("s_nationkey") == F.col("campaign_id"))
         .groupBy("campaign_id", F.col("ship_date").alias("spend_date"))
         .agg(
-            F.sum("_spend").cast("decimal(12,2)").alias("spend_amount"),
-            F.sum("_qty").cast("int").alias("impressions"),
-            F.sum("_lines").cast("int").alias("clicks"),
+            F.sum("_spend").cast("decimal(18,2)").alias("spend_amount"),
+            F.sum("_qty").cast("bigint").alias("impressions"),
+            F.sum("_lines").cast("bigint").alias("clicks"),
         )
     )
 
@@ -132,9 +130,10 @@ def model_from_driver(spark: SparkSession, sf_dir: str) -> Model:
         F.lit(True).alias("converted_flag"),
         F.col("customer_id").alias("converted_customer_id"),
     )
-    unconverted = events.select(
+    nations = one_row(nation.agg(F.count(F.lit(1)).alias("_nations")))
+    unconverted = events.crossJoin(nations).select(
         (F.col("event_id") * 2 + 1).alias("lead_id"),
-        (F.col("user_id") % EVENT_CAMPAIGNS).cast("int").alias("campaign_id"),
+        (F.col("user_id") % F.col("_nations")).cast("int").alias("campaign_id"),
         F.to_date("ts").alias("lead_date"),
         F.lit(False).alias("converted_flag"),
         F.lit(None).cast("bigint").alias("converted_customer_id"),

@@ -1,7 +1,8 @@
 """File sources and sinks for the model.
 
-* ``read_csv_model`` - typed CSV scan with a header; the schema fixes column
-  order and types, empty fields are NULL and malformed rows fail the load.
+* ``read_csv_model`` - typed CSV scan with a header; the header must name the
+  schema's columns in order (a reordered file fails instead of loading swapped
+  values), empty fields are NULL and malformed rows fail the load.
 * ``read_parquet_model`` / ``write_model`` - columnar storage of the model; a
   write is a full refresh (overwrite) of all six tables.
 """
@@ -19,6 +20,7 @@ def read_csv_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return (
         spark.read.schema(TABLES[name])
         .option("header", True)
+        .option("enforceSchema", False)
         .option("mode", "FAILFAST")
         .option("nullValue", "")
         .option("dateFormat", "yyyy-MM-dd")
@@ -47,7 +49,9 @@ def write_model(model: Model, directory: str, mode: str = "overwrite",
     """Full-refresh load of all six tables, parents first.
 
     With ``partition_months`` the two date-grain fact tables are laid out by
-    calendar month, so month filters prune whole directories.
+    calendar month, so month filters prune whole directories. Rows are first
+    range-partitioned by date and id: a task writes few months, and a month with
+    many rows is written by several tasks.
     """
     from pyspark.sql import functions as F
 
@@ -56,7 +60,8 @@ def write_model(model: Model, directory: str, mode: str = "overwrite",
         writer = df.write.mode(mode)
         if partition_months and name in ("orders", "daily_campaign_spend"):
             date_col = "order_date" if name == "orders" else "spend_date"
-            df = df.withColumn("month", F.date_format(date_col, "yyyy-MM"))
+            id_col = "order_id" if name == "orders" else "campaign_id"
+            df = df.withColumn("month", F.date_format(date_col, "yyyy-MM")).repartitionByRange(date_col, id_col)
             writer = df.write.mode(mode).partitionBy("month")
         writer.parquet(os.path.join(directory, name))
 

@@ -1,8 +1,9 @@
 """The six-table funnel model: schemas, conformance and the ``Model`` holder.
 
 Types follow the reference DDL, with entity ids widened to 64-bit (a customer
-table at cluster scale overflows int32). Money is exact ``DECIMAL(12,2)``;
-every sum of it is ``DECIMAL(22,2)`` in Spark.
+table at cluster scale overflows int32), as are impressions and clicks. Money is
+exact ``DECIMAL(18,2)`` (a day's spend of one campaign grows with the data);
+every sum of it is ``DECIMAL(28,2)`` in Spark.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(12, 2)
+MONEY = T.DecimalType(18, 2)
 
 CHANNELS = T.StructType([
     T.StructField("channel_id", T.IntegerType(), False),
@@ -35,8 +36,8 @@ DAILY_CAMPAIGN_SPEND = T.StructType([
     T.StructField("campaign_id", T.IntegerType(), False),
     T.StructField("spend_date", T.DateType(), False),
     T.StructField("spend_amount", MONEY, False),
-    T.StructField("impressions", T.IntegerType(), False),
-    T.StructField("clicks", T.IntegerType(), False),
+    T.StructField("impressions", T.LongType(), False),
+    T.StructField("clicks", T.LongType(), False),
 ])
 
 CUSTOMERS = T.StructType([
@@ -137,9 +138,6 @@ class Model:
                 value.unpersist()
         self._memo.clear()
 
-    def conformed(self) -> "Model":
-        return Model(**{name: conform(df, TABLES[name]) for name, df in self.tables().items()})
-
     def replace(self, **tables: DataFrame) -> "Model":
         current = self.tables()
         current.update(tables)

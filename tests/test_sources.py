@@ -67,3 +67,47 @@ def test_dashboard_exports(spark, model, tmp_path):
     assert written == sorted(exports.export_frames(model))
     assert len(written) == 7
     assert spark.read.parquet(str(tmp_path / "bi" / "pbi_executive_summary")).count() == 1
+
+
+def test_csv_with_reordered_header_fails(spark, tmp_path):
+    import pytest
+
+    from acqlens.sources.files import read_csv_table
+
+    path = tmp_path / "leads.csv"
+    path.write_text("campaign_id,lead_id,lead_date,converted_flag,converted_customer_id\n7,1,1996-01-01,true,5\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv_table(spark, str(path), "leads").collect()
+
+
+def test_monthly_layout_writes_few_files(spark, tmp_path):
+    import os
+
+    from acqlens.sources.driver import model_from_driver
+    from acqlens.sources.files import write_model
+
+    write_model(model_from_driver(spark, "/root/testdata/sf0.001"), str(tmp_path / "m"), partition_months=True)
+    files = sum(f.endswith(".parquet") for _, _, names in os.walk(tmp_path / "m/orders") for f in names)
+    months = sum(name.startswith("month=") for name in os.listdir(tmp_path / "m/orders"))
+    assert files <= months + int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_every_line_reaches_the_spend_table(spark):
+    from pyspark.sql import functions as F
+
+    from acqlens.sources.driver import model_from_driver
+
+    m = model_from_driver(spark, "/root/testdata/sf0.01")
+    assert m.daily_campaign_spend.agg(F.sum("clicks")).first()[0] == spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
+
+
+def test_cluster_without_checkpoint_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from acqlens.plans.session import checkpoint_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
