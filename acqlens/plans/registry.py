@@ -2,7 +2,10 @@
 
 ``OPERATORS`` maps each name to ``op(model) -> DataFrame``. ``register_views``
 publishes them as session temp views so they can also be queried with
-``spark.sql``; every view stays lazy until an action.
+``spark.sql``. Views are lazy but for those that rank customers
+(``mart_customer_rfm`` and what reads it, ``customer_revenue_ranked``,
+``ltv_by_channel``): registering one of them runs its checkpoint and its
+cut-key passes, so register by name what a session needs.
 """
 
 from __future__ import annotations

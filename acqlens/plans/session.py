@@ -10,6 +10,7 @@ shared checkpoint folder taken from the cluster's own ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # files go with their DataFrame
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -52,15 +54,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     The context's checkpoint directory (initialised from ``spark.checkpoint.dir``)
-    is used as is. Only when nothing is configured (local tests) a private
-    folder under the system temp dir is set on the context, so a cluster job
-    never writes lineage cuts to machine-local disk.
+    is used as is. In local mode without one (tests) a private folder under the
+    system temp dir is set on the context; on a cluster that is an error, as
+    executors do not share such a folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="acqlens-ckpt-")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="acqlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
