@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from acqlens.llm.storage import settle
+from acqlens.llm.storage import few, settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
@@ -96,7 +96,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_i
     ruled = by_url.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
     seeds = ruled.where("by_rule is not null").groupBy("host").agg(
         F.count_if(F.col("by_rule") == ALLOW).alias("trusted"), F.count_if(F.col("by_rule") == BLOCK).alias("distrusted"))
-    scores = propagate(host_edges(pages, url_col, html_col), seeds)
+    scores = few(propagate(host_edges(pages, url_col, html_col), seeds))  # few hosts are broadcast, many joined by shuffle
     zero = F.lit(0.0)
     out = ruled.join(scores, "host", "left").select(
         id_col, "host", "path", "rule", "by_rule",
