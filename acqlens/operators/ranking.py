@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from ..plans.session import cut_lineage
 
 SAMPLE = 4096   # sampled keys per wanted position and round
-FINISH = 512    # a bracket with at most so many rows is read out
+FINISH = 2048   # a bracket with at most so many rows is read out
 SEED = 1729
 
 
@@ -74,11 +74,16 @@ def sort_struct(df: DataFrame, order: list[SortKey]) -> Column:
     return F.struct(*fields)
 
 
-def _literal(value, dtype: T.DataType) -> Column:
+def _sql(value, dtype: T.DataType) -> str:
+    """A typed SQL literal (one parsed text instead of many nested Column calls)."""
+    kind = dtype.simpleString()
     if isinstance(dtype, T.StructType):
-        return F.struct(*[_literal(value[f.name] if value is not None else None, f.dataType).alias(f.name)
-                          for f in dtype.fields])
-    return F.lit(value).cast(dtype)
+        fields = ", ".join(f"'{f.name}', {_sql(None if value is None else value[f.name], f.dataType)}" for f in dtype.fields)
+        return f"named_struct({fields})"
+    if value is None:
+        return f"CAST(NULL AS {kind})"
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"CAST('{text}' AS {kind})"
 
 
 def _comparable(value):
@@ -105,36 +110,44 @@ class _Target:
     stalled: bool = False
     round: int = 0
 
-    def inside(self, group_col: str | None, dtype: T.DataType) -> Column:
-        cond = F.lit(True) if group_col is None else F.col(group_col).eqNullSafe(F.lit(self.group))
+    def inside(self, group_col: tuple[str, T.DataType] | None, dtype: T.DataType) -> str:
+        """SQL condition: a row of the target's group with a key in the bracket."""
+        parts = ["true"] if group_col is None else [f"`{group_col[0]}` <=> {_sql(self.group, group_col[1])}"]
         if self.low is not None:
-            cond = cond & (F.col(self.key) >= _literal(self.low, dtype))
+            parts.append(f"`{self.key}` >= {_sql(self.low, dtype)}")
         if self.high is not None:
-            cond = cond & (F.col(self.key) <= _literal(self.high, dtype))
-        return cond
-
-
-def _collect_inside(base: DataFrame, targets: list[_Target], group_col, dtype, fraction, counted: bool) -> list[list]:
-    """Per target: sampled keys of its bracket, or all its (key, count) pairs in order."""
-    key = targets[0].key
-    marks = [F.when(t.inside(group_col, dtype) & (F.rand(SEED + 101 * t.round + i) < fraction(t) if fraction else F.lit(True)), F.lit(i))
-             for i, t in enumerate(targets)]
-    rows = base.select(F.explode(F.array_compact(F.array(*marks))).alias("t"), F.col(key).alias("k"))
+            parts.append(f"`{self.key}` <= {_sql(self.high, dtype)}")
+        return "(" + " AND ".join(parts) + ")"
+
+
+def _collect_inside(base: DataFrame, targets: list[_Target], group_col, dtypes: dict, sampled: bool) -> list[list]:
+    """One job: per target the sorted keys of its bracket, or of a sample of it (one draw per row for all targets)."""
+    keys = list(dict.fromkeys(t.key for t in targets))
+    marks = {key: [] for key in keys}
+    for i, t in enumerate(targets):
+        draw = f" AND _draw < {min(1.0, SAMPLE / t.rows)!r}D" if sampled else ""
+        marks[t.key].append(f"CASE WHEN {t.inside(group_col, dtypes[t.key])}{draw} THEN {i} END")
+    found = base.withColumn("_draw", F.rand(SEED + targets[0].round)).selectExpr(
+        *[f"array_compact(array({', '.join(marks[key])})) AS `t_{key}`" for key in keys], *keys)
+    any_hit = " OR ".join(f"size(`t_{key}`) > 0" for key in keys)
     out: list[list] = [[] for _ in targets]
-    if counted:
-        for r in rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).collect():
-            out[r["t"]].append((r["k"], r["n"]))
-        return [sorted(x, key=lambda p: _comparable(p[0])) for x in out]
-    for r in rows.collect():
-        out[r["t"]].append(r["k"])
+    for row in found.where(any_hit).collect():
+        for key in keys:
+            for i in row[f"t_{key}"]:
+                out[i].append(row[key])
     return [sorted(x, key=_comparable) for x in out]
 
 
-def _narrow(base: DataFrame, targets: list[_Target], group_col, dtype) -> None:
-    """One round: sample every bracket, propose a narrower one, count, keep the side that holds the position."""
-    samples = _collect_inside(base, targets, group_col, dtype, lambda t: min(1.0, SAMPLE / t.rows), counted=False)
+def _key_counts(base: DataFrame, t: _Target, group_col, dtype) -> list[tuple]:
+    """The (key, count) pairs of a bracket of few distinct keys, in order."""
+    rows = base.where(t.inside(group_col, dtype)).groupBy(F.col(t.key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return sorted(((r["k"], r["n"]) for r in rows.collect()), key=lambda p: _comparable(p[0]))
+
+
+def _narrow(base: DataFrame, targets: list[_Target], group_col, dtypes: dict) -> None:
+    """One round in two jobs: sample every bracket and propose a narrower one, then count and accept it."""
     proposals = []
-    for t, keys in zip(targets, samples):
+    for t, keys in zip(targets, _collect_inside(base, targets, group_col, dtypes, sampled=True)):
         s = len(keys)
         share = (t.position - t.below) / t.rows
         margin = 3 * math.sqrt(s * share * (1 - share)) + 2
@@ -142,12 +155,11 @@ def _narrow(base: DataFrame, targets: list[_Target], group_col, dtype) -> None:
         proposals.append((keys[lo] if 0 <= lo < s else t.low, keys[hi] if 0 <= hi < s else t.high))
     counts = []
     for i, (t, (low, high)) in enumerate(zip(targets, proposals)):
-        here = t.inside(group_col, dtype)
-        k = F.col(t.key)
-        under = F.lit(False) if low is None else k < _literal(low, dtype)
-        over = F.lit(False) if high is None else k > _literal(high, dtype)
-        counts += [F.count_if(here & under).alias(f"u{i}"), F.count_if(here & over).alias(f"o{i}")]
-    row = base.agg(*counts).first()
+        here = t.inside(group_col, dtypes[t.key])
+        under = "false" if low is None else f"`{t.key}` < {_sql(low, dtypes[t.key])}"
+        over = "false" if high is None else f"`{t.key}` > {_sql(high, dtypes[t.key])}"
+        counts += [f"count_if({here} AND {under}) AS u{i}", f"count_if({here} AND {over}) AS o{i}"]
+    row = base.selectExpr(*counts).first()
     for i, (t, (low, high)) in enumerate(zip(targets, proposals)):
         under, over = row[f"u{i}"], row[f"o{i}"]
         at, before = t.position - t.below, (t.low, t.high)
@@ -169,24 +181,27 @@ def order_statistics(df: DataFrame, keys: list[str], wanted, group_col: str | No
         sizes = {None: df.count()}
     else:
         sizes = {r[0]: r[1] for r in df.groupBy(group_col).count().collect()}
+    dtypes = {key: df.schema[key].dataType for key in keys}
+    group = None if group_col is None else (group_col, df.schema[group_col].dataType)
+    base = df.select(*([group_col] if group_col else []), *keys)
+    targets = [_Target(g, key, p, n) for key in keys for g, n in sizes.items() for p in sorted(set(wanted(n))) if 0 <= p < n]
     done = {}
-    for key in keys:
-        dtype = df.schema[key].dataType
-        base = df.select(*([group_col] if group_col else []), key)
-        open_targets = [_Target(g, key, p, n) for g, n in sizes.items() for p in sorted(set(wanted(n))) if 0 <= p < n]
-        while open_targets:
-            ready = [t for t in open_targets if t.rows <= FINISH or t.stalled]
-            if ready:
-                for t, pairs in zip(ready, _collect_inside(base, ready, group_col, dtype, None, counted=True)):
-                    at = t.position - t.below
-                    for value, n in pairs:
-                        if at < n:
-                            done[(t.group, key, t.position)] = value
-                            break
-                        at -= n
-                open_targets = [t for t in open_targets if t not in ready]
-            if open_targets:
-                _narrow(base, open_targets, group_col, dtype)
+    while targets:
+        small = [t for t in targets if t.rows <= FINISH]
+        if small:
+            for t, found in zip(small, _collect_inside(base, small, group, dtypes, sampled=False)):
+                done[(t.group, t.key, t.position)] = found[t.position - t.below]
+        repeated = [t for t in targets if t.rows > FINISH and t.stalled]
+        for t in repeated:
+            at = t.position - t.below
+            for value, n in _key_counts(base, t, group, dtypes[t.key]):
+                if at < n:
+                    done[(t.group, t.key, t.position)] = value
+                    break
+                at -= n
+        targets = [t for t in targets if (t.group, t.key, t.position) not in done]
+        if targets:
+            _narrow(base, targets, group, dtypes)
     return done
 
 
@@ -209,12 +224,10 @@ def ntiles(df: DataFrame, k: int, orders: dict[str, list[SortKey]], tiebreak: li
     out = []
     for name in orders:
         column = f"_k_{name}"
-        tile = F.lit(1)
-        for (_, key, _), value in cuts.items():
-            if key == column:
-                tile = tile + (F.col(column) >= _literal(value, keyed.schema[column].dataType)).cast("int")
-        out.append(tile.alias(name))
-    return keyed.select(*df.columns, *out)
+        dtype = keyed.schema[column].dataType
+        above = [f"int(`{column}` >= {_sql(value, dtype)})" for (_, key, _), value in cuts.items() if key == column]
+        out.append(" + ".join(["1", *above]) + f" AS `{name}`")
+    return keyed.selectExpr(*[f"`{c}`" for c in df.columns], *out)
 
 
 def group_median(df: DataFrame, group: str, value: str, tiebreak: str) -> DataFrame:

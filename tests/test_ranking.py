@@ -25,7 +25,7 @@ def _diff(a, b, cols):
     return a.select(*cols).exceptAll(b.select(*cols)).count() + b.select(*cols).exceptAll(a.select(*cols)).count()
 
 
-@pytest.mark.parametrize("finish", [4, 512, 10**9])  # many narrowing rounds, some, none
+@pytest.mark.parametrize("finish", [4, 2048, 10**9])  # many narrowing rounds, some, none
 def test_ntiles_match_windows(spark, lines, monkeypatch, finish):
     monkeypatch.setattr(ranking, "FINISH", finish)
     monkeypatch.setattr(ranking, "SAMPLE", 300 if finish == 4 else 4096)
@@ -53,7 +53,7 @@ def test_rank_with_default_ranges_and_null_partitions(spark, lines):
     assert _diff(expected, ranked(some, ["flag"], [SortKey("q", ascending=False)], ["id"], "r"), ["id", "r"]) == 0
 
 
-@pytest.mark.parametrize("finish", [4, 512])
+@pytest.mark.parametrize("finish", [4, 2048])
 def test_median_matches_percentile(spark, lines, monkeypatch, finish):
     monkeypatch.setattr(ranking, "FINISH", finish)
     src = lines.withColumn("v", (F.col("q") * F.lit(1.25)).cast("decimal(12,2)"))
