@@ -31,20 +31,14 @@ def main() -> None:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.1")
     ap.add_argument("--partitions", type=int, default=16)
-    ap.add_argument("--rows-per-bucket", type=int, default=0,
-                    help="shrink the ranking bucket targets to see the bucketed plan at small scale")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     names = args.names or DEFAULT
 
     from pyspark.sql import functions as F
 
-    from acqlens.operators import ranking
     from acqlens.plans.registry import OPERATORS
 
-    if args.rows_per_bucket:
-        ranking.MIN_ROWS_PER_BUCKET = args.rows_per_bucket // 2
-        ranking.MAX_ROWS_PER_BUCKET = args.rows_per_bucket
     from acqlens.plans.session import build_session
     from acqlens.sources.driver import model_from_driver
 
@@ -99,7 +93,7 @@ def main() -> None:
             report[group] = {"max_task_share": round(share, 3), "stage": sid, "stage_records": total_read,
                              "tasks": len(reads)}
     print(json.dumps({"hot_customer_share_of_orders": round(hot / total, 3),
-                      "partitions": args.partitions, "rows_per_bucket": args.rows_per_bucket or None,
+                      "partitions": args.partitions,
                       "worst_stage_per_query": report}))
 
 
