@@ -93,7 +93,7 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        absent = {w for words in split if words for w in words if w not in known}
+        absent = set().union(*filter(None, split)).difference(known)
         known.update((w, old[w]) for w in absent if w in old)
         fresh = [w for w in absent if w not in known]
         known.update(zip(fresh, self._encode_pieces(fresh), strict=True))
