@@ -2,9 +2,18 @@
 
 The pieces come from an existing vocabulary file; its scores (ranks) give the
 starting piece probabilities, which expectation-maximisation re-estimates on the
-training documents. Pieces do not cross word borders, so a text's marginal
-probability is the product of its words' (forward recursion in log space over
-each word's lattice) and of the end token's.
+distinct training words. Pieces do not cross word borders, so a text's marginal
+probability is the product of its words' and of the end token's.
+
+A word's lattice has one more edge, from its start to its end: the word as a
+whole, if the training documents hold it. Its count c gives that edge (c - D) / N,
+and the discount D taken from each of the T distinct words is the probability
+D T / N of spelling a word from pieces, so a word has
+
+    max(c - D, 0) / N + D T / N * (forward recursion over its pieces, in log space)
+
+and all words together at most 1. D comes from the numbers of words seen once and
+twice. Every spelling has a probability, and frequent words have their own.
 
 The corpus is gathered once as a word table: (word, training count, count), one
 row per distinct word, so it grows with the input. E-steps, piece counts and the
@@ -17,8 +26,8 @@ shuffle join, so nothing is cut.
 
 Defined cases: null text is empty: one token, the end. A character without piece
 costs one fallback byte per UTF-8 byte, so every text has a probability. Repeated
-rows are scored each. Without training documents all counts are zero. Extra
-columns are ignored.
+rows are scored each. Without training documents all counts are zero and pieces
+alone give the score. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +36,7 @@ import math
 import sys
 import types
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -242,32 +252,55 @@ def _expected_pieces(path: str, logp: np.ndarray):
         vocab = vocabulary(path)
         total = np.zeros(vocab.n + 2)
         for batch in _together(batches):
-            words, weight = batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float)
+            words = batch.column("word").to_pylist()
             for rows in _by_length(words):
-                total += expected([SPACE + words[r] for r in rows], weight[rows], logp, vocab)
+                total += expected([SPACE + words[r] for r in rows], np.ones(len(rows)), logp, vocab)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, type=pa.int64()), pa.array(total[used])], names=["piece", "n"])
 
     return run
 
 
-def fit(words: DataFrame, train_docs: int, path: str, rounds: int = ROUNDS) -> np.ndarray:
-    """Natural-log probabilities of the pieces, the fallback byte and the end, by EM over the word table."""
+def fit(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """Natural-log probabilities of the pieces, the fallback byte and the end, by EM over the word table.
+
+    Each distinct training word counts once, as each gives one discount to the pieces.
+    """
     vocab = vocabulary(path)
     logp = vocab.start
-    seen = words.where("c > 0").select("word", "c")
+    seen = words.where("c > 0").select("word")
     for _ in range(rounds):
         rows = seen.mapInArrow(_expected_pieces(path, logp), "piece bigint, n double").groupBy("piece").agg(
             F.sum("n").alias("n")).collect()  # one row per vocabulary piece at most
         n = np.ones(vocab.n + 2)
-        n[vocab.n + 1] += train_docs
+        n[vocab.n + 1] += 1
         for r in rows:
             n[r.piece] += r.n
         logp = np.log(n / n.sum())
     return logp
 
 
-def _score_words(path: str, logp: np.ndarray):
+@dataclass(frozen=True)
+class WholeWords:
+    """What whole-word edges take from a word table: all counts N, the discount D, the share of pieces D T / N."""
+
+    total: int
+    discount: float
+    pieces: float
+
+    @staticmethod
+    def of(total: int, distinct: int, once: int, twice: int) -> WholeWords:
+        discount = (once + 1) / (once + 2 * twice + 2)
+        return WholeWords(total, discount, discount * distinct / total if total else 1.0)
+
+    def mixed(self, count: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+        """log10 probability of tokens with these training counts and natural-log piece probabilities."""
+        own = np.maximum(count - self.discount, 0) / max(self.total, 1)
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(own), math.log(self.pieces) + spelt) / math.log(10)
+
+
+def _score_words(path: str, logp: np.ndarray, whole: WholeWords):
     """Arrow function: (word, c, n) with the log10 marginal probability of each word."""
 
     def run(batches):
@@ -277,8 +310,8 @@ def _score_words(path: str, logp: np.ndarray):
             out = np.zeros(len(words))
             for rows in _by_length(words):
                 out[rows] = forward([SPACE + words[r] for r in rows], logp, vocab)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out / math.log(10))], names=["word", "c", "n", "piece_score"])
+            score = whole.mixed(batch.column("c").to_numpy(), out)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=["word", "c", "n", "word_score"])
 
     return run
 
@@ -299,8 +332,8 @@ def _frequent(words: DataFrame) -> dict[str, tuple[int, float, float]]:
         least = row["level"]
     if least is None:
         return {}
-    rows = words.where(level >= least).select("word", (F.col("c") > 0).cast("int").alias("known"), "base", "piece_score").collect()
-    return {r.word: (r.known, r.base, r.piece_score) for r in rows}
+    rows = words.where(level >= least).select("word", (F.col("c") > 0).cast("int").alias("known"), "base", "word_score").collect()
+    return {r.word: (r.known, r.base, r.word_score) for r in rows}
 
 
 def _document_words(frequent):
@@ -360,12 +393,14 @@ def scored(docs: DataFrame, path: str, held_out: Column, id_col: str = "doc_id",
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out.alias("held_out"))
     counted = settle(word_table(source.select("text", (~F.col("held_out")).alias("train"))))
-    sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count_if(F.col("c") > 0).alias("v")).first()
+    sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count_if(F.col("c") > 0).alias("v"),
+                       F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     train_docs = source.where(~F.col("held_out")).count()
     total, distinct = sums.c + train_docs, sums.v + (train_docs > 0)
-    logp = fit(counted, train_docs, path, rounds)
+    logp = fit(counted, path, rounds)
+    whole = WholeWords.of(total, distinct, sums.once, sums.twice)
     bottom = math.log10(total + distinct + 1)
-    words = settle(counted.mapInArrow(_score_words(path, logp), "word string, c bigint, n bigint, piece_score double")
+    words = settle(counted.mapInArrow(_score_words(path, logp, whole), "word string, c bigint, n bigint, word_score double")
                    .withColumn("base", F.log10(F.col("c") + 1) - bottom))
     frequent = spark.sparkContext.broadcast(_frequent(words))
 
@@ -374,11 +409,11 @@ def scored(docs: DataFrame, path: str, held_out: Column, id_col: str = "doc_id",
         _document_words(frequent), f"id {kind}, held_out boolean, row bigint, word string, times bigint, "
         "tokens bigint, known bigint, base double, score double")
     table = words.select("word", (F.col("c") > 0).cast("bigint").alias("w_known"), F.col("base").alias("w_base"),
-                         F.col("piece_score").alias("w_score"))
+                         F.col("word_score").alias("w_score"))
     times = F.col("times")
     end_known = 1 if train_docs else 0
     end_base = math.log10(train_docs + 1) - bottom
-    end_score = float(logp[-1]) / math.log(10)
+    end_score = float(whole.mixed(np.array([train_docs]), logp[-1:])[0])
     return parts.join(table, "word", "left").groupBy("row").agg(
         F.max("id").alias(id_col), F.max("held_out").alias("held_out"), F.sum("tokens").alias("n_tokens"),
         (F.sum(F.col("known") + F.coalesce(times * F.col("w_known"), F.lit(0))) + end_known).alias("n_known"),

@@ -143,6 +143,48 @@ def test_training_helps_on_held_out_documents(documents):
     assert sum(r.score for r in lattice.scored(documents, PIECES, held_out()).where("held_out").collect()) > untrained
 
 
+def test_whole_words_help_on_held_out_documents(documents, monkeypatch):
+    held = lambda: sum(r.score for r in lattice.scored(documents, PIECES, held_out()).where("held_out").collect())
+    mixed = held()
+    pieces_alone = lattice.WholeWords(1, math.inf, 1.0)
+    monkeypatch.setattr(lattice.WholeWords, "of", staticmethod(lambda *counts: pieces_alone))
+    assert mixed > held()
+
+
+def test_scores_equal_the_marginal_of_every_word_by_enumeration(make_docs, monkeypatch):
+    texts = ["the cat the dog", "cat ereanin the", "dog", "", None, "zzqj unseen the", "a cat", "日x"]
+    df = make_docs(list(enumerate(texts)))
+    words = [(r.doc_id, (r.text or "").split()) for r in df.collect()]
+    fold = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in words}
+    for rounds in (0, 1):
+        learnt = []
+        original = lattice.fit
+        monkeypatch.setattr(lattice, "fit", lambda *a, f=original, to=learnt: to.append(f(*a)) or to[-1])
+        got = {r.doc_id: r.score for r in lattice.scored(df, PIECES, held_out(), rounds=rounds).collect()}
+        monkeypatch.setattr(lattice, "fit", original)
+        (logp,), vocab = learnt, lattice.vocabulary(PIECES)
+        counts = Counter(w for i, ws in words if not fold[i] for w in ws)
+        once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+        docs = sum(not fold[i] for i, _ in words)
+        total, types = sum(counts.values()) + docs, len(counts) + 1
+        discount = (once + 1) / (once + 2 * twice + 2)
+        own = lambda c: max(c - discount, 0) / total
+        rest = discount * types / total
+        end = own(docs) + rest * math.exp(logp[-1])
+        for i, ws in words:
+            want = math.log10(end) + sum(
+                math.log10(own(counts[w]) + rest * all_segmentations(lattice.SPACE + w, logp, vocab)) for w in ws)
+            assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+def test_word_probabilities_sum_to_one_with_the_share_of_pieces():
+    counts = np.array([5, 3, 2, 2, 1, 1, 1])
+    whole = lattice.WholeWords.of(int(counts.sum()), len(counts), 3, 2)
+    alone = 10 ** whole.mixed(counts, np.full(len(counts), -np.inf))
+    assert alone.sum() + whole.pieces == pytest.approx(1)
+    assert lattice.WholeWords.of(0, 0, 0, 0).mixed(np.zeros(1), np.log([0.25]))[0] == pytest.approx(math.log10(0.25))
+
+
 def test_scores_of_edge_cases(edges, make_docs):
     check_scores(edges, lattice.scored(edges, PIECES, held_out()).collect())
     assert lattice.scored(make_docs([]), PIECES, held_out()).collect() == []
