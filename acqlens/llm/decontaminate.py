@@ -1,26 +1,26 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search with exact verification.
+"""Benchmark decontamination: size-dependent MinHash sketches of the items, exact verification on whole documents.
 
 A test item is a small set of five-word shingles, a document a large one, so
-their Jaccard similarity says little. Items are therefore partitioned by size
-(class u holds items of u/2 < q <= u shingles, u a power of two) and documents
-are searched window by window: for class u a window has 1.5 u shingles and starts
-every u/2, so that any passage of up to u shingles lies whole in a window of
-comparable size. With containment t the Jaccard similarity of item and window is
-at least s(u) = 0.5 t u / (1.5 u + 0.5 (1 - t) u); the number of single-row MinHash
-bands follows from s and the target recall.
-
-The items' band keys go into a bitmap of fixed size. Documents are scanned once,
-map-side: a window whose key is in the bitmap is shuffled with its shingles and
-joined with the items on the band key (Spark picks broadcast or shuffle by the
-items' measured size); the containment of the item's shingles in the window is
-then counted exactly.
-
-Result: one row per (document, item) with the greatest containment over the
-document's windows, where that is at least the threshold.
+their Jaccard similarity says little; containment is counted instead. An item of
+q shingles is contained with at least t if a document holds at least c = ceil(t q)
+of them, wherever they stand, so such a document holds at least one of any
+q - c + 1 of the item's shingles. The q - c + 1 least shingle hashes (the item's
+bottom-k MinHash sketch, k by its size) are its keys: no contained item is missed.
+
+Keys and shingles of the items go into two bitmaps of fixed size. Documents are
+scanned once, map-side: a document with a key keeps those of its shingles that an
+item may have. Equal sets (of documents, of items) are handled once, under a
+64-bit mark. Candidate pairs come from a join on the key; each pair's shingles are
+then counted by a join on (document's mark, shingle), so no row carries more than
+one shingle and a long document with many items is spread over tasks.
+
+Result: one row per (document, item) with the share of the item's distinct
+shingles that the whole document holds, where that is at least the threshold.
 
 Defined cases: null, empty and word-free texts hold nothing; items of fewer than
 five words have no shingle and match nothing; repeated rows and ids give one row
-per pair of ids (a null id is a value of its own); extra columns are ignored.
+per pair of ids with the greatest containment of a row (a null id is a value of
+its own); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,27 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acqlens.llm import words as W
-from acqlens.llm.neardup import SHINGLE, minima
-from acqlens.llm.storage import bitmap, few, held, list_of
+from acqlens.llm.neardup import SHINGLE
+from acqlens.llm.storage import bitmap, few, held, settle
 
 CONTAINMENT = 0.8
-RECALL = 0.999
-LEAST = 2  # the smallest size class has items of up to 2 shingles
 
 
-def band_count(containment: float = CONTAINMENT, recall: float = RECALL) -> int:
-    """Single-row bands that find the least similar admissible (item, window) pair with probability ``recall``."""
-    s = 0.5 * containment / (1.5 + 0.5 * (1 - containment))
-    return math.ceil(math.log(1 - recall) / math.log(1 - s))
-
-
-def size_class(size: int) -> int:
-    """The exponent of the power of two that is at least ``size`` (and LEAST)."""
-    return (max(size, LEAST) - 1).bit_length()
-
-
-def _band_keys(low: np.ndarray, band: int, exponent: int) -> np.ndarray:
-    return W.mix(low.astype(np.uint64) * np.uint64(W.GOLDEN) + np.uint64(band * 64 + exponent))
+def sketch_size(size: int, containment: float = CONTAINMENT) -> int:
+    """Of so many shingles of an item of ``size`` every document that contains it holds at least one."""
+    least = math.ceil(containment * size)
+    while least and (least - 1) / size >= containment:  # the quotient decides, as in the verification
+        least -= 1
+    while least / size < containment:
+        least += 1
+    return min(size - least + 1, size)
 
 
 def _sets(column: pa.Array) -> list[np.ndarray]:
@@ -63,102 +56,73 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return [np.unique(values[bounds[d] : bounds[d + 1]]) for d in range(len(column))]
 
 
-def itemiser(bands: int):
-    """Arrow function: (item, text) to (item, exponent, shingles, keys)."""
+def _mark(shingles: np.ndarray) -> int:
+    """One 64-bit key of a set."""
+    return int(W.mix(np.array([W.mix(shingles * np.uint64(W.GOLDEN)).sum(dtype=np.uint64) + np.uint64(len(shingles))])).view(np.int64)[0])
 
-    def itemise(batches):
-        for batch in batches:
-            sets = _sets(batch.column("text"))
-            rows = [d for d, s in enumerate(sets) if len(s)]
-            exponents = [size_class(len(sets[d])) for d in rows]
-            keys = [np.array([_band_keys(low, band, e)[0] for band, low in enumerate(minima(sets[d], np.zeros(1, np.int64), bands))],
-                             dtype=np.uint64).view(np.int64) for d, e in zip(rows, exponents, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("item").take(pa.array(rows, type=pa.int64())), pa.array(exponents, type=pa.int32()),
-                 pa.array([sets[d].view(np.int64) for d in rows], type=pa.list_(pa.int64())),
-                 pa.array(keys, type=pa.list_(pa.int64()))],
-                names=["item", "exponent", "shingles", "keys"])
 
-    return itemise
+def _rows(id_name: str, mark_name: str, ids: pa.Array, keys: list[np.ndarray], sets: list[np.ndarray]) -> pa.RecordBatch:
+    lists = [pa.array([x.view(np.int64) for x in column], type=pa.list_(pa.int64())) for column in (keys, sets)]
+    return pa.RecordBatch.from_arrays([ids, pa.array([_mark(x) for x in sets], type=pa.int64()), *lists],
+                                      names=[id_name, mark_name, "keys", "shingles"])
 
 
-def _window_bounds(bounds: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks of ``step`` shingles inside each document and the windows of three blocks over them.
+def itemiser(containment: float):
+    """Arrow function: (item, text) to (item, set, keys, shingles)."""
 
-    Returns the block starts and, for each window, its first block, the block
-    after its last and its document.
-    """
-    size = np.diff(bounds)
-    blocks = -(-size // step)
-    head = np.concatenate([[0], np.cumsum(blocks)])
-    doc = np.repeat(np.arange(len(size)), blocks)
-    starts = bounds[:-1][doc] + (np.arange(len(doc)) - head[:-1][doc]) * step
-    # A document of up to three blocks is one window; else windows begin at each block but the last two.
-    per = np.where(blocks > 0, np.maximum(blocks - 2, 1), 0)
-    at = np.concatenate([[0], np.cumsum(per)])
-    owner = np.repeat(np.arange(len(size)), per)
-    first = head[:-1][owner] + (np.arange(len(owner)) - at[:-1][owner])
-    return starts, first, np.minimum(first + 3, head[1:][owner]), owner
+    def itemise(batches):
+        for whole in batches:
+            for batch in W.slices(whole, "text"):
+                sets = _sets(batch.column("text"))
+                rows = [d for d, s in enumerate(sets) if len(s)]
+                sets = [sets[d] for d in rows]
+                yield _rows("item", "item_set", batch.column("item").take(pa.array(rows, type=pa.int64())),
+                            [s[: sketch_size(len(s), containment)] for s in sets], sets)
+
+    return itemise
 
 
-def searcher(bits: np.ndarray, exponents: list[int], bands: int):
-    """Arrow function: (id, text) to the windows (id, keys, shingles) with a key that an item may have."""
+def searcher(key_bits: np.ndarray, bits: np.ndarray):
+    """Arrow function: (id, text) to (id, set, keys, shingles) of the documents with a key that an item may have."""
 
     def search(batches):
         for whole in batches:
             for batch in W.slices(whole, "text"):
                 words = W.split(W.pc.utf8_lower(batch.column("text")), W.ALNUM)
                 values, _, bounds = W.windows(words.keys(), words.first, SHINGLE, short=False)
-                if not len(values):
+                hits = np.flatnonzero(held(key_bits, values))
+                rows = np.unique(np.searchsorted(bounds, hits, side="right") - 1)
+                if not len(rows):
                     continue
-                for exponent in exponents:
-                    starts, first, stop, owner = _window_bounds(bounds, 1 << (exponent - 1))
-                    hit_window, hit_key = [], []
-                    for band, low in enumerate(minima(values, starts, bands)):
-                        low = np.minimum(low[first], np.minimum(low[np.minimum(first + 1, stop - 1)], low[stop - 1]))
-                        keys = _band_keys(low, band, exponent)
-                        hit = np.flatnonzero(held(bits, keys))
-                        hit_window.append(hit)
-                        hit_key.append(keys[hit])
-                    window, key = np.concatenate(hit_window), np.concatenate(hit_key).view(np.int64)
-                    if not len(window):
-                        continue
-                    order = np.argsort(window, kind="stable")
-                    window, key = window[order], key[order]
-                    head = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
-                    end = np.append(starts, len(values))
-                    sets = []
-                    for w in window[head]:
-                        last = min(end[stop[w]], bounds[owner[w] + 1])
-                        sets.append(np.unique(values[starts[first[w]] : last]).view(np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("id").take(pa.array(owner[window[head]])),
-                         list_of(key, np.append(head, len(key)), pa.int64()), pa.array(sets, type=pa.list_(pa.int64()))],
-                        names=["id", "keys", "shingles"])
+                texts = [values[bounds[d] : bounds[d + 1]] for d in rows]
+                yield _rows("id", "doc_set", batch.column("id").take(pa.array(rows, type=pa.int64())),
+                            [np.unique(t[held(key_bits, t)]) for t in texts], [np.unique(t[held(bits, t)]) for t in texts])
 
     return search
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          item_id_col: str = "item_id", item_text_col: str = "text",
-          containment: float = CONTAINMENT, recall: float = RECALL) -> DataFrame:
+          item_id_col: str = "item_id", item_text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """(id, item id, containment) of every item found in a document; see the module text."""
-    bands = band_count(containment, recall)
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, id_col), (items, item_id_col)))
-    index = items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("text")).mapInArrow(
-        itemiser(bands), f"item {item_kind}, exponent int, shingles array<bigint>, keys array<bigint>")
-    exponents = sorted(r.exponent for r in index.select("exponent").distinct().collect())  # at most one per power of two
-    keyed = index.select("item", F.col("shingles").alias("item_shingles"), F.explode("keys").alias("key"))
-    bits = bitmap(keyed, "key")
-    found = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(searcher(bits, exponents, bands), f"id {kind}, keys array<bigint>, shingles array<bigint>")
-        .select("id", "shingles", F.explode("keys").alias("key"))
-        .join(keyed, "key")
-        .select("id", "item", (F.size(F.array_intersect("shingles", "item_shingles"))
-                               / F.size("item_shingles")).alias("containment"))
+    index = settle(items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("text")).mapInArrow(
+        itemiser(containment), f"item {item_kind}, item_set bigint, keys array<bigint>, shingles array<bigint>"))
+    item_sets = index.dropDuplicates(["item_set"])
+    keyed = item_sets.select("item_set", F.explode("keys").alias("key"))
+    parts = item_sets.select("item_set", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    hits = settle(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        searcher(bitmap(keyed, "key"), bitmap(parts, "shingle")),
+        f"id {kind}, doc_set bigint, keys array<bigint>, shingles array<bigint>"))
+    doc_sets = hits.dropDuplicates(["doc_set"])
+    pairs = (doc_sets.select("doc_set", F.explode("keys").alias("key")).join(keyed, "key")
+             .select("doc_set", "item_set").distinct())
+    counted = (
+        pairs.join(parts, "item_set")
+        .join(doc_sets.select("doc_set", F.explode("shingles").alias("shingle")), ["doc_set", "shingle"])
+        .groupBy("doc_set", "item_set").agg((F.count(F.lit(1)) / F.first("n")).alias("containment"))
         .where(F.col("containment") >= containment)
     )
+    found = counted.join(hits.select("id", "doc_set"), "doc_set").join(index.select("item", "item_set"), "item_set")
     return found.groupBy("id", "item").agg(F.max("containment").alias("containment")).select(
         F.col("id").alias(id_col), F.col("item").alias(item_id_col), "containment")
 

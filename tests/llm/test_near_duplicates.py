@@ -137,6 +137,21 @@ def test_short_item_inside_long_document(spark, make_docs):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 10, 40]
 
 
+@pytest.mark.parametrize("size", [33, 35, 36, 59])
+def test_items_with_inserted_words_are_counted_over_the_whole_document(spark, make_docs, size):
+    """8, 40 or 500 words inserted at every offset, and shingles of one item scattered over a long document."""
+    rng = random.Random(size)
+    item = [f"i{k}" for k in range(size)]
+    inserted = [" ".join([*item[:at], *(f"x{rng.randrange(10**6)}" for _ in range(n)), *item[at:]]) for n in (8, 40, 500) for at in range(size)]
+    scattered = [" ".join(x for at in range(0, size, 10) for x in (*item[at : at + step], *(f"y{rng.randrange(10**6)}" for _ in range(90))))
+                 for step in (10, 12, 14)]
+    docs, items = list(enumerate(inserted + scattered)), [(0, " ".join(item)), (1, " ".join(item[:20]))]
+    frame = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(make_docs(docs), frame).collect()}
+    want = brute_leaks(docs, items)
+    assert got == want and {(k, 0) for k in range(len(inserted))} <= want
+
+
 def test_leaks_of_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.leaks(make_docs([(1, "a b c d e f")]), none).collect() == []
