@@ -2,7 +2,9 @@
 
 Pages are range-partitioned and sorted by (host, path), so one host's pages may
 lie in several tasks, and each page is paired with the neighbour of its host
-whose path shares the longer prefix. The text lines (blocks) of the two pages are
+whose path shares the longer prefix. Copies say nothing about a site: neighbours
+are the nearest pages before and after whose lines differ, so a page repeated, or
+met under two urls, is paired like one of it. The text lines (blocks) of the two pages are
 aligned by longest common subsequence; aligned lines are what the site repeats
 and are deleted. A page's mark-up then checks the deletion: lines inside an
 article or main element come back (pages of one host may carry one article), and
@@ -150,34 +152,68 @@ def aligned(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_lines(page: list[tuple[str, str]], partner: list[tuple[str, str]] | None) -> list[str]:
-    """The page's lines without those aligned with its partner, checked by the mark-up."""
-    shared = aligned([x for x, _ in page], [x for x, _ in partner]) if partner else set()
+def _kept(page: list[tuple[str, str]], shared: set[int]) -> list[str]:
     has_article = any(kind == ARTICLE for _, kind in page)
     return [line for i, (line, kind) in enumerate(page)
             if kind == ARTICLE or (kind == PLAIN and not has_article and i not in shared)]
 
 
+def main_lines(page: list[tuple[str, str]], partner: list[tuple[str, str]] | None) -> list[str]:
+    """The page's lines without those aligned with its partner, checked by the mark-up."""
+    return _kept(page, aligned([x for x, _ in page], [x for x, _ in partner]) if partner else set())
+
+
+class Run:
+    """Neighbouring pages of one host with equal lines; all have the same neighbours with other lines."""
+
+    def __init__(self, host: str, lines: list[str]):
+        self.host, self.lines = host, lines
+        self.members: list[tuple] = []  # id, url, path, kinds
+        self.same: dict = {}  # repeated values are kept once
+
+    def add(self, *member) -> None:
+        self.members.append(tuple(self.same.setdefault((i, x), x) for i, x in enumerate(member)))
+
+    def texts(self, before: Run | None, after: Run | None) -> Iterator[tuple]:
+        """(id, url, text) of every page; the partner is the neighbour whose path shares the longer prefix."""
+        near = [(r, r.members[at][2]) for r, at in ((before, -1), (after, 0)) if r is not None and self.host and r.host == self.host]
+        shared, done = {}, {}
+        for page, url, path, kinds in self.members:
+            best = max(range(len(near)), key=lambda i: len(commonprefix([near[i][1], path])), default=None)  # before wins ties
+            if (best, kinds) not in done:
+                if best not in shared:
+                    shared[best] = set() if best is None else aligned(self.lines, near[best][0].lines)
+                done[best, kinds] = "\n".join(_kept(list(zip(self.lines, kinds, strict=True)), shared[best]))
+            yield page, url, done[best, kinds]
+
+
 def _pages(batches) -> Iterator[tuple]:
-    """(id, url, host, path, lines) in the task's order."""
+    """(host, lines, id, url, path, kinds) in the task's order."""
     for whole in batches:
         for batch in W.slices(whole, "html"):
-            yield from zip(*(batch.column(c).to_pylist() for c in ("id", "url", "host", "path")),
-                           map(lines_of, batch.column("html").to_pylist()), strict=True)
+            for host, html, *rest in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "id", "url", "path")), strict=True):
+                page = lines_of(html)
+                yield host, [x for x, _ in page], *rest, tuple(kind for _, kind in page)
 
 
-def _with_neighbours(pages: Iterator[tuple]) -> Iterator[tuple]:
-    before, page = None, next(pages, None)
-    while page is not None:
-        after = next(pages, None)
-        yield before, page, after
-        before, page = page, after
+def _runs(pages: Iterator[tuple]) -> Iterator[Run]:
+    run = None
+    for host, lines, *member in pages:
+        if run is None or run.host != host or run.lines != lines:
+            if run is not None:
+                yield run
+            run = Run(host, lines)
+        run.add(*member)
+    if run is not None:
+        yield run
 
 
-def partner_of(before, page, after):
-    """The neighbour of the same host whose path shares the longer prefix; the one before wins ties."""
-    near = [p for p in (before, after) if p is not None and page[2] and p[2] == page[2]]
-    return max(near, key=lambda p: len(commonprefix([p[3], page[3]])), default=None)
+def _with_neighbours(runs: Iterator[Run]) -> Iterator[tuple]:
+    before, run = None, next(runs, None)
+    while run is not None:
+        after = next(runs, None)
+        yield before, run, after
+        before, run = run, after
 
 
 def extractor(id_type: pa.DataType):
@@ -185,12 +221,12 @@ def extractor(id_type: pa.DataType):
 
     def extract_batches(batches):
         rows: list[tuple] = []
-        for before, page, after in _with_neighbours(_pages(batches)):
-            partner = partner_of(before, page, after)
-            rows.append((page[0], page[1], "\n".join(main_lines(page[4], partner and partner[4]))))
-            if len(rows) == 500:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                rows.clear()
+        for before, run, after in _with_neighbours(_runs(_pages(batches))):
+            for row in run.texts(before, after):
+                rows.append(row)
+                if len(rows) == 500:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows.clear()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

@@ -163,6 +163,18 @@ def test_shared_lines_go_and_articles_stay():
     assert pages.main_lines(article, article) == ["body"]
 
 
+def test_copies_without_an_article_are_no_partners(spark):
+    html = lambda body: f"<div>Site menu</div><p>{body}</p><div>Imprint</div>"
+    rows = [(1, "http://a.com/x/1", html("first")), (1, "http://a.com/x/1", html("first")), (2, "http://a.com/x/1?p", html("first")),
+            (3, "http://a.com/x/2", html("second")), (4, "http://a.com/x/2/print", html("second").replace("p>", "section>")),
+            (5, "http://b.com/1", html("only")), (6, "http://b.com/2", html("only")), (7, None, html("none")), (8, None, html("none"))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    got = sorted((r.page_id, r.text) for r in pages.extract(df.repartition(1)).collect())
+    whole = "Site menu\n{}\nImprint".format
+    assert got == [(1, "first"), (1, "first"), (2, "first"), (3, "second"), (4, "second"),
+                   (5, whole("only")), (6, whole("only")), (7, whole("none")), (8, whole("none"))]
+
+
 # licenses
 
 def brute_base(text):
