@@ -121,6 +121,25 @@ def test_propagation_equals_power_iteration(spark):
             assert got.get(h, (0.0, 0.0))[walk] == pytest.approx(m)
 
 
+def test_long_chains_reach_the_converged_ranks(spark):
+    chain = [f"c{i}.com" for i in range(20)]  # c9 is 9 hops from the allowed host and 10 from the blocked one
+    far = [f"f{i}.com" for i in range(26)]  # no trust; f0 is 25 hops from the blocked host
+    ring = [("r0.com", "r1.com"), ("r1.com", "r2.com"), ("r2.com", "r0.com")]
+    links = [*zip(chain, chain[1:]), *zip(far, far[1:]), *ring]
+    rows = [(i, f"http://{src}/", f'<a href="http://{dst}/">x</a>') for i, (src, dst) in enumerate(links)]
+    rows += [(100, f"http://{chain[-1]}/", None), (101, f"http://{far[-1]}/", None)]
+    rules = [("allow", "c0.com/"), ("block", "c19.com/"), ("block", "f25.com/"), ("allow", "r0.com/")]
+    got = {r.host: r for r in urls.judged(spark.createDataFrame(rows, "page_id bigint, url string, html string"), rules).collect()}
+    d = urls.DAMPING
+    for i, host in enumerate(chain):
+        assert got[host].trust == pytest.approx((1 - d) * d**i) and got[host].distrust == pytest.approx((1 - d) * d ** (19 - i))
+    assert got["c9.com"].verdict == "allow" and got["c10.com"].verdict == "block"
+    for i, host in enumerate(far):
+        assert got[host].distrust == pytest.approx((1 - d) * d ** (25 - i)) and got[host].verdict == "block"
+    for i in range(3):
+        assert got[f"r{i}.com"].trust == pytest.approx((1 - d) * d**i / (1 - d**3), rel=1e-7)
+
+
 # pages
 
 def lcs(a, b):
