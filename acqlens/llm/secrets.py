@@ -5,9 +5,9 @@ trained on the whole corpus from samples that the rules label: transitions
 inside the found values (random strings) and inside all other runs of the
 alphabet (ordinary identifiers and words). Training is one pass that counts
 transitions per task (a fixed alphabet, so at most 2 x 66^2 rows per task) and
-sums them in Spark. A run of at least MIN_RUN characters outside the base spans
-is a secret too if its log-likelihood ratio per character and in total is high
-and it mixes letters with digits.
+sums them in Spark. What the base spans leave of a run of the alphabet is a secret
+too, if it has at least MIN_RUN characters and its log-likelihood ratio is high per
+character and in total; nothing else decides.
 
 Spans are code points, end exclusive; kinds are assign, access, hex and random.
 
@@ -127,15 +127,21 @@ def spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, str, int]]:
     """All spans (start, kind's place, kind, end) by start, then kind."""
     found = base_spans(text)
     base = [(a, b) for a, _, _, b in found]
+    at, covered = 0, 0  # base spans before ``at`` begin before the place that is looked at; they reach to ``covered``
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for x, y in base):
-            continue
-        run = m[0]
-        score = likelihood_ratio(run, ratio)
-        if (score >= IN_TOTAL and score >= PER_CHARACTER * len(run)
-                and re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
-            found.append((a, KINDS.index("random"), "random", b))
+        place, end = m.span()
+        while place < end:
+            while at < len(base) and base[at][0] <= place:
+                covered = max(covered, base[at][1])
+                at += 1
+            if covered > place:
+                place = covered
+                continue
+            stop = min(end, base[at][0]) if at < len(base) else end
+            score = likelihood_ratio(text[place:stop], ratio) if stop - place >= MIN_RUN else 0.0
+            if score >= IN_TOTAL and score >= PER_CHARACTER * (stop - place):
+                found.append((place, KINDS.index("random"), "random", stop))
+            place = stop
     return sorted(found)
 
 

@@ -106,6 +106,26 @@ def test_markov_models_tell_random_from_identifiers(documents):
     assert sum(found) >= 195 and sum(false) <= 4
 
 
+def test_rest_of_a_run_beside_a_base_span_is_scored(documents):
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    ratio = secrets.train(documents)
+    value = "".join(rng.choice(alphabet) for _ in range(40))
+    for head in ("AKIA" + "A1B2C3D4" * 2, "0123456789abcdef" * 2):
+        for text, tail in ((f"see {head}/{value} here", f"/{value}"), (f"see {head}_{value} here", f"_{value}"), (f"see {value}/{head}", f"{value}/")):
+            found = secrets.spans(text, ratio)
+            assert tail in [text[a:b] for a, _, k, b in found if k == "random"]
+            assert value not in secrets.mask(text, found) and head not in secrets.mask(text, found)
+
+
+def test_random_letters_without_a_digit_are_found(documents):
+    rng = random.Random(9)
+    ratio = secrets.train(documents)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    values = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(200)]
+    assert sum(bool(secrets.spans(f"see {x} here", ratio)) for x in values) >= 190
+
+
 def test_redaction(make_docs, documents):
     docs = make_docs([(1, "a password=abcdef123 b"), (2, None), (3, "clean")], clash=True)
     rows = {r.doc_id: r for r in secrets.redacted(docs).collect()}
