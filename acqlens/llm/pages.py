@@ -1,7 +1,10 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are range-partitioned and sorted by (host, path), so one host's pages may
-lie in several tasks, and each page is paired with the neighbour of its host
+Pages become lists of lines, are range-partitioned and sorted by (host, path), so
+one host's pages may lie in several tasks, and checkpointed. The first and last
+two runs of different pages in every partition go to the driver as line hashes,
+and the tasks get their neighbours from it: partners do not depend on the layout.
+Each page is paired with the neighbour of its host
 whose path shares the longer prefix. Copies say nothing about a site: neighbours
 are the nearest pages before and after whose lines differ, so a page repeated, or
 met under two urls, is paired like one of it. The text lines (blocks) of the two pages are
@@ -17,24 +20,30 @@ is white space. Scripts, styles, head, hidden elements and comments give no line
 
 Defined cases: null html is an empty page and gives empty text; a null url has no
 host and no partner; repeated rows are each extracted; a page without a partner
-in its task keeps what the mark-up allows; extra columns are ignored.
+keeps what the mark-up allows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html.parser import HTMLParser
 from os.path import commonprefix
+from typing import NamedTuple
+from zlib import compress, decompress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from acqlens.llm import words as W
+from acqlens.llm.storage import settle
 from acqlens.llm.urls import host_of, path_of
 
 ARTICLE, PLAIN, ASIDE = "article", "plain", "aside"
+LETTER = {ARTICLE: "a", PLAIN: "p", ASIDE: "s"}
+KIND = {letter: kind for kind, letter in LETTER.items()}
 
 # HTML element names and common container names.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption
@@ -163,65 +172,130 @@ def main_lines(page: list[tuple[str, str]], partner: list[tuple[str, str]] | Non
     return _kept(page, aligned([x for x, _ in page], [x for x, _ in partner]) if partner else set())
 
 
+def _hash(line: str) -> int:
+    return int.from_bytes(blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class Border(NamedTuple):
+    """A run of another partition: its host, its page next to the border and its lines' hashes."""
+
+    host: str
+    page: str
+    hashes: list[int]
+
+    def path(self, at: int) -> str:
+        return self.page
+
+
 class Run:
     """Neighbouring pages of one host with equal lines; all have the same neighbours with other lines."""
 
-    def __init__(self, host: str, lines: list[str]):
-        self.host, self.lines = host, lines
+    def __init__(self, host: str, lines: list[str], part: int):
+        self.part, self.host, self.lines, self.hashes = part, host, lines, [_hash(x) for x in lines]
         self.members: list[tuple] = []  # id, url, path, kinds
         self.same: dict = {}  # repeated values are kept once
 
     def add(self, *member) -> None:
         self.members.append(tuple(self.same.setdefault((i, x), x) for i, x in enumerate(member)))
 
-    def texts(self, before: Run | None, after: Run | None) -> Iterator[tuple]:
+    def path(self, at: int) -> str:
+        return self.members[at][2]
+
+    def texts(self, before: Run | Border | None, after: Run | Border | None) -> Iterator[tuple]:
         """(id, url, text) of every page; the partner is the neighbour whose path shares the longer prefix."""
-        near = [(r, r.members[at][2]) for r, at in ((before, -1), (after, 0)) if r is not None and self.host and r.host == self.host]
+        near = [(r.hashes, r.path(at)) for r, at in ((before, -1), (after, 0)) if r is not None and self.host and r.host == self.host]
         shared, done = {}, {}
         for page, url, path, kinds in self.members:
             best = max(range(len(near)), key=lambda i: len(commonprefix([near[i][1], path])), default=None)  # before wins ties
             if (best, kinds) not in done:
                 if best not in shared:
-                    shared[best] = set() if best is None else aligned(self.lines, near[best][0].lines)
-                done[best, kinds] = "\n".join(_kept(list(zip(self.lines, kinds, strict=True)), shared[best]))
+                    shared[best] = set() if best is None else aligned(self.hashes, near[best][0])
+                done[best, kinds] = "\n".join(_kept([(x, KIND[k]) for x, k in zip(self.lines, kinds, strict=True)], shared[best]))
             yield page, url, done[best, kinds]
 
 
-def _pages(batches) -> Iterator[tuple]:
-    """(host, lines, id, url, path, kinds) in the task's order."""
+def _parsed(batches) -> Iterator[pa.RecordBatch]:
+    """Arrow function: pages with their lines (packed: they are shuffled and checkpointed) and the lines' places in the mark-up."""
     for whole in batches:
         for batch in W.slices(whole, "html"):
-            for host, html, *rest in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "id", "url", "path")), strict=True):
-                page = lines_of(html)
-                yield host, [x for x, _ in page], *rest, tuple(kind for _, kind in page)
+            found = [lines_of(html) for html in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("id", "url", "host", "path")),
+                 pa.array([compress("\n".join(x for x, _ in page).encode(), 1) for page in found], type=pa.binary()),
+                 pa.array(["".join(LETTER[kind] for _, kind in page) for page in found], type=pa.string())],
+                names=["id", "url", "host", "path", "lines", "kinds"])
+
+
+def _pages(batches) -> Iterator[tuple]:
+    """(partition, host, lines, id, url, path, kinds) in the task's order."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            rows = batch.slice(at, 500)
+            for part, host, packed, *member in zip(*(rows.column(c).to_pylist() for c in ("part", "host", "lines", "id", "url", "path", "kinds")), strict=True):
+                text = decompress(packed).decode()
+                yield part, host, text.split("\n") if text else [], *member
 
 
 def _runs(pages: Iterator[tuple]) -> Iterator[Run]:
     run = None
-    for host, lines, *member in pages:
+    for part, host, lines, *member in pages:
         if run is None or run.host != host or run.lines != lines:
             if run is not None:
                 yield run
-            run = Run(host, lines)
+            run = Run(host, lines, part)
         run.add(*member)
     if run is not None:
         yield run
 
 
-def _with_neighbours(runs: Iterator[Run]) -> Iterator[tuple]:
-    before, run = None, next(runs, None)
+def _with_neighbours(runs: Iterator[Run], borders: dict[int, tuple]) -> Iterator[tuple]:
+    """(before, run, after); at the partition's borders from ``borders``."""
+    run = next(runs, None)
+    before, last = borders.get(run.part, (None, None)) if run is not None else (None, None)
     while run is not None:
         after = next(runs, None)
-        yield before, run, after
+        yield before, run, last if after is None else after
         before, run = run, after
 
 
-def extractor(id_type: pa.DataType):
+def _borders(batches) -> Iterator[pa.RecordBatch]:
+    """Arrow function: the first two runs (place 0, 1) and the last two (-1, -2) of the partition."""
+    first, last = [], []
+    for run in _runs(_pages(batches)):
+        if len(first) < 2:
+            first.append((run.part, len(first), run.host, run.path(0), run.hashes))
+        last = [(run.part, -1, run.host, run.path(-1), run.hashes), *((p, -2, *rest) for p, _, *rest in last[:1])]
+    rows = [*first, *last]
+    names = ["part", "place", "host", "path", "hashes"]
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int64())]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], names=names)
+
+
+def neighbours(found: dict[int, dict[int, Border]]) -> dict[int, tuple]:
+    """For each partition the nearest run before its first and after its last one whose lines differ, on the same host."""
+    parts = sorted(found)
+
+    def nearest(run: Border, others, places) -> Border | None:
+        for part in others:
+            for place in places:
+                other = found[part].get(place)
+                if other is None or other.host != run.host:
+                    if other is not None:
+                        return None
+                elif other.hashes != run.hashes:
+                    return other
+        return None
+
+    return {part: (nearest(found[part][0], parts[:i][::-1], (-1, -2)), nearest(found[part][-1], parts[i + 1 :], (0, 1)))
+            for i, part in enumerate(parts)}
+
+
+def extractor(id_type: pa.DataType, borders: dict[int, tuple]):
     schema = pa.schema([("id", id_type), ("url", pa.string()), ("text", pa.string())])
 
     def extract_batches(batches):
         rows: list[tuple] = []
-        for before, run, after in _with_neighbours(_runs(_pages(batches))):
+        for before, run, after in _with_neighbours(_runs(_pages(batches)), borders):
             for row in run.texts(before, after):
                 rows.append(row)
                 if len(rows) == 500:
@@ -238,9 +312,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = pages.schema[id_col].dataType
-    ordered = pages.select(
+    parsed = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"),
         path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("html"),
-    ).repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id")
-    return ordered.mapInArrow(extractor(to_arrow_type(kind)), f"id {kind.simpleString()}, url string, text string").select(
+    ).mapInArrow(_parsed, f"id {kind.simpleString()}, url string, host string, path string, lines binary, kinds string")
+    order = ["host", "path", "id", "url", "digest"]  # equal keys: equal texts
+    # The partition is a column, fixed by the checkpoint; two passes read the same layout.
+    ordered = settle(parsed.withColumn("digest", F.xxhash64("lines", "kinds")).repartitionByRange(*order).sortWithinPartitions(*order)
+                     .drop("digest").withColumn("part", F.spark_partition_id()))
+    found: dict[int, dict[int, Border]] = {}
+    for r in ordered.mapInArrow(_borders, "part int, place int, host string, path string, hashes array<bigint>").collect():  # four rows per partition
+        found.setdefault(r.part, {})[r.place] = Border(r.host, r.path, r.hashes)
+    return ordered.mapInArrow(extractor(to_arrow_type(kind), neighbours(found)), f"id {kind.simpleString()}, url string, text string").select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), "text")

@@ -194,6 +194,23 @@ def test_copies_without_an_article_are_no_partners(spark):
                    (5, whole("only")), (6, whole("only")), (7, whole("none")), (8, whole("none"))]
 
 
+def test_partners_do_not_depend_on_partitions(spark):
+    html = lambda body: f"<div>Site menu</div><p>{body}</p><div>Imprint</div>"
+    rows = [(i, f"http://{h}.com/{i // 3}/{i}", html(f"{h} {i // 4}")) for h in "abc" for i in range(24)]
+    rows += [(90, "http://d.com/1", html("alone")), *((91, "http://e.com/1", html("copy")) for _ in range(20)), (92, "http://e.com/2", html("last"))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = sorted((i, u, t.removeprefix("<div>Site menu</div><p>").split("<")[0] if i != 90 else "Site menu\nalone\nImprint") for i, u, t in rows)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for partitions in (1, 5, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            assert sorted(tuple(r) for r in pages.extract(df).collect()) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # licenses
 
 def brute_base(text):
