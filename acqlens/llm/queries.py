@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acqlens.llm import chat, decontaminate, lattice, licenses, neardup, packing, pages, quality, secrets, urls
+from acqlens.llm import chat, collocations, decontaminate, lattice, licenses, neardup, packing, pages, quality, secrets, urls
 from acqlens.llm.storage import table
 
 # The url rules of op2 and the conversation that op1 adds.
@@ -80,9 +80,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_chat_formatting, op2_url_filter, op3_secret_scan, op4_quality_rules, op5_benchmark_decontamination,
-    op6_ngram_jaccard_join, op7_packing, op8_lattice_scoring, op9_page_differencing, op10_license_scan)}
+    op6_ngram_jaccard_join, op7_packing, op8_lattice_scoring, op9_page_differencing, op10_license_scan,
+    op11_collocation_mining)}
 
 
 def _escaped(column: str) -> str:
@@ -166,5 +171,42 @@ SELECT d.id AS doc_id, b.id AS item_id, count(*) / any_value(n) AS containment
 FROM d JOIN b USING (key) JOIN size ON size.id = b.id GROUP BY d.id, b.id HAVING count(*) / any_value(n) >= {decontaminate.CONTAINMENT}
 """
 
-SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_url_filter": _op2_sql(), "op5_benchmark_decontamination": OP5_SQL}
+# Every phrase of one to five words, counted; then scores of the frequent ones by their cuts.
+OP11_SQL = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), places AS (
+  SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM words
+), grams AS (
+  SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, m, count(*) AS n
+  FROM places, (SELECT unnest(generate_series(1, {collocations.LONGEST})) AS m) WHERE i + m - 1 <= len(w)
+  GROUP BY ALL HAVING count(*) >= {collocations.LEAST}
+), totals AS (
+  SELECT lang, count(*) AS n FROM places GROUP BY lang
+), found AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM grams WHERE m > 1
+), dropped AS (
+  SELECT DISTINCT s.lang, s.phrase FROM found s JOIN found l ON s.lang = l.lang AND l.m > s.m AND 100 * l.n >= 100 * s.n
+    AND contains(' ' || l.phrase || ' ', ' ' || s.phrase || ' ')
+), cuts AS (
+  SELECT lang, phrase, m, n, w, unnest(generate_series(1, m - 1)) AS k FROM found ANTI JOIN dropped USING (lang, phrase)
+), scored AS (
+  SELECT c.lang, c.phrase, k, c.n AS a, l.n AS l, r.n AS r, t.n AS n,
+    CAST(CAST({collocations.SCALE} AS HUGEINT) * c.n * t.n // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT) AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang
+    JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ')
+    JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 : c.m], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= {collocations.TOP}
+"""
+
+SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_url_filter": _op2_sql(), "op5_benchmark_decontamination": OP5_SQL,
+                       "op11_collocation_mining": OP11_SQL}
 

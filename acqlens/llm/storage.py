@@ -1,4 +1,4 @@
-"""Intermediate results in the shared checkpoint folder, and a bitmap filter of fixed size."""
+"""Intermediate results in the shared checkpoint folder, and bitmap filters of bounded size."""
 
 from __future__ import annotations
 
@@ -22,21 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+def filter_bits(keys: int) -> int:
+    """Address bits of a bitmap that so many keys fill to 1/32 at most, between 2^16 bits (8 kB) and 2^29 (64 MB)."""
+    return min(29, max(16, (32 * keys).bit_length()))
+
+
+def bitmap(keys: DataFrame, column: str, address: int = BITMAP_BITS) -> np.ndarray:
     """A bitmap over the low bits of 64-bit keys, built by partial aggregation in Spark.
 
-    It always has 2^BITMAP_BITS bits (8 MB), so sending it to the driver and to
-    the executors is bounded; more keys only let more rows through, and every
+    It has 2^address bits, whatever the number of keys, so sending it to the driver
+    and to the executors is bounded; more keys only let more rows through, and every
     use joins the rows that pass with the keys themselves.
     """
-    low = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    low = F.col(column).bitwiseAND(F.lit((1 << address) - 1))
     parts = (
         keys.where(F.col(column).isNotNull())
         .groupBy((low / BUCKET).cast("long").alias("part"))
         .agg(F.bitmap_construct_agg((low % BUCKET).cast("long")).alias("bits"))
         .collect()
     )
-    bits = np.zeros((1 << BITMAP_BITS) // 8, dtype=np.uint8)
+    bits = np.zeros((1 << address) // 8, dtype=np.uint8)
     for row in parts:
         bits[row.part * BUCKET // 8 : (row.part + 1) * BUCKET // 8] = np.frombuffer(row.bits, dtype=np.uint8)
     return bits
@@ -44,7 +49,7 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
 
 def held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys the bitmap may contain."""
-    low = keys & np.uint64((1 << BITMAP_BITS) - 1)
+    low = keys & np.uint64(8 * len(bits) - 1)
     return (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
