@@ -7,11 +7,13 @@ and returns the contract's columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from acqlens.llm import chat, collocations, decontaminate, lattice, licenses, neardup, packing, pages, quality, secrets, urls
+from acqlens.llm import chat, collocations, decontaminate, lattice, licenses, mixing, neardup, packing, pages, periods, quality, secrets, urls
 from acqlens.llm.storage import table
 
 # The url rules of op2 and the conversation that op1 adds.
@@ -84,10 +86,42 @@ def op11_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def repeated_tails(ids: list, first: np.ndarray) -> np.ndarray:
+    """op13's rewriting: in documents with h % 10 = 0 the words from ``a`` on repeat the first p of them (ids that are null: none)."""
+    source = np.arange(int(first[-1]))
+    for d, doc in enumerate(ids):
+        begin, n = int(first[d]), int(first[d + 1] - first[d])
+        if doc is None or not n or (h := crc32(str(doc).encode())) % 10:
+            continue
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        source[begin + a : begin + n] = begin + a + np.arange(n - a) % p
+    return source
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find(table(spark, sf_dir, "documents"), moved=repeated_tails)
+    best = F.expr("""
+        array_sort(runs, (x, y) -> case
+          when x.length * y.period <> y.length * x.period then if(x.length * y.period > y.length * x.period, -1, 1)
+          when x.start <> y.start then if(x.start < y.start, -1, 1)
+          when x.period <> y.period then if(x.period < y.period, -1, 1) else 0 end)""")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return found.withColumn("best", F.get(best, F.lit(0))).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_chat_formatting, op2_url_filter, op3_secret_scan, op4_quality_rules, op5_benchmark_decontamination,
     op6_ngram_jaccard_join, op7_packing, op8_lattice_scoring, op9_page_differencing, op10_license_scan,
-    op11_collocation_mining)}
+    op11_collocation_mining, op12_source_mixing, op13_periodic_runs)}
 
 
 def _escaped(column: str) -> str:
@@ -207,6 +241,69 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM best QUALIFY rank <= {collocations.TOP}
 """
 
+# Targets by their level in one sort, all quotients ranked, blocks one by one.
+OP12_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST({mixing.CAP} * sum(size) AS BIGINT) AS most,
+    list_value{mixing.WEIGHTS}[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} AS INTEGER) + 1] AS weight
+  FROM sized GROUP BY source
+), levels AS (
+  SELECT *, row_number() OVER by_stop AS place, CAST((SELECT sum(source_size) FROM sources)
+      - coalesce(sum(most) OVER (by_stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / sum(weight) OVER (by_stop ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM sources WINDOW by_stop AS (ORDER BY most / weight, source)
+), reached AS (
+  SELECT arg_min(level, place) AS level FROM levels WHERE level * weight <= most
+), aims AS (
+  SELECT source, source_size, CASE WHEN r.level * weight > most THEN CAST(most AS DOUBLE) ELSE r.level * weight END AS target
+  FROM sources, reached r
+), copied AS (
+  SELECT source, doc_id, size, count(*) AS copies,
+    least(CAST(ceil(count(*) * size / {mixing.SHARD_WORDS}) AS BIGINT), count(*)) AS chunks
+  FROM sized WHERE size > 0 GROUP BY source, doc_id, size
+), items AS (
+  SELECT *, unnest(generate_series(0, chunks - 1)) AS chunk FROM copied
+), hashed AS (
+  SELECT i.*, size * (copies // chunks + CASE WHEN chunk < copies % chunks THEN 1 ELSE 0 END) AS words, source_size, target,
+    md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || chunk) AS place
+  FROM items i JOIN aims a ON i.source IS NOT DISTINCT FROM a.source
+), dealt AS (
+  SELECT *, CAST('0x' || place[1:8] AS BIGINT) % CAST(ceil(source_size / {mixing.SHARD_WORDS}) AS BIGINT) AS shard FROM hashed
+), laid AS (
+  SELECT *, CAST(sum(words) OVER (PARTITION BY source, shard ORDER BY place, doc_id, size, chunk ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop,
+    md5(hex(coalesce(source, '')) || ':' || CAST(source IS NULL AS VARCHAR) || ':' || shard) AS shard_key
+  FROM dealt
+), shards AS (
+  SELECT shard_key, greatest(CAST(sum(words) AS BIGINT) // {mixing.BLOCK_WORDS}, 1) AS blocks,
+    any_value(target) * greatest(CAST(sum(words) AS BIGINT) // {mixing.BLOCK_WORDS}, 1) / any_value(source_size) AS claim
+  FROM laid GROUP BY shard_key
+), offers AS (
+  SELECT shard_key, claim, unnest(generate_series(0, {mixing.CAP} * blocks - 1)) AS k FROM shards WHERE claim > 0
+), ranked AS (
+  SELECT shard_key, row_number() OVER (ORDER BY (2 * k + 1) / (2 * claim), shard_key) AS rank FROM offers
+), quotas AS (
+  SELECT s.shard_key, blocks, count(rank) AS seats, CAST('0x' || s.shard_key[1:12] AS BIGINT) AS number
+  FROM shards s LEFT JOIN ranked r ON r.shard_key = s.shard_key AND rank <= CAST(floor((SELECT sum(claim) FROM shards) + 1e-6) AS BIGINT)
+  GROUP BY s.shard_key, blocks
+), permuted AS (
+  SELECT *, list_value{mixing.STRIDES}[CAST(number % {len(mixing.STRIDES)} AS INTEGER) + 1] % blocks AS stride FROM quotas
+), blocks AS (
+  SELECT source, doc_id, size, copies, words, stop - words AS start, stop, blocks, seats, stride, number,
+    unnest(generate_series(least((stop - words) // {mixing.BLOCK_WORDS}, blocks - 1), least((stop - 1) // {mixing.BLOCK_WORDS}, blocks - 1))) AS i
+  FROM laid JOIN permuted USING (shard_key)
+), taken AS (
+  SELECT source, doc_id, size, copies, sum(
+    (least(stop, CASE WHEN i = blocks - 1 THEN stop ELSE (i + 1) * {mixing.BLOCK_WORDS} END) - greatest(start, i * {mixing.BLOCK_WORDS}))
+    * (seats // blocks + CASE WHEN (i * stride + number % blocks) % blocks < seats % blocks THEN 1 ELSE 0 END)) AS taken
+  FROM blocks GROUP BY source, doc_id, size, copies
+)
+SELECT s.doc_id, s.size, a.source_size, a.target, CAST(coalesce(t.taken // t.copies, 0) AS BIGINT) AS taken
+FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source
+LEFT JOIN taken t ON s.source IS NOT DISTINCT FROM t.source AND s.doc_id IS NOT DISTINCT FROM t.doc_id AND s.size = t.size
+"""
+
 SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op2_url_filter": _op2_sql(), "op5_benchmark_decontamination": OP5_SQL,
-                       "op11_collocation_mining": OP11_SQL}
+                       "op11_collocation_mining": OP11_SQL, "op12_source_mixing": OP12_SQL}
 
