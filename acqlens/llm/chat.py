@@ -29,6 +29,7 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -116,11 +117,13 @@ def _format(batches):
             batch = whole.slice(at, 1000)
             done = [format_turn(r, p) for r, p in zip(batch.column("role").to_pylist(), batch.column("parts").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("conv"), batch.column("turn"), pa.array([v.out for v in done], type=pa.string()),
+                [batch.column("conv"), batch.column("turn"), pc.fill_null(batch.column("role").cast(pa.string()), ""),
+                 pa.array([unescape(v.out[len(TURN + escape(v.role) + SAYS) : -len(DONE)]) for v in done], type=pa.string()),
+                 pa.array([v.out for v in done], type=pa.string()),
                  pa.array([[{"start": a, "end": b} for a, b in v.loss] for v in done], type=spans),
                  pa.array([[dict(zip(("ordinal", "kind", "ref", "at", "tokens"), x, strict=True)) for x in v.attachments]
                            for v in done], type=records)],
-                names=["conv", "turn", "formatted", "loss", "attachments"])
+                names=["conv", "turn", "role", "said", "formatted", "loss", "attachments"])
 
 
 def text_part(text: Column) -> Column:
@@ -132,17 +135,20 @@ def text_part(text: Column) -> Column:
 
 def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                  parts_col: str = "parts") -> DataFrame:
-    """(conv, turn, formatted, loss, attachments) for every row; a map without shuffle."""
+    """(conv, turn, role, said, formatted, loss, attachments) for every row; a map without shuffle.
+
+    ``said`` is the turn's text as it was, with placeholders; rows of one turn are ordered by role and ``said``.
+    """
     kinds = {c: turns.schema[x].dataType.simpleString() for c, x in (("conv", conv_col), ("turn", turn_col))}
     return turns.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"),
         F.col(parts_col).cast(f"array<{PART}>").alias("parts"),
-    ).mapInArrow(_format, f"conv {kinds['conv']}, turn {kinds['turn']}, formatted string, loss {SPANS}, attachments {ATTACHMENTS}")
+    ).mapInArrow(_format, f"conv {kinds['conv']}, turn {kinds['turn']}, role string, said string, formatted string, loss {SPANS}, attachments {ATTACHMENTS}")
 
 
 def ordered(formatted: DataFrame) -> DataFrame:
     """The rows of each conversation together, in turn order."""
-    return formatted.repartition("conv").sortWithinPartitions("conv", "turn", "formatted")
+    return formatted.repartition("conv").sortWithinPartitions("conv", "turn", "role", "said", "formatted")
 
 
 class _Reader:
