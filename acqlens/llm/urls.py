@@ -29,7 +29,6 @@ from acqlens.llm.storage import few, settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
-ITERATIONS = 10
 TOLERANCE = 1e-9  # least share of all mass that five rounds must add for the propagation to go on
 RATIO = 1.0
 ALLOW, BLOCK = "allow", "block"
@@ -67,13 +66,12 @@ def host_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int | None = ITERATIONS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) from edges (src, dst, n) and seeds (host, trusted, distrusted).
 
     Row (walk, host): walk 0 carries trust along links, walk 1 distrust against them.
-    ``iterations`` rounds start from the whole seeds, as the SQL states them; None
-    starts from (1 - damping) of them and goes on to the solution. Then ranks only
-    grow, so the growth of their sum is the summed change.
+    Rounds start from (1 - damping) of the seeds; then ranks only grow, and the growth
+    of their sum is the summed change.
     """
     both = edges.select(F.lit(0).alias("walk"), "src", "dst", "n").union(
         edges.select(F.lit(1).alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
@@ -81,19 +79,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
     steps = settle(both.join(out, ["walk", "src"]).select("walk", "src", "dst", (F.col("n") / F.col("total")).alias("share")))
     start = settle(seeds.select(F.expr("stack(2, 0, host, double(trusted), 1, host, double(distrusted)) as (walk, host, mass)"))
                    .where("mass > 0"))
-    given = start.select("walk", "host", (F.col("mass") * (1 - damping)).alias("mass"))
-    rank = start if iterations is not None else given
+    rank = given = start.select("walk", "host", (F.col("mass") * (1 - damping)).alias("mass"))
     hosts, total = 0, 0.0
-    for step in count() if iterations is None else range(iterations):
+    for step in count():
         moved = steps.join(rank.withColumnRenamed("host", "src"), ["walk", "src"]).select(
             "walk", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
         rank = moved.union(given).groupBy("walk", "host").agg(F.sum("mass").alias("mass"))
         if step % 5 == 4:
             rank = settle(rank)
-            if iterations is None:
-                before, (hosts, total) = (hosts, total), rank.agg(F.count(F.lit(1)), F.coalesce(F.sum("mass"), F.lit(0.0))).first()
-                if hosts == before[0] and total - before[1] <= TOLERANCE * total:
-                    break
+            before, (hosts, total) = (hosts, total), rank.agg(F.count(F.lit(1)), F.coalesce(F.sum("mass"), F.lit(0.0))).first()
+            if hosts == before[0] and total - before[1] <= TOLERANCE * total:
+                break
     return rank.groupBy("host").agg(
         F.sum(F.when(F.col("walk") == 0, F.col("mass")).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("walk") == 1, F.col("mass")).otherwise(0.0)).alias("distrust"))
@@ -108,7 +104,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_i
     ruled = by_url.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("by_rule"))
     seeds = ruled.where("by_rule is not null").groupBy("host").agg(
         F.count_if(F.col("by_rule") == ALLOW).alias("trusted"), F.count_if(F.col("by_rule") == BLOCK).alias("distrusted"))
-    scores = few(propagate(host_edges(pages, url_col, html_col), seeds, iterations=None))  # few hosts are broadcast, many joined by shuffle
+    scores = few(propagate(host_edges(pages, url_col, html_col), seeds))  # few hosts are broadcast, many joined by shuffle
     zero = F.lit(0.0)
     out = ruled.join(scores, "host", "left").select(
         id_col, "host", "path", "rule", "by_rule",
