@@ -1,9 +1,12 @@
 """Secret scan: pattern rules, and character Markov models of random strings and identifiers.
 
 Base rules find credentials by their form. Two first-order character models are
-trained on the whole corpus from samples that the rules label: transitions
-inside the found values (random strings) and inside all other runs of the
-alphabet (ordinary identifiers and words). Training is one pass that counts
+trained on the whole corpus from labelled samples: transitions inside the values that
+the rules find (random strings), and inside ordinary text and identifiers: all other
+runs of the alphabet, and every two neighbouring words of the corpus written as snake,
+kebab, camel and capital-snake identifiers, some with a version. Both models fall back
+to classes of characters (small, capital, digit, each sign), so that a pair of letters
+that the corpus does not have is no sign of randomness. Training is one pass that counts
 transitions per task (a fixed alphabet, so at most 2 x 66^2 rows per task) and
 sums them in Spark. What the base spans leave of a run of the alphabet is a secret
 too, if it has at least MIN_RUN characters and its log-likelihood ratio is high per
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acqlens.llm import words as W
+from acqlens.llm.storage import now_named, set_aside
 
 # The base rules.
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -34,13 +38,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
+BACKOFF = 0.3  # share of the class model in both models
+VERSIONED = 20  # one identifier of so many ends in a version
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SYMBOLS = len(ALPHABET) + 1  # 0 stands for any other character
 MIN_RUN = 16
-PER_CHARACTER = 0.7  # least log-likelihood ratio (natural log) per transition
-IN_TOTAL = 15.0
+PER_CHARACTER = 0.35  # least log-likelihood ratio (natural log) per transition
+IN_TOTAL = 7.0
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 MASK = "[secret]"
 
@@ -78,6 +84,50 @@ def _transitions(data: np.ndarray) -> np.ndarray:
     return np.bincount(np.concatenate([[0], code[:-1]]) * SYMBOLS + code, minlength=SYMBOLS * SYMBOLS)
 
 
+CLASS = np.array([0] + [1] * 26 + [2] * 26 + [3] * 10 + list(range(4, 4 + SYMBOLS - 63)))  # other, capital, small, digit, each sign
+SMALL = np.zeros(256, dtype=np.int64)  # letters, without case, as 0 to 25
+SMALL[:] = -1
+SMALL[0x41:0x5B] = SMALL[0x61:0x7B] = np.arange(26)
+
+
+def _identifiers(buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Transitions inside the words of a slice, taken in pairs as identifiers of every form."""
+    letter = SMALL[buffer]
+    words = W.split_bytes(buffer, offsets, letter >= 0)
+    n = len(words.start)
+    if n < 2:
+        return np.zeros(SYMBOLS * SYMBOLS, dtype=np.int64)
+    first, last = letter[words.start], letter[words.end - 1]
+    at = np.flatnonzero((letter[1:] >= 0) & (letter[:-1] >= 0))
+    inner = np.bincount(letter[at] * 26 + letter[at + 1], minlength=676)
+    long = words.end - words.start > 1
+    opening = np.bincount(first[long] * 26 + letter[words.start[long] + 1], minlength=676)
+    between = np.bincount(last[:-1] * 26 + first[1:], minlength=676)
+    begins, ends = np.bincount(first, minlength=26), np.bincount(last, minlength=26)
+    out = np.zeros((SYMBOLS, SYMBOLS), dtype=np.int64)
+    upper, lower = slice(1, 27), slice(27, 53)
+    square = lambda x: x.reshape(26, 26)
+    # Words in small letters (snake, kebab), with a capital (camel) and in capitals.
+    out[lower, lower] += 2 * square(inner) + square(inner - opening)
+    out[upper, lower] += square(opening)
+    out[upper, upper] += square(inner)
+    out[lower, upper] += square(between)
+    for sign, small, copies in ((b"_", lower, 1), (b"-", lower, 1), (b"_", upper, 1)):
+        code = int(CODE[sign[0]])
+        out[small, code] += copies * ends
+        out[code, small] += copies * begins
+    out[0, lower] += begins
+    out[0, upper] += begins
+    # name2, name_v2, NAME_2
+    digit = slice(53, 63)
+    some = n // VERSIONED // 10 + 1
+    for small in (lower, upper):
+        out[small, digit] += (ends[:, None] // (VERSIONED * 10)).astype(np.int64)
+        out[26 + 22 if small is lower else 22, digit] += some
+    out[int(CODE[ord("_")]), digit] += some
+    return out.reshape(-1)
+
+
 def _count(batches):
     """(random, cell, n): transitions inside labelled values and outside base spans."""
     totals = np.zeros((2, SYMBOLS * SYMBOLS), dtype=np.int64)
@@ -89,6 +139,7 @@ def _count(batches):
             before = np.concatenate([[0], code[:-1]]) if len(code) else code
             before[offsets[:-1][offsets[:-1] < len(code)]] = 0
             totals[0] += np.bincount(before * SYMBOLS + code, minlength=SYMBOLS * SYMBOLS)
+            totals[0] += _identifiers(buffer, offsets)
             texts = [t or "" for t in column.to_pylist()]
             for d in np.flatnonzero(_suspects(column, texts)):
                 end = 0
@@ -105,14 +156,24 @@ def _count(batches):
 
 
 def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Log-likelihood ratios log P(next | last, random) - log P(next | last, identifier), add-one smoothed."""
+    """Log-likelihood ratios log P(next | last, random) - log P(next | last, identifier).
+
+    Each model is a mixture of add-one smoothed characters and BACKOFF of classes.
+    """
     rows = (docs.select(F.col(text_col).alias("text")).mapInArrow(_count, "random int, cell int, n bigint")
             .groupBy("random", "cell").agg(F.sum("n").alias("n")).collect())  # at most 2 x SYMBOLS^2
     table = np.zeros((2, SYMBOLS, SYMBOLS))
     for r in rows:
         table[r.random, r.cell // SYMBOLS, r.cell % SYMBOLS] = r.n
+    classes = int(CLASS.max()) + 1
+    member = np.eye(classes)[CLASS]
+    size = member.sum(axis=0)
+    by_class = np.einsum("mij,ik,jl->mkl", table, member, member) + size[None, None, :]
+    by_class[:, :, 0] = 0
+    by_class /= by_class.sum(axis=2, keepdims=True)
+    spread = np.einsum("mkl,ik,jl->mij", by_class / size, member, member)[:, :, 1:]
     table = table[:, :, 1:] + 1
-    table /= table.sum(axis=2, keepdims=True)
+    table = (1 - BACKOFF) * table / table.sum(axis=2, keepdims=True) + BACKOFF * spread
     ratio = np.zeros((SYMBOLS, SYMBOLS))
     ratio[:, 1:] = np.log(table[1]) - np.log(table[0])
     return ratio
@@ -187,6 +248,8 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
              ratio: np.ndarray | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with secrets masked; ``chars_col``, if there, counts the new text."""
     ratio = train(docs, text_col) if ratio is None else ratio
+    docs, back = set_aside(docs, "_masked", "_length")
+    text_col, chars_col = now_named(back, text_col), now_named(back, chars_col)
 
     def clean(batches):
         for whole in batches:
@@ -204,4 +267,4 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n
     if chars_col in docs.columns:
         new[chars_col] = F.when(F.col("_masked").isNotNull(), F.col("_length")).otherwise(F.col(chars_col)).cast(
             docs.schema[chars_col].dataType)
-    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return out.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns)).withColumnsRenamed(back)

@@ -53,6 +53,23 @@ def held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of these names renamed, and how to rename them back (for ``withColumnsRenamed``)."""
+    taken = {c.lower() for c in docs.columns} | set(names)
+    moved = {}
+    for column in docs.columns:
+        if column.lower() in names:
+            other = next(x for x in (f"{column}_{i}" for i in range(len(taken) + 1)) if x.lower() not in taken)
+            taken.add(other.lower())
+            moved[column] = other
+    return docs.withColumnsRenamed(moved), {b: a for a, b in moved.items()}
+
+
+def now_named(back: dict[str, str], column: str) -> str:
+    """What a column of the caller is called after ``set_aside``."""
+    return {a: b for b, a in back.items()}.get(column, column)
+
+
 def list_of(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """An Arrow list column from flat values and n + 1 bounds."""
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, type=kind))

@@ -124,8 +124,12 @@ class Words:
 def split(column: pa.Array, table: np.ndarray) -> Words:
     """Maximal runs of word bytes; a run never crosses a document's border."""
     buffer, offsets = text_bytes(column)
+    return split_bytes(buffer, offsets, table[buffer] if len(buffer) else np.zeros(0, dtype=bool))
+
+
+def split_bytes(buffer: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
+    """Maximal runs of the bytes that are ``inside`` a word."""
     n = len(buffer)
-    inside = table[buffer] if n else np.zeros(0, dtype=bool)
     border = np.zeros(n + 1, dtype=bool)
     border[offsets] = True
     before = np.zeros(n, dtype=bool)
