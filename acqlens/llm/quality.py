@@ -9,7 +9,8 @@ probability of being good is then the logistic sum of its rules' log ratios, a
 built-in column expression.
 
 Counts: words are ``[^\\x20\\x09-\\x0D]+``; word_chars, code points in words;
-n_symbols, characters of ``#*$%&|<>``; n_dup_lines, lines with a word that equal
+n_symbols, characters of ``#*$%&|<>``; n_types, distinct words of each TYPE_WINDOW
+words, summed; n_dup_lines, lines with a word that equal
 an earlier line; n_repeat_words, words in three-word windows found twice or more.
 
 Defined cases: null text counts as empty; an empty text has no votes but fails
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from acqlens.llm import words as W
-from acqlens.llm.storage import settle
+from acqlens.llm.storage import now_named, set_aside, settle
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
           "n_lines", "n_upper", "n_letters", "n_bangs", "n_stops", "n_types", "n_bare"]
@@ -53,7 +54,7 @@ RULES: dict[str, tuple[str, float, float, float, float]] = {
     "duplicate_lines": ("n_dup_lines / n_lines", 0.0, 0.2, 0.0, 0.4),
     "stops_per_word": ("n_stops / n_words", 0.04, 0.4, 0.005, 1.0),
 }
-LONG_WORDS = 2000  # beyond, repetition of common words is ordinary: distinct_words abstains
+TYPE_WINDOW = 500  # distinct words are counted in windows of so many words, so their rate does not fall with length
 
 
 def _class_counts(buffer: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -91,7 +92,8 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
     repeated = np.zeros(len(keys), dtype=bool)
     for j in range(3):
         repeated[again + j] = True
-    own = W.mix(keys ^ salt)
+    window = (words.doc << 32) + (np.arange(len(keys)) - np.repeat(first[:-1], words.counts)) // TYPE_WINDOW
+    own = W.mix(keys ^ W.mix(window.astype(np.uint64) * np.uint64(W.GOLDEN)))
     order = np.argsort(own, kind="stable")
     new = np.zeros(len(own), dtype=bool)
     new[order] = np.concatenate([[True], own[order][1:] != own[order][:-1]]) if len(own) else []
@@ -143,8 +145,6 @@ def votes() -> list[Column]:
     for name, (ratio, good_low, good_high, low, high) in RULES.items():
         top, bottom = (F.col(f"_counts.{c}") for c in ratio.split(" / "))
         value = top / F.when(bottom > 0, bottom)
-        if name == "distinct_words":
-            value = F.when(F.col("_counts.n_words") <= LONG_WORDS, value)
         out.append(F.when(value.between(good_low, good_high), GOOD).when(
             (value < low) | (value > high), BAD).otherwise(ABSTAIN).alias(name))
     return out
@@ -199,15 +199,18 @@ def base_failed() -> Column:
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, the five base counts, base_failed, kept, quality) for every row of ``docs``."""
-    measures = settle(measured(docs, [id_col], text_col))
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    measures = settle(measured(docs, ["_id"], "_text"))
     model = fit(measures)
-    return measures.select(id_col, *(F.col(f"_counts.{c}").alias(c) for c in COUNTS[:5]),
+    return measures.select(F.col("_id").alias(id_col), *(F.col(f"_counts.{c}").alias(c) for c in COUNTS[:5]),
                            base_failed().alias("base_failed"), posterior(model).alias("quality")).withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= KEEP))
 
 
 def kept_rows(docs: DataFrame, text_col: str = "text", model: tuple[float, np.ndarray] | None = None) -> DataFrame:
     """The rows of ``docs`` that pass, all columns; two map passes, no join and no shuffle of texts."""
+    docs, back = set_aside(docs, "_counts")
+    text_col = now_named(back, text_col)
     model = model or fit(measured(docs, [], text_col))
     return measured(docs, docs.columns, text_col).where(
-        ~base_failed() & (posterior(model) >= KEEP)).select(*docs.columns)
+        ~base_failed() & (posterior(model) >= KEEP)).select(*docs.columns).withColumnsRenamed(back)
