@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from acqlens.llm import words as W
 from acqlens.llm.neardup import SHINGLE
-from acqlens.llm.storage import bitmap, few, held, settle
+from acqlens.llm.storage import bitmap, few, held, now_named, set_aside, settle
 
 CONTAINMENT = 0.8
 
@@ -130,4 +130,5 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id has no leak (a null-safe anti join on the few leaking ids)."""
     bad = few(leaks(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("leaking")).distinct())
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("leaking")), "left_anti")
+    docs, back = set_aside(docs, "leaking")
+    return docs.join(bad, docs[now_named(back, id_col)].eqNullSafe(F.col("leaking")), "left_anti").withColumnsRenamed(back)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from acqlens.llm import words as W
 from acqlens.llm.components import components
-from acqlens.llm.storage import bitmap, few, held, list_of, settle
+from acqlens.llm.storage import bitmap, few, held, list_of, now_named, set_aside, settle
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -271,4 +271,6 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if verdict.where("rows > 1").limit(1).count():
         docs = docs.dropDuplicates([id_col, text_col])
     gone = few(verdict.where("not stays").select(F.col(id_col).alias("gone")))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("gone")), "left_anti")
+    docs, back = set_aside(docs, "gone")
+    key = now_named(back, id_col)
+    return docs.join(gone, docs[key].eqNullSafe(F.col("gone")), "left_anti").withColumnsRenamed(back)
