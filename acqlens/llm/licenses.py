@@ -3,9 +3,11 @@
 All rolling three-word grams of every document are hashed and joined with the
 gram positions of the license templates. A hit votes for its offset diagonal
 (document place minus template place); votes are summed per document, template
-and diagonal, neighbouring diagonals (inserted or lost words) are merged, and a
-merged span is verified: it must cover enough different places of the template
-and be no longer than the template allows. Everything is DataFrame operations;
+and diagonal, and neighbouring diagonals (words inserted or lost here and there) are
+merged to pieces. Pieces that follow each other in the text and go on in the
+template are chained across inserted passages. A piece or a chain is a span if it is
+verified: it must cover enough different places of the template and be no longer than
+the template allows (STRETCH), which also bounds the passages. Everything is DataFrame operations;
 the template table is a parameter of bounded size and is broadcast.
 
 Base places are where a phrase's words stand consecutively. Words are
@@ -25,7 +27,8 @@ from acqlens.llm.storage import blank, settle
 from acqlens.llm.urls import LOWER, UPPER
 
 GRAM = 3
-DRIFT = 3  # diagonals at most so far apart are one span
+DRIFT = 3  # diagonals at most so far apart are one piece
+LEAST_VOTES = 2  # grams of a piece that may be chained: chance hits do not break a chain
 COVERAGE = 0.6  # share of a template's grams that a span must have
 STRETCH = 1.5  # a span's length over its template's, at most
 MAX_TEMPLATE_WORDS = 50_000  # bound of the broadcast table
@@ -110,9 +113,19 @@ def spans(hits: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     merged = votes.withColumn("new", new).withColumn("span", F.sum("new").over(near)).groupBy(
         "row", "tpl", "label", "n", "span").agg(
         F.min("first").alias("start"), (F.max("last") + GRAM).alias("end"),
-        (F.size(F.array_distinct(F.flatten(F.collect_list("places")))) / F.first("n")).alias("coverage"))
-    return merged.where((F.col("coverage") >= coverage) & (F.col("end") - F.col("start") <= STRETCH * (F.col("n") + GRAM - 1) + DRIFT)
-                        ).select("row", "label", "start", "end", "coverage")
+        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    # A piece goes on with the chain of the one before it, unless it steps back in the template or begins too far away.
+    follows = Window.partitionBy("row", "tpl").orderBy("start", "end", "span")
+    slack = F.ceil((STRETCH - 1) * (F.col("n") + GRAM - 1)) + DRIFT
+    breaks = (F.array_min("places") < F.lag(F.array_max("places")).over(follows)) | (
+        F.col("start") - F.lag("end").over(follows) > slack)
+    chained = merged.where(F.size("places") >= LEAST_VOTES).withColumn("break", F.coalesce(breaks.cast("int"), F.lit(0))).withColumn(
+        "chain", F.sum("break").over(follows)).groupBy("row", "tpl", "label", "n", "chain").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    columns = ["row", "label", "n", "start", "end", (F.size("places") / F.col("n")).alias("coverage")]
+    return merged.select(*columns).union(chained.select(*columns)).where(
+        (F.col("coverage") >= coverage) & (F.col("end") - F.col("start") <= STRETCH * (F.col("n") + GRAM - 1) + DRIFT)).select(
+        "row", "label", "start", "end", "coverage").distinct()
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None,
