@@ -147,7 +147,7 @@ FROM turns GROUP BY conv_id
 
 
 def _op2_sql() -> str:
-    """Rules, then the two walks as one common table expression per iteration."""
+    """Rules, then the two walks: every round's share of the ranks, until it is too small to matter, and their sum."""
     host = lambda c: f"translate(regexp_extract({c}, '(?s)^.*?://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}')"
     fits = {text: f"((host = '{text.split('/')[0]}' OR ends_with(host, '.{text.split('/')[0]}')) "
                   f"AND starts_with(path, '/{text.split('/', 1)[1]}'))" for _, text in URL_RULES}
@@ -155,13 +155,8 @@ def _op2_sql() -> str:
     rule = " ".join(f"WHEN {fits[text]} THEN '{text}'" for _, text in longest)
     verdict = " ".join(f"WHEN {fits[text]} THEN '{kind}'" for kind, text in longest)
     link = r"""(?i)\bhref\s*=\s*["'']?\s*((?:https?:)?//[^"''\s>]*)"""
-    steps = [f"""rank{i + 1} AS (
-      SELECT walk, host, sum(mass) AS mass FROM (
-        SELECT s.walk, s.dst AS host, r.mass * s.share * {urls.DAMPING} AS mass
-        FROM steps s JOIN rank{i} r ON s.walk = r.walk AND s.src = r.host
-        UNION ALL SELECT walk, host, mass * {1 - urls.DAMPING} FROM seeds) GROUP BY walk, host)""" for i in range(urls.ITERATIONS)]
     return f"""
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
   SELECT page_id, coalesce({host('url')}, '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages
 ), ruled AS (
@@ -179,10 +174,14 @@ WITH parsed AS (
 ), seeds AS (
   SELECT 0 AS walk, host, CAST(count(*) AS DOUBLE) AS mass FROM ruled WHERE by_rule = 'allow' GROUP BY host
   UNION ALL SELECT 1, host, count(*) FROM ruled WHERE by_rule = 'block' GROUP BY host
-), rank0 AS (SELECT * FROM seeds), {", ".join(steps)},
-scores AS (
+), added AS (
+  SELECT 0 AS round, walk, host, mass * {1 - urls.DAMPING} AS mass FROM seeds
+  UNION ALL
+  SELECT any_value(a.round) + 1, a.walk, s.dst, sum(a.mass * s.share * {urls.DAMPING})
+  FROM added a JOIN steps s ON s.walk = a.walk AND s.src = a.host WHERE a.round < 400 GROUP BY a.walk, s.dst
+), scores AS (
   SELECT host, coalesce(sum(mass) FILTER (walk = 0), 0) AS trust, coalesce(sum(mass) FILTER (walk = 1), 0) AS distrust
-  FROM rank{urls.ITERATIONS} GROUP BY host
+  FROM added GROUP BY host
 )
 SELECT page_id, r.host AS host, path, rule,
   coalesce(by_rule, CASE WHEN coalesce(distrust, 0) > {urls.RATIO} * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict

@@ -1,5 +1,5 @@
 import pytest
-from llm_data import EDGES, SCHEMA, SF
+from llm_data import CLASHES, EDGES, SCHEMA, SF
 from pyspark.sql import functions as F
 
 
@@ -10,7 +10,7 @@ def make_docs(spark):
     def make(pairs, clash=False):
         df = spark.createDataFrame([(i, t, None, None, None if t is None else len(t)) for i, t in pairs], SCHEMA)
         if clash:
-            for name in ("id", "row", "w", "n_words", "cls", "spans", "kept", "quality", "node", "key", "ids", "start", "class_id"):
+            for name in CLASHES:
                 df = df.withColumn(name, F.lit("x"))
         return df
 

@@ -58,6 +58,16 @@ def test_edge_cases(edges, make_docs):
     assert packing.pack(make_docs([]), BPE).collect() == []
 
 
+def test_texts_of_special_tokens_are_encoded_as_the_tokenizer_does(make_docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BPE)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y <|ENDOFTEXT|>", "<|endoftext", "é <|endoftext|> 漢", "a < |endoftext|> b"]
+    pieces = sorted(packing.pack(make_docs(list(enumerate(texts))), BPE).collect(), key=lambda r: (r.doc_id, r.start))
+    for i, text in enumerate(texts):
+        assert [x for r in pieces if r.doc_id == i for x in r.ids] == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_closest_is_the_best_subset_sum():
     rng = random.Random(8)
     for _ in range(200):

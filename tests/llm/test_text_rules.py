@@ -126,6 +126,30 @@ def test_random_letters_without_a_digit_are_found(documents):
     assert sum(bool(secrets.spans(f"see {x} here", ratio)) for x in values) >= 190
 
 
+WORDS = """java script object notation user account preference get set request response handler factory builder stream buffer reader
+writer parse token index table column client server session cache value config file system path name string number thread pool queue
+message event listener manager service provider controller model view template render update delete insert select customer order
+payment invoice shipping address country language translation currency amount total tax discount product category image search""".split()
+FORMS = {"snake": "_".join, "kebab": "-".join, "camel": lambda w: w[0] + "".join(map(str.title, w[1:])), "pascal": lambda w: "".join(map(str.title, w)),
+         "capitals": lambda w: "_".join(w).upper(), "version": lambda w: "_".join(w) + "_v2"}
+
+
+def test_identifiers_of_every_form_and_random_strings_held_out(documents):
+    """At most 1% of identifiers flagged (of words that the corpus has and of words that it does not have), 95% of random strings found."""
+    ratio, rng = secrets.train(documents), random.Random(15)
+    corpus = sorted({w.lower() for r in documents.collect() for w in re.findall(r"[A-Za-z]{3,}", r.text or "")})
+    random_in = lambda x: any(k == "random" for _, _, k, _ in secrets.spans(f"see {x} here", ratio))
+    for words in (WORDS, corpus):
+        for form in FORMS.values():
+            names = [form([rng.choice(words) for _ in range(rng.randrange(3, 6))]) for _ in range(1000)]
+            assert sum(map(random_in, names)) <= 10
+    for alphabet in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        for n in (20, 32, 48):
+            assert sum(random_in("".join(rng.choice(alphabet) for _ in range(n))) for _ in range(1000)) >= 950
+    for name in ("JavaScriptObjectNotation", "getUserAccountPreferencesV2", "TheQuickBrownFoxJumpsOver", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        assert not random_in(name)
+
+
 def test_redaction(make_docs, documents):
     docs = make_docs([(1, "a password=abcdef123 b"), (2, None), (3, "clean")], clash=True)
     rows = {r.doc_id: r for r in secrets.redacted(docs).collect()}
