@@ -4,12 +4,15 @@ Every suite returns rows ``(check_name, failing_rows, status)`` with status
 PASS iff ``failing_rows = 0`` (a NULL count - e.g. a reconciliation over empty
 tables - is FAIL). Spark plan shape:
 
-* single-table checks of one table run as **one** aggregate pass over it
+* V1-V8 are expressions over one row of facts, gathered by two groupings: what meets
+  on the customer's key, and what meets on the campaign's (``_check_facts``);
+* elsewhere single-table checks of one table run as **one** aggregate pass over it
   (all counts side by side), then unpivot into rows;
-* orphan / cross-table checks pre-aggregate the fact side on the join key
-  first (a hot customer or campaign arrives as one row), then anti / inner
-  join the dimension;
-* reconciliations are one-row aggregates joined with ``crossJoin``.
+* other orphan checks pre-aggregate the fact side on the join key first (a hot
+  customer or campaign arrives as one row), then anti join the dimension;
+* other reconciliations are one-row aggregates joined with ``crossJoin``.
+
+Check names are fixed values: they must equal the reference's.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import pct2, rounded_ratio
+from ..functions.exprs import SUM_MONEY, pct2, rounded_ratio
 from ..plans.broadcast import one_row
 from ..sources.model import Model
 from .cohort import _cohort_customers, cohort_sizes, mart_channel_retention
@@ -84,118 +87,145 @@ def data_quality_checks(m: Model, sort: bool = False) -> DataFrame:
     """V1-V8: keys, required fields, orphans, value ranges, lead consistency,
     order dates and reconciliations.
 
-    Passes over the fact tables: orders 2 (one aggregate for keys, required
-    fields, amounts and the total; one per-(customer, day) aggregate left-joined
-    to customers for orphans and early orders), leads 3 (one aggregate; the
-    per-campaign funnel mart for orphans and the lead total; one
-    per-(customer, campaign, day) aggregate for reuse and lead-vs-customer
-    checks), plus the customer facts the revenue reconciliation needs.
+    One row of facts (``_check_facts``) holds every count and sum; the checks are
+    expressions over it. Orders and leads are scanned twice, all other fact tables once.
+    """
+    f = F.col
+    reconciled = lambda left, right: F.abs(f(left) - f(right))
+    df = _rows(_check_facts(m), [
+        ("PK uniqueness: channels", f("channel_dups")),
+        ("PK uniqueness: campaigns", f("campaign_dups")),
+        ("PK uniqueness: customers", f("customer_dups")),
+        ("PK uniqueness: leads", f("lead_rows") - f("lead_ids")),
+        ("PK uniqueness: orders", f("order_dups")),
+        ("Required fields: customers (first_campaign_id/signup_date)", f("customers_incomplete")),
+        ("Required fields: orders (customer_id/order_date/order_amount)", f("orders_incomplete")),
+        ("Required fields: campaigns (channel_id/dates)", f("campaigns_incomplete")),
+        ("Orphans: campaigns.channel_id -> channels", f("campaign_orphans")),
+        ("Orphans: leads.campaign_id -> campaigns", f("lead_orphans")),
+        ("Orphans: customers.first_campaign_id -> campaigns", f("customer_orphans")),
+        ("Orphans: orders.customer_id -> customers", f("order_orphans")),
+        ("Campaign dates: end >= start", f("campaigns_reversed")),
+        ("Spend dates within campaign window", f("spend_outside")),
+        ("Non-negative spend", f("spend_negative")),
+        ("Positive order amounts", f("orders_not_positive")),
+        ("Lead conversion flag consistency", f("leads_inconsistent")),
+        ("Converted leads map to exactly one customer each (no duplicate customer reuse)", f("customers_reused")),
+        ("Converted lead campaign matches customer first_campaign_id", f("lead_campaign_differs")),
+        ("Converted lead date matches customer signup_date", f("lead_date_differs")),
+        ("Order date >= customer signup_date", f("orders_early")),
+        ("Reconciliation: campaign-level leads sum = table total", reconciled("leads_by_campaign", "lead_rows")),
+        ("Reconciliation: campaign-level acquired customers sum = customers table total",
+         F.when(f("leads_by_campaign").isNotNull(), reconciled("acquired", "customer_rows"))),
+        ("Reconciliation: campaign-level spend sum = daily_campaign_spend total", reconciled("spend_by_campaign", "spend_total")),
+        ("Reconciliation: customer-level revenue sum = orders total", reconciled("staged_revenue", "orders_total")),
+    ])
+    return _finish([df], sort)
+
+
+def _total(column: str, value: str, zero: str = "0L") -> str:
+    """SQL: the sum of ``value`` (over x) for the elements x of an array."""
+    return f"aggregate({column}, {zero}, (sum, x) -> sum + coalesce({value}, {zero}))"
+
+
+def _customer_pass(m: Model) -> DataFrame:
+    """Orders, customers and converted leads met on the customer's key in one grouping.
+
+    Every side is first reduced to the values that checks compare - (customer, day),
+    (customer, campaign, signup), (customer, campaign, day, flag) - so the lists of
+    a hot customer are bounded by days and campaigns. Rows: for every customer record its
+    campaign with the record's count and revenue, and for every key the check counts (campaign NULL).
+    """
+    days = m.orders.groupBy("customer_id", "order_date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("order_amount").cast(SUM_MONEY).alias("amount")).select(
+        F.col("customer_id").alias("key"), F.struct(F.col("order_date").alias("day"), "n", "amount").alias("o"))
+    records = m.customers.groupBy("customer_id", "first_campaign_id", "signup_date").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("customer_id").alias("key"), F.struct(F.col("first_campaign_id").alias("campaign"), F.col("signup_date").alias("signup"), "n").alias("c"))
+    leads = m.leads.where(F.col("converted_customer_id").isNotNull()).groupBy(
+        "converted_customer_id", "campaign_id", "lead_date", "converted_flag").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("converted_customer_id").alias("key"),
+        F.struct(F.col("campaign_id").alias("campaign"), F.col("lead_date").alias("day"), F.col("converted_flag").alias("flag"), "n").alias("l"))
+    met = days.unionByName(records, allowMissingColumns=True).unionByName(leads, allowMissingColumns=True).groupBy("key").agg(
+        *(F.collect_list(c).alias(c) for c in "ocl"))
+    zero = "cast(0 as decimal(28, 2))"
+    counted = met.withColumns({
+        "records": F.expr(_total("c", "x.n")), "orders": F.expr(_total("o", "x.n")), "leads": F.expr(_total("l", "x.n")),
+        "revenue": F.expr(f"aggregate(o, {zero}, (sum, x) -> cast(sum + coalesce(x.amount, {zero}) as decimal(28, 2)))"),
+    }).withColumns({
+        "known": F.expr("key is not null and records > 0"),
+        "early": F.expr(_total("c", "x.n * " + "aggregate(o, 0L, (t, y) -> t + if(y.day < x.signup, y.n, 0L))")),
+        "campaign_differs": F.expr(_total("c", "x.n * aggregate(l, 0L, (t, y) -> t + if(y.flag and y.campaign <> x.campaign, y.n, 0L))")),
+        "date_differs": F.expr(_total("c", "x.n * aggregate(l, 0L, (t, y) -> t + if(y.flag and y.day <> x.signup, y.n, 0L))")),
+    })
+    return counted.select(F.inline(F.expr(f"""concat(
+        transform(c, x -> struct(x.campaign as campaign_id, x.n as records, cast(if(key is null, {zero}, revenue) * x.n as decimal(28, 2)) as revenue,
+          0L as customer_dups, 0L as customers_incomplete, 0L as order_orphans, 0L as orders_early, 0L as customers_reused,
+          0L as lead_campaign_differs, 0L as lead_date_differs, 0L as acquired)),
+        array(struct(cast(null as int) as campaign_id, 0L as records, {zero} as revenue,
+          records - if(known, 1L, 0L) as customer_dups,
+          {_total("c", "if(x.campaign is null or x.signup is null, x.n, 0L)")} as customers_incomplete,
+          if(known, 0L, orders) as order_orphans, if(known, early, 0L) as orders_early, if(leads > 1, 1L, 0L) as customers_reused,
+          if(known, campaign_differs, 0L) as lead_campaign_differs, if(known, date_differs, 0L) as lead_date_differs,
+          cast(size(array_distinct(transform(l, y -> y.campaign))) as bigint) as acquired)))""")))
+
+
+def _check_facts(m: Model) -> DataFrame:
+    """All counts and sums of V1-V8 in one row.
+
+    The customer pass, the leads (grouped by id and by campaign in one scan), the spend
+    per campaign and day and the campaigns themselves meet on the campaign's key in
+    one grouping; sums are partial before that shuffle, lists hold a campaign's records and days.
     """
-    parts = []
-    parts.append(_rows(m.channels.agg(_dup("channel_id").alias("a")),
-                       [("PK uniqueness: channels", F.col("a"))]))
-    parts.append(_rows(m.campaigns.agg(
-        _dup("campaign_id").alias("a"),
-        _count_if(F.col("channel_id").isNull() | F.col("start_date").isNull() | F.col("end_date").isNull()).alias("b"),
-        _count_if(F.col("end_date") < F.col("start_date")).alias("c"),
-    ), [("PK uniqueness: campaigns", F.col("a")),
-        ("Required fields: campaigns (channel_id/dates)", F.col("b")),
-        ("Campaign dates: end >= start", F.col("c"))]))
-
-    customers_agg = m.customers.agg(
-        _dup("customer_id").alias("a"),
-        _count_if(F.col("first_campaign_id").isNull() | F.col("signup_date").isNull()).alias("b"),
-        F.count(F.lit(1)).alias("_customers"),
-    )
-    parts.append(_rows(customers_agg, [
-        ("PK uniqueness: customers", F.col("a")),
-        ("Required fields: customers (first_campaign_id/signup_date)", F.col("b"))]))
-
     flag, cid = F.col("converted_flag"), F.col("converted_customer_id")
-    leads_agg = m.leads.agg(
-        _dup("lead_id").alias("a"),
-        _count_if((flag & cid.isNull()) | (~flag & cid.isNotNull())).alias("b"),
-    )
-    parts.append(_rows(leads_agg, [("PK uniqueness: leads", F.col("a")),
-                                   ("Lead conversion flag consistency", F.col("b"))]))
-
-    orders_agg = m.orders.agg(
-        _dup("order_id").alias("a"),
-        _count_if(F.col("customer_id").isNull() | F.col("order_date").isNull()
-                  | F.col("order_amount").isNull()).alias("b"),
-        _count_if(F.col("order_amount") <= 0).alias("c"),
-        F.sum("order_amount").alias("_orders_total"),
-    )
-    parts.append(_rows(orders_agg, [
-        ("PK uniqueness: orders", F.col("a")),
-        ("Required fields: orders (customer_id/order_date/order_amount)", F.col("b")),
-        ("Positive order amounts", F.col("c"))]))
-
-    spend_agg = m.daily_campaign_spend.agg(
-        _count_if(F.col("spend_amount") < 0).alias("a"),
-        F.sum("spend_amount").alias("_spend_total"),
-    )
-    parts.append(_rows(spend_agg, [("Non-negative spend", F.col("a"))]))
-
-    # orphans (LEFT JOIN ... IS NULL == left anti join) on dimension-grain inputs
-    parts.append(_single("Orphans: campaigns.channel_id -> channels",
-                         _anti_count(m.campaigns, "channel_id", m.channels, "channel_id"), F.first("_v")))
-    parts.append(_single("Orphans: customers.first_campaign_id -> campaigns",
-                         _anti_count(m.customers, "first_campaign_id", m.campaigns, "campaign_id"),
-                         F.first("_v")))
-    funnel = mart_campaign_funnel(m)
-    lead_orphans = funnel.join(m.campaigns.select("campaign_id"), "campaign_id", "left_anti")
-    parts.append(_single("Orphans: leads.campaign_id -> campaigns", lead_orphans,
-                         F.coalesce(F.sum("lead_count"), F.lit(0))))
-
-    # orders per (customer, day) against customers: orphans and orders before signup in one join
-    by_day = orders_daily(m).join(
-        m.customers.select("customer_id", F.col("signup_date").alias("_signup"), F.lit(True).alias("_known")),
-        "customer_id", "left")
-    parts.append(_rows(by_day.agg(
-        F.coalesce(F.sum(F.when(F.col("_known").isNull(), F.col("order_rows"))), F.lit(0)).alias("a"),
-        F.coalesce(F.sum(F.when(F.col("order_date") < F.col("_signup"), F.col("order_rows"))), F.lit(0)).alias("b"),
-    ), [("Orphans: orders.customer_id -> customers", F.col("a")),
-        ("Order date >= customer signup_date", F.col("b"))]))
-
-    spend_days = m.daily_campaign_spend.join(
-        m.campaigns.select("campaign_id", "start_date", "end_date"), "campaign_id")
-    parts.append(_single("Spend dates within campaign window", spend_days,
-                         _count_if((F.col("spend_date") < F.col("start_date"))
-                                   | (F.col("spend_date") > F.col("end_date")))))
-
-    # converted-customer checks share one aggregate of leads per (customer, campaign, day, flag)
-    lead_keys = m.leads.where(cid.isNotNull()).groupBy(
-        "converted_customer_id", "campaign_id", "lead_date", "converted_flag").agg(F.count(F.lit(1)).alias("_n"))
-    reused = lead_keys.groupBy("converted_customer_id").agg(F.sum("_n").alias("_n")).where(F.col("_n") > 1)
-    parts.append(_single("Converted leads map to exactly one customer each (no duplicate customer reuse)",
-                         reused, F.count(F.lit(1))))
-    lead_vs_customer = lead_keys.where(flag).join(
-        m.customers.select(F.col("customer_id").alias("converted_customer_id"),
-                           "first_campaign_id", "signup_date"), "converted_customer_id")
-    parts.append(_rows(lead_vs_customer.agg(
-        F.coalesce(F.sum(F.when(F.col("campaign_id") != F.col("first_campaign_id"), F.col("_n"))), F.lit(0)).alias("a"),
-        F.coalesce(F.sum(F.when(F.col("lead_date") != F.col("signup_date"), F.col("_n"))), F.lit(0)).alias("b"),
-    ), [("Converted lead campaign matches customer first_campaign_id", F.col("a")),
-        ("Converted lead date matches customer signup_date", F.col("b"))]))
-
-    # reconciliations from one-row totals (table totals come from the aggregates above)
-    funnel_totals = funnel.agg(F.sum("lead_count").alias("_leads_mart"),
-                               F.sum("acquired_customer_count").alias("_acquired"))
-    leads_total = m.leads.agg(F.count(F.lit(1)).alias("_leads"))
-    parts.append(_reconcile("Reconciliation: campaign-level leads sum = table total",
-                            funnel_totals.select(F.col("_leads_mart").alias("_l")),
-                            leads_total.select(F.col("_leads").alias("_r"))))
-    parts.append(_reconcile("Reconciliation: campaign-level acquired customers sum = customers table total",
-                            funnel_totals.select(F.col("_acquired").alias("_l")),
-                            customers_agg.select(F.col("_customers").alias("_r"))))
-    parts.append(_reconcile("Reconciliation: campaign-level spend sum = daily_campaign_spend total",
-                            mart_campaign_spend(m).agg(F.sum("total_spend").alias("_l")),
-                            spend_agg.select(F.col("_spend_total").alias("_r"))))
-    parts.append(_reconcile("Reconciliation: customer-level revenue sum = orders total",
-                            mart_customer_revenue(m).agg(F.sum("lifetime_revenue_to_date").alias("_l")),
-                            orders_agg.select(F.col("_orders_total").alias("_r"))))
-    return _finish(parts, sort)
+    leads = m.leads.withColumn("bad", F.coalesce((flag & cid.isNull()) | (~flag & cid.isNotNull()), F.lit(False)).cast("bigint")).select(
+        "lead_id", "campaign_id", "bad").groupingSets([["lead_id"], ["campaign_id"]], "lead_id", "campaign_id").agg(
+        F.grouping("campaign_id").alias("by_id"), F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    by_id = F.col("by_id") == 1
+    lead_rows = leads.select(
+        "campaign_id", F.when(by_id, F.col("n")).alias("lead_rows"),
+        F.when(by_id & F.col("lead_id").isNotNull(), F.lit(1).cast("bigint")).alias("lead_ids"),
+        F.when(by_id, F.col("bad")).alias("leads_inconsistent"), F.when(~by_id, F.col("n")).alias("leads_by_campaign"))
+    spend = m.daily_campaign_spend.groupBy("campaign_id", "spend_date").agg(
+        F.count(F.lit(1)).alias("n"), _count_if(F.col("spend_amount") < 0).alias("spend_negative"),
+        F.sum("spend_amount").cast(SUM_MONEY).alias("spend_total")).select(
+        "campaign_id", F.struct(F.col("spend_date").alias("day"), "n").alias("s"), "spend_negative", "spend_total")
+    named = m.channels.groupBy("channel_id").agg(F.count(F.lit(1)).alias("there"), F.count("channel_name").alias("named"))
+    campaigns = m.campaigns.groupBy("campaign_id", "channel_id", "start_date", "end_date").agg(F.count(F.lit(1)).alias("n")).join(
+        named, "channel_id", "left").select("campaign_id", F.struct(
+            "n", "channel_id", "start_date", "end_date", F.coalesce("there", F.lit(0)).alias("there"), F.coalesce("named", F.lit(0)).alias("named")).alias("k"))
+
+    met = _customer_pass(m)
+    sums = [c for c in met.columns if c != "campaign_id"]
+    for side in (lead_rows, spend, campaigns):
+        sums += [c for c in side.columns if c not in ("campaign_id", "s", "k")]
+        met = met.unionByName(side, allowMissingColumns=True)
+    met = met.groupBy("campaign_id").agg(F.collect_list("s").alias("s"), F.collect_list("k").alias("k"), *(F.sum(c).alias(c) for c in sums))
+    known = F.expr("campaign_id is not null and size(k) > 0")
+    outside = "aggregate(s, 0L, (t, y) -> t + if(y.day < x.start_date or y.day > x.end_date, y.n, 0L))"
+    own = {
+        "campaign_dups": F.expr(_total("k", "x.n") + " - if(campaign_id is not null and size(k) > 0, 1L, 0L)"),
+        "campaigns_incomplete": F.expr(_total("k", "if(x.channel_id is null or x.start_date is null or x.end_date is null, x.n, 0L)")),
+        "campaigns_reversed": F.expr(_total("k", "if(x.end_date < x.start_date, x.n, 0L)")),
+        "campaign_orphans": F.expr(_total("k", "if(x.there = 0, x.n, 0L)")),
+        "customer_orphans": F.when(~known, F.col("records")),
+        "lead_orphans": F.when(~known, F.col("leads_by_campaign")),
+        "spend_outside": F.when(known, F.expr(_total("k", f"x.n * {outside}"))),
+        "staged": F.when(known & (F.col("records") > 0), F.expr(_total("k", "x.n * x.named"))),
+    }
+    per_campaign = met.withColumns(own)
+    nullable = ("leads_by_campaign", "spend_total")  # sums over no rows are NULL, as the reconciliations want them
+    zero = F.lit(0)
+    row = per_campaign.agg(
+        *(F.coalesce(F.sum(c), zero).alias(c) for c in [*sums, *own] if c not in (*nullable, "staged", "records", "revenue")),
+        *(F.sum(c).alias(c) for c in nullable),
+        F.sum("spend_total").alias("spend_by_campaign"),
+        F.coalesce(F.sum("records"), zero).alias("customer_rows"),
+        F.sum(F.when(F.col("staged") > 0, F.col("revenue") * F.col("staged"))).alias("staged_revenue"))
+    orders = m.orders.agg(
+        _dup("order_id").alias("order_dups"),
+        _count_if(F.col("customer_id").isNull() | F.col("order_date").isNull() | F.col("order_amount").isNull()).alias("orders_incomplete"),
+        _count_if(F.col("order_amount") <= 0).alias("orders_not_positive"), F.sum("order_amount").alias("orders_total"))
+    return row.crossJoin(one_row(orders)).crossJoin(one_row(m.channels.agg(_dup("channel_id").alias("channel_dups"))))
 
 
 # -------------------------------------------------------------- V9-V13 (11 checks)

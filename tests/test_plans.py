@@ -1,6 +1,6 @@
 """Plan shape: the choices that matter at scale are visible in the physical plan."""
 
-from acqlens.operators import cohort, marts, metrics, rfm
+from acqlens.operators import cohort, marts, metrics, quality, rfm
 from acqlens.sources.driver import model_from_driver
 from acqlens.sources.files import read_parquet_model, write_model
 
@@ -45,6 +45,25 @@ def test_customer_grain_has_no_single_partition_window(spark):
     assert "SinglePartition" not in ranked and "Window" in ranked
 
 
+def scans(text):
+    """How often each table's files are read in a plan."""
+    import collections
+    import re
+
+    return collections.Counter(re.findall(r"FileScan [^\n]*?/(\w+)\]", text))
+
+
+def test_check_suites_read_no_table_more_than_twice(spark, tmp_path):
+    write_model(fresh(spark), str(tmp_path / "model"))
+    m = read_parquet_model(spark, str(tmp_path / "model"))
+    m.persist = False
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")  # whole paths in plans
+    text = _without_aqe(spark, lambda: quality.data_quality_checks(m))
+    assert scans(text) == {"orders": 2, "leads": 2, "customers": 1, "daily_campaign_spend": 1, "campaigns": 1, "channels": 2}
+    assert text.count("Exchange hashpartitioning") <= 12 and "SortMergeJoin" in text
+    assert max(scans(_without_aqe(spark, lambda: quality.constraint_checks(m))).values()) <= 2
+
+
 def test_customer_totals_shuffle_orders_once(spark, tmp_path):
     write_model(fresh(spark), str(tmp_path / "model"))
     m = read_parquet_model(spark, str(tmp_path / "model"))
