@@ -6,9 +6,10 @@ Two shared customer-grain plans:
   ``customer_id``: one shuffle of order rows. Map-side partial sums turn a
   customer that owns a third of all orders into one row per task.
 * ``customer_facts`` (M3, M10 and what reports them) also needs sums over date
-  windows that are known only after the join with the customer. It reduces
-  orders to (customer, day) first, so a hot customer is at most one row per day
-  when it meets its attributes; that bound costs a second shuffle.
+  windows that are known only after the join with the customer. Orders join their
+  customer as they are, in one shuffle, but for those of heavy customers
+  (``heavy_customers``): these are reduced to (customer, day) first, so a hot customer
+  is at most one row per day when it meets its attributes.
 
 The per-(customer, month) aggregate feeds the cohort operators.
 """
@@ -19,19 +20,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import SUM_MONEY, money_sum, month_start
-from ..plans.broadcast import one_row
+from ..plans.broadcast import few_rows, one_row
 from ..sources.model import Model
 
 
 # ---------------------------------------------------------------- shared
 
-def orders_daily(m: Model) -> DataFrame:
-    """Orders pre-aggregated to (customer_id, order_date)."""
-    return m.memo("orders_daily", lambda: m.orders.groupBy("customer_id", "order_date").agg(
-        F.count(F.lit(1)).alias("order_rows"),
-        F.count("order_id").alias("order_ids"),
-        F.sum("order_amount").alias("amount"),
-    ))
+HEAVY_SHARE = 2048  # a heavy customer has at least one of so many orders, so there are at most so many of them
+TRACKED = 16_384  # ids that the counter sketch tracks: its error is far below one of HEAVY_SHARE orders
+
+
+def heavy_customers(m: Model) -> DataFrame:
+    """(heavy_id): customers with at least 1 / HEAVY_SHARE of all orders, by a frequent-items sketch.
+
+    The sketch is one pass over the ids without a shuffle of them, in the same plan. It
+    counts no id too high by more than its error, and only decides how a customer's
+    orders travel, never what they add up to.
+    """
+    sketch = m.orders.agg(F.expr(f"approx_top_k(customer_id, {HEAVY_SHARE}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n"))
+    return sketch.select("n", F.inline("top")).where(
+        F.col("item").isNotNull() & (F.col("count") * HEAVY_SHARE >= F.col("n"))).select(F.col("item").alias("heavy_id"))
+
+
+def orders_for_join(m: Model) -> DataFrame:
+    """Orders as (customer_id, order_date, order_rows, order_ids, amount): one row an order, but one row a day of a heavy customer."""
+    def build():
+        marked = m.orders.join(few_rows(heavy_customers(m)), F.col("customer_id") == F.col("heavy_id"), "left")
+        light = marked.where("heavy_id is null").select(
+            "customer_id", "order_date", F.lit(1).cast("bigint").alias("order_rows"),
+            F.col("order_id").isNotNull().cast("bigint").alias("order_ids"), F.col("order_amount").cast(SUM_MONEY).alias("amount"))
+        heavy = marked.where("heavy_id is not null").groupBy("customer_id", "order_date").agg(
+            F.count(F.lit(1)).alias("order_rows"),
+            F.count("order_id").alias("order_ids"),
+            F.sum("order_amount").cast(SUM_MONEY).alias("amount"),
+        )
+        return light.union(heavy)
+    return m.memo("orders_for_join", build)
 
 
 def orders_monthly(m: Model) -> DataFrame:
@@ -110,7 +134,7 @@ def customer_facts(m: Model) -> DataFrame:
     reuse.
     """
     def build():
-        joined = _customer_rows(m).join(orders_daily(m), "customer_id", "left")
+        joined = _customer_rows(m).join(orders_for_join(m), "customer_id", "left")
         in_window = F.col("order_date").between(F.col("start_date"), F.col("end_date"))
         in_90d = F.col("order_date") <= F.date_add("signup_date", 90)
         per_copy = joined.groupBy(*CUSTOMER_KEYS, "copies").agg(

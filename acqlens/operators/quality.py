@@ -28,7 +28,7 @@ from ..plans.broadcast import one_row
 from ..sources.model import Model
 from .cohort import _cohort_customers, cohort_sizes, mart_channel_retention
 from .marts import (mart_campaign_funnel, mart_campaign_revenue, mart_campaign_spend,
-                    mart_customer_revenue, orders_daily)
+                    mart_customer_revenue)
 from .rfm import mart_customer_rfm
 from .staging import stg_campaigns
 

@@ -286,4 +286,4 @@ def ranked(df: DataFrame, partition_by: list[str], order: list[SortKey], tiebrea
     return windowed.join(small, same).select(
         *df.columns,
         (F.col("_off") + F.col("_lr") - F.when(F.col("_rk") == F.col("_kmin"), F.col("_tied")).otherwise(F.lit(0)))
-        .cast("int").alias(name))
+        .cast("bigint").alias(name))

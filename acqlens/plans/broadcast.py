@@ -7,7 +7,10 @@
   execution re-checks with the real shuffle size at runtime. So a campaign
   table that unexpectedly grows is never forced into executor memory.
 * ``one_row`` marks global aggregates (no grouping keys): they have exactly
-  one row by construction, the only explicit broadcast in the package.
+  one row by construction.
+* ``few_rows`` marks the heavy keys of a frequent-items sketch: at most the
+  sketch's fixed number of items, whatever the data. These two are the only
+  explicit broadcasts in the operators.
 """
 
 from __future__ import annotations
@@ -19,3 +22,8 @@ from pyspark.sql import functions as F
 def one_row(df: DataFrame) -> DataFrame:
     """Broadcast hint for a global aggregate (provably one row)."""
     return F.broadcast(df)
+
+
+def few_rows(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a sketch's heavy keys (bounded by the sketch's size)."""
+    return F.broadcast(df)

@@ -64,6 +64,22 @@ def test_check_suites_read_no_table_more_than_twice(spark, tmp_path):
     assert max(scans(_without_aqe(spark, lambda: quality.constraint_checks(m))).values()) <= 2
 
 
+def test_windowed_revenue_shuffles_ordinary_orders_once(spark, tmp_path):
+    import re
+
+    write_model(fresh(spark), str(tmp_path / "model"))
+    m = read_parquet_model(spark, str(tmp_path / "model"))
+    m.persist = False
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    for build in (marts.mart_campaign_revenue, marts.mart_ltv_90d):
+        text = _without_aqe(spark, lambda build=build: build(m))
+        daily = re.findall(r"Exchange hashpartitioning\(customer_id#\d+L?, order_date#", text)
+        by_customer = re.findall(r"Exchange hashpartitioning\(customer_id#\d+L?, \d+\)", text)
+        # one exchange of (customer, day) for the heavy customers; one of customers and one of orders by customer
+        assert len(daily) == 1 and len(by_customer) == 2
+        assert "BroadcastExchange" in text and "approx_top_k" in text
+
+
 def test_customer_totals_shuffle_orders_once(spark, tmp_path):
     write_model(fresh(spark), str(tmp_path / "model"))
     m = read_parquet_model(spark, str(tmp_path / "model"))
