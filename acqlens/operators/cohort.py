@@ -6,13 +6,16 @@ Two paths with identical results (asserted in the tests):
   month from the cohort month to the reference month) and M7
   ``mart_customer_month_activity`` (the spine left-joined to monthly orders).
   These are the reference's row-level marts, offered as operators.
-* **Compact path** - everything that only needs counts (M8, Q9, Q18, X3, V9)
-  never expands customers into months. The denominator side is
-  ``count by (channel or cohort, cohort month)`` - a few thousand rows - expanded
-  into its month series; the numerator side is the per-(customer, month) order
-  aggregate joined once to customer attributes and counted. At 100M customers
-  x 18 months the spine would be ~1.8B rows; the compact path shuffles the
-  monthly order aggregate once and everything after it is tiny.
+* **Compact path** - nothing that only reports aggregates expands customers into
+  months. Counts of customers (M8, Q10, Q11, X3, D4, V9, V14) come from an
+  activity histogram: a customer's months with orders are bits, and customers of equal
+  channel, cohort and bits are one row with a count (``activity_histogram``). Months are
+  expanded there, after customers are gone, and a cell's active customers are a sum
+  over set bits. One pass over the customers and one over the orders (and one over
+  the order dates for the reference month) give scope and activity together.
+  Revenue per cohort month (Q9, Q18) is the per-(customer, month) order aggregate
+  joined once to customer attributes. At 100M customers x 18 months the spine would be
+  ~1.8B rows.
 
 Customers are counted distinct: the compact path reduces customer rows to one
 per (customer, channel, cohort month) before it counts, and keeps the number of
@@ -114,6 +117,43 @@ def active_cells(m: Model) -> DataFrame:
     return m.memo("active_cells", build)
 
 
+WORD_MONTHS = 64  # months in one 64-bit word
+
+
+def _month_number(column) -> F.Column:
+    """Months since year 0, so that a month has a fixed word and bit."""
+    return F.year(column) * 12 + F.month(column) - 1
+
+
+def activity_histogram(m: Model) -> DataFrame:
+    """(channel_id, channel_name, cohort_month, reference_month, words, customers).
+
+    ``words`` are the (word, bits) of the months in which a customer ordered, in order;
+    ``customers`` counts the distinct customers with that channel, cohort and activity.
+    """
+    def build():
+        number = _month_number(F.col("order_date"))
+        bits = m.orders.select("customer_id", F.floor(number / WORD_MONTHS).cast("int").alias("word"), (number % WORD_MONTHS).alias("bit")).groupBy(
+            "customer_id", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+        keys = ["channel_id", "channel_name", "cohort_month", "reference_month"]
+        per_customer = _cohort_customers(m).join(bits, "customer_id", "left").groupBy("customer_id", *keys).agg(
+            F.sort_array(F.collect_list(F.when(F.col("bits").isNotNull(), F.struct("word", "bits")))).alias("words"))
+        return per_customer.groupBy(*keys, "words").agg(F.count(F.lit(1)).alias("customers"))
+    return m.shared("activity_histogram", build)
+
+
+def activity_grid(m: Model, keys: list[str]) -> DataFrame:
+    """(keys, months_since_acquisition, customers_in_scope, active_customers) of all months up to the reference month."""
+    cells = activity_histogram(m).select(
+        *keys, "words", "customers", _month_number(F.col("cohort_month")).alias("begin"),
+        F.explode(F.sequence(F.lit(0), months_between_cal("reference_month", "cohort_month"))).alias("months_since_acquisition"),
+    ).withColumn("at", F.col("begin") + F.col("months_since_acquisition"))
+    active = F.expr(f"exists(words, x -> x.word = at div {WORD_MONTHS} and getbit(x.bits, at % {WORD_MONTHS}) = 1)")
+    return cells.groupBy(*keys, "months_since_acquisition").agg(
+        F.sum("customers").alias("customers_in_scope"),
+        F.sum(F.when(active, F.col("customers")).otherwise(F.lit(0))).alias("active_customers"))
+
+
 def _cohort_grid(m: Model, keys: list[str]) -> DataFrame:
     """Customers per (keys, cohort_month) expanded into (keys, months_since_acquisition).
 
@@ -131,15 +171,8 @@ def _cohort_grid(m: Model, keys: list[str]) -> DataFrame:
 def mart_channel_retention(m: Model) -> DataFrame:
     """M8: per channel and month since acquisition: in-scope, active, retention %."""
     def build():
-        keys = ["channel_id", "channel_name"]
-        scope = _cohort_grid(m, keys).groupBy(*keys, "months_since_acquisition").agg(
-            F.sum("_cohort_customers").alias("customers_in_scope"))
-        active = active_cells(m).groupBy(*keys, "months_since_acquisition").agg(
-            F.count(F.lit(1)).alias("active_customers"))
-        return scope.join(active, [*keys, "months_since_acquisition"], "left").select(
-            *keys, "months_since_acquisition", "customers_in_scope",
-            F.coalesce("active_customers", F.lit(0)).alias("active_customers"),
-        ).withColumn("retention_rate_pct", pct2("active_customers", "customers_in_scope"))
+        return activity_grid(m, ["channel_id", "channel_name"]).withColumn(
+            "retention_rate_pct", pct2("active_customers", "customers_in_scope"))
     return m.shared("mart_channel_retention", build)
 
 
@@ -213,7 +246,7 @@ def cohort_ltv_checkpoints(m: Model, sort: bool = False) -> DataFrame:
 
 def pbi_cohort_retention(m: Model) -> DataFrame:
     """Cohort x month retention grid for the heatmap."""
-    return cohort_monthly(m).join(cohort_sizes(m), "cohort_month").select(
+    return activity_grid(m, ["cohort_month"]).join(cohort_sizes(m), "cohort_month").select(
         "cohort_month", "months_since_acquisition", "cohort_size", "active_customers",
         pct2("active_customers", "cohort_size").alias("retention_rate_pct"),
     )

@@ -64,6 +64,19 @@ def test_check_suites_read_no_table_more_than_twice(spark, tmp_path):
     assert max(scans(_without_aqe(spark, lambda: quality.constraint_checks(m))).values()) <= 2
 
 
+def test_retention_reads_customers_and_orders_once(spark, tmp_path):
+    write_model(fresh(spark), str(tmp_path / "model"))
+    m = read_parquet_model(spark, str(tmp_path / "model"))
+    m.persist = False
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    for build in (cohort.mart_channel_retention, cohort.channel_retention_grid, quality.month0_retention_info):
+        text = _without_aqe(spark, lambda build=build: build(m))
+        found = scans(text)
+        assert found["customers"] == 1 and found["orders"] == 2  # once for the activity, once for the latest order date
+        dates = [x for x in text.splitlines() if "FileScan" in x and "/orders]" in x and "ReadSchema: struct<order_date:date>" in x]
+        assert len(dates) == 1
+
+
 def test_windowed_revenue_shuffles_ordinary_orders_once(spark, tmp_path):
     import re
 
