@@ -260,6 +260,18 @@ def retention_matrix(m: Model) -> DataFrame:
         F.array_join(F.transform(cells, lambda c: c["retention_rate_pct"].cast("string")), ",").alias("retention_by_month"))
 
 
+MATRIX_MONTHS = 12
+
+
+def retention_matrix_by_year(m: Model) -> DataFrame:
+    """D4 as numbers: one row per cohort month and year since acquisition (``from_month`` 0, 12, ...),
+    with the percentages of its months in columns plus_0 to plus_11 (NULL where the cohort has no such month)."""
+    age = F.col("months_since_acquisition")
+    return pbi_cohort_retention(m).groupBy(
+        "cohort_month", (F.floor(age / MATRIX_MONTHS) * MATRIX_MONTHS).cast("bigint").alias("from_month")).agg(
+        *(F.max(F.when(age % MATRIX_MONTHS == k, F.col("retention_rate_pct"))).alias(f"plus_{k}") for k in range(MATRIX_MONTHS)))
+
+
 def retention_pivot(m: Model) -> DataFrame:
     """The retention matrix laid out for display: one column per month since acquisition.
 

@@ -256,6 +256,10 @@ def campaign_ltv_90d(m: Model) -> DataFrame:
 
 # ------------------------------------------------------------ LTV:CAC
 
+# Flag texts, in rule order.
+LTV_CAC_FLAGS = ["Above 3x heuristic", "Positive but below 3x heuristic", "Below 1x (spend exceeds observed lifetime value)"]
+
+
 def channel_cac(m: Model) -> DataFrame:
     return campaign_join(m, spend=True, funnel=True).groupBy("channel_name").agg(
         _ssum("total_spend").alias("total_spend"),
@@ -274,9 +278,9 @@ def ltv_cac_by_channel(m: Model, sort: bool = False) -> DataFrame:
         _money_ratio(ltv, cac).alias("ltv_cac_lifetime"),
         "avg_ltv_90d",
         _money_ratio("avg_ltv_90d", cac).alias("ltv_cac_90d"),
-        F.when((cac != 0) & (ltv >= cac * 3), F.lit("Above 3x heuristic"))
-         .when((cac != 0) & (ltv >= cac), F.lit("Positive but below 3x heuristic"))
-         .otherwise(F.lit("Below 1x (spend exceeds observed lifetime value)"))
+        F.when((cac != 0) & (ltv >= cac * 3), F.lit(LTV_CAC_FLAGS[0]))
+         .when((cac != 0) & (ltv >= cac), F.lit(LTV_CAC_FLAGS[1]))
+         .otherwise(F.lit(LTV_CAC_FLAGS[2]))
          .alias("heuristic_flag_lifetime"),
     )
     return _order(df, sort, F.col("ltv_cac_lifetime").desc_nulls_last())

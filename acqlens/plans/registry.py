@@ -97,6 +97,7 @@ OPERATORS: dict[str, Callable[[Model], DataFrame]] = {
     "page_channel_scatter": exports.page_channel_scatter,
     "page_campaign_table": exports.page_campaign_table,
     "retention_matrix": cohort.retention_matrix,
+    "retention_matrix_by_year": cohort.retention_matrix_by_year,
     # L1-L8, S7, S8 over the legacy tables derived from the model
     "legacy_ltv_per_user": legacy.ltv_per_user,
     "legacy_top_converting_channel": legacy.top_converting_channel,

@@ -300,6 +300,8 @@ SQL["cohort_retention"] = pick("cell", **CELL, active_customers="active", retent
                                cumulative_revenue=hundredths("c_so_far"), cumulative_ltv_per_customer=each("c_so_far", "size"))
 SQL["cohort_ltv_checkpoints"] = pick("cell", "age IN (0, 1, 3, 6)", **CELL, cumulative_ltv_per_customer=each("c_so_far", "size"))
 SQL["retention_matrix"] = pick("cell", group="cohort", cohort_month=day("cohort"), retention_by_month=f"string_agg(printf('%.2f', {pct('active', 'size')}), ',' ORDER BY age)")
+SQL["retention_matrix_by_year"] = pick("cell", group="cohort, age // 12", cohort_month=day("cohort"), from_month="CAST(age // 12 * 12 AS BIGINT)",
+                                       **{f"plus_{k}": f"max(CASE WHEN age % 12 = {k} THEN {pct('active', 'size')} END)" for k in range(12)})
 SQL["channel_retention_grid"] = pick("kept", **CH, **KEPT)
 SQL["channel_retention_checkpoints"] = pick("kept", "age IN (0, 1, 3, 6)", **CH, **KEPT)
 SQL["customer_revenue_ranked"] = pick("person", **BUYER, **SPAN, acquisition_channel_name="title", lifetime_revenue_to_date=hundredths("c0"),
@@ -382,6 +384,7 @@ def suite(checks: list[tuple[str, str]]) -> str:
 
 LIFE = "sum(c0) FROM person"
 SQL["data_quality_checks"] = suite([
+    # The check names, here and below.
     *((f"PK uniqueness: {label}", repeated(source, key)) for label, source, key in (
         ("channels", "medium", "medium_id"), ("campaigns", "ad", "ad_id"), ("customers", "client", "who"), ("leads", "contact", "contact_id"),
         ("orders", "buy", "buy_id"))),
