@@ -66,6 +66,18 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
 
 
+def _planes(numbers: np.ndarray) -> tuple[int, int, bytes]:
+    """Signed numbers as byte planes (all first bytes, then all second ones), which compress well; and how many of them."""
+    low, high = (int(numbers.min()), int(numbers.max())) if len(numbers) else (0, 0)
+    width = next(w for w in (1, 2, 4, 8) if -(1 << 8 * w - 1) <= low and high < 1 << 8 * w - 1)
+    return width, len(numbers), numbers.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _from_planes(width: int, n: int, data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<i{width}").reshape(-1).astype(np.int64)
+
+
 class Transducer:
     """``texts`` of the labels; arcs first[s]:first[s + 1] of state s with label, count and target. State 0 has no arcs."""
 
@@ -73,18 +85,23 @@ class Transducer:
         self.texts, self.first, self.label, self.count, self.target, self.root = texts, first, label, count, target, root
 
     def to_bytes(self) -> bytes:
-        small = lambda x: x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
-        body = pickle.dumps((self.texts.to_pylist(), small(np.diff(self.first)), small(self.label), small(self.count),
-                             small(self.target), self.root), protocol=5)
+        """States are numbered in the order of their paths, so differences of targets are small numbers."""
+        texts = self.texts.cast(pa.large_binary())
+        _, ends, data = texts.buffers()
+        ends = np.frombuffer(ends, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        text = (data or pa.py_buffer(b""))[int(ends[0]) : int(ends[-1])] if len(texts) else b""
+        columns = [_planes(x) for x in (np.diff(ends), np.diff(self.first), self.label, self.count, np.diff(self.target, prepend=0))]
+        body = pickle.dumps((bytes(text), self.root, columns), protocol=5)
         return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Transducer:
-        body = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-        texts, arcs, label, count, target, root = pickle.loads(body)
-        first = np.concatenate([[0], np.cumsum(arcs.astype(np.int64))])
-        return cls(pa.array(texts, type=pa.large_string()), first, label.astype(np.int64), count.astype(np.int64),
-                   target.astype(np.int64), root)
+        size = int.from_bytes(data[:8], "little")
+        text, root, columns = pickle.loads(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True))
+        size, arcs, label, count, step = (_from_planes(*c) for c in columns)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        texts = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(text))
+        return cls(texts, np.concatenate([[0], np.cumsum(arcs)]), label, count, np.cumsum(step), root)
 
     def paths(self) -> tuple[np.ndarray, np.ndarray]:
         """The paths that were added, and their counts (an arc's count less those of the arcs after it)."""
@@ -131,7 +148,7 @@ class Builder:
 
     def __init__(self, sums: bool = True):
         self.sums = sums
-        self.register: dict[tuple[int, int], int] = {}
+        self.register = [np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)]  # two marks, sorted; state
         self.states, self.arcs = 1, 0
         self.first, self.label, self.count, self.target = [np.array([0])], [], [], []
         self.roots: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -165,35 +182,42 @@ class Builder:
         self.roots.append(below[1:])
 
     def _states(self, low: np.ndarray, size: np.ndarray, label: np.ndarray, count: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """States with arcs low:low + size, each met before or new; equal ones are found by 128 hashed bits."""
+        """States with arcs low:low + size, each met before or new; equal ones are found by two marks of 64 bits.
+
+        Marks only ever share states: if the first marks of different states were equal, an equal state may be kept twice.
+        """
         marks = []
         for seed in (11, 12):
             a, b, c = W.stream(seed, 3)
             arc = W.mix(W.mix(W.mix(label.astype(np.uint64) ^ a) + count.astype(np.uint64) ^ b) + target.astype(np.uint64) ^ c)
             marks.append(W.mix(np.add.reduceat(arc[: low[-1] + size[-1]], low) + size.astype(np.uint64)))
-        order = np.lexsort((marks[1], marks[0]))
+        order = np.argsort(marks[0])
         one, two = marks[0][order], marks[1][order]
         new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
-        heads = order[new]
+        group = np.cumsum(new) - 1
+        heads = np.minimum.reduceat(order, np.flatnonzero(new))  # the first in path order
+        one, two = one[new], two[new]
+        known, second, state = self.register
+        at = np.minimum(np.searchsorted(known, one), max(len(known) - 1, 0))
+        met = (known[at] == one) & (second[at] == two) if len(known) else np.zeros(len(one), dtype=bool)
         found = np.empty(len(heads), dtype=np.int64)
-        fresh = []
-        for i, mark in enumerate(zip(one[new].tolist(), two[new].tolist(), strict=True)):
-            state = self.register.get(mark)
-            if state is None:
-                state = self.register[mark] = self.states
-                self.states += 1
-                fresh.append(heads[i])
-            found[i] = state
-        if fresh:
-            fresh = np.array(fresh)
-            arcs = _ranges(low[fresh], size[fresh])
-            self.first.append(self.arcs + np.cumsum(size[fresh]) - size[fresh])
-            self.label.append(label[arcs])
-            self.count.append(count[arcs])
-            self.target.append(target[arcs])
-            self.arcs += len(arcs)
+        found[met] = state[at[met]]
+        fresh = np.flatnonzero(~met)
+        fresh = fresh[np.argsort(heads[fresh])]
+        found[fresh] = self.states + np.arange(len(fresh))
+        self.states += len(fresh)
+        arcs = _ranges(low[heads[fresh]], size[heads[fresh]])
+        ends = self.arcs + np.cumsum(size[heads[fresh]])
+        self.first.append(ends - size[heads[fresh]])
+        self.label.append(label[arcs])
+        self.count.append(count[arcs])
+        self.target.append(target[arcs])
+        self.arcs += len(arcs)
+        merged = np.concatenate([known, one[~met]])
+        sort = np.argsort(merged, kind="stable")
+        self.register = [merged[sort], np.concatenate([second, two[~met]])[sort], np.concatenate([state, found[~met]])[sort]]
         out = np.empty(len(low), dtype=np.int64)
-        out[order] = found[np.cumsum(new) - 1]
+        out[order] = found[group]
         return out
 
     def finish(self, texts: pa.Array) -> Transducer:

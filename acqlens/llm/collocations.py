@@ -80,12 +80,16 @@ class Places:
         breaks = np.concatenate([[0], np.cumsum(IS_BREAK[buffer], dtype=np.int64)])
         self.piece = breaks[words.start] + self.doc  # grows from piece to piece and from document to document
 
-    def keys(self) -> np.ndarray:
-        """64-bit keys of the distinct words."""
-        sizes = pc.binary_length(self.texts).to_numpy()
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        data = np.frombuffer(self.texts.buffers()[2] or b"", dtype=np.uint8)[: int(ends[-1])]
-        return W.Words(data, ends[:-1], ends[1:], np.array([0, len(sizes)])).keys()
+
+def keys_of(words: pa.Array) -> np.ndarray:
+    """64-bit keys of texts that are not empty."""
+    data, ends = W.text_bytes(words)
+    return W.Words(data, ends[:-1], ends[1:], np.array([0, len(words)])).keys()
+
+
+def _keyed(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(keys_of(batch.column("word")).view(np.int64))], names=["key"])
 
 
 def _languages(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -94,14 +98,14 @@ def _languages(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def counter(batches):
-    """Arrow function: (lang, text) to (lang, word, path, key, n): words counted, and a sample of places with the words after them."""
+    """Arrow function: (lang, text) to (lang, word, path, n): words counted, and a sample of places with the words after them."""
     kept: list[pa.Table] = []
     rows = 0
-    names = ["lang", "word", "path", "key", "n"]
+    names = ["lang", "word", "path", "n"]
 
     def added() -> pa.Table:
-        return pa.concat_tables(kept).group_by(["lang", "word", "path", "key"], use_threads=False).aggregate(
-            [("n", "sum")]).select(["lang", "word", "path", "key", "n_sum"]).rename_columns(names)
+        return pa.concat_tables(kept).group_by(names[:3], use_threads=False).aggregate([("n", "sum")]).select(
+            [*names[:3], "n_sum"]).rename_columns(names)
 
     for whole in batches:
         for batch in W.slices(whole, "text", SLICE):
@@ -112,13 +116,13 @@ def counter(batches):
             pairs, n = np.unique(of_doc[at.doc] * len(at.texts) + at.word, return_counts=True)
             word = pa.array(pairs % len(at.texts))
             kept.append(pa.table([langs.take(pa.array(pairs // len(at.texts))), at.texts.take(word), pa.nulls(len(n), pa.large_string()),
-                                  pa.array(at.keys().view(np.int64)).take(word), pa.array(n.astype(np.int64))], names=names))
+                                  pa.array(n.astype(np.int64))], names=names))
             place = np.arange(int(n.sum()) % SAMPLE, len(at.word), SAMPLE)
             path = [" ".join(at.texts.take(pa.array(at.word[p : p + LONGEST][at.piece[p : p + LONGEST] == at.piece[p]])).to_pylist())
                     for p in place]
             if path:
                 kept.append(pa.table([langs.take(pa.array(of_doc[at.doc[place]])), pa.nulls(len(path), pa.large_string()),
-                                      pa.array(path, type=pa.large_string()), pa.nulls(len(path), pa.int64()),
+                                      pa.array(path, type=pa.large_string()),
                                       pa.array(np.ones(len(path), dtype=np.int64))], names=names))
             rows += len(n)
             if rows > SHARD_PATHS // 2:
@@ -131,13 +135,16 @@ def counter(batches):
         yield from added().to_batches(1 << 16)
 
 
-def _ordered(texts: list[str]) -> tuple[list[str], np.ndarray]:
+def _ordered(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Texts in byte order and the new number of each."""
-    coded = [t.encode() for t in texts]
-    order = sorted(range(len(texts)), key=coded.__getitem__)
+    order = pc.sort_indices(texts.cast(pa.large_binary())).to_numpy()
     place = np.empty(len(texts), dtype=np.int32)
     place[order] = np.arange(len(texts))
-    return [texts[i] for i in order], place
+    return texts.take(pa.array(order)), place
+
+
+def _array(texts) -> pa.Array:
+    return pa.array(texts, type=pa.large_string())
 
 
 def _cut(paths: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -154,11 +161,10 @@ def sharder(bits: np.ndarray, borders: list[tuple[str, ...]]):
         for border in borders:
             for label in border:
                 texts.setdefault(label, len(texts))
-        names, place = _ordered(list(texts))
-        paths, counts = summed(np.where(paths >= 0, place[paths], -1).astype(np.int32), counts)
+        labels, place = _ordered(_array(texts))
+        paths, counts = summed(np.append(place, np.int32(-1))[paths], counts)  # -1 stays -1
         edges = np.array([[*(place[texts[x]] for x in b), *[-1] * (DEPTH - len(b))] for b in borders], dtype=np.int32).reshape(-1, DEPTH)
         cuts = np.concatenate([[0], _cut(paths, edges), [len(paths)]])
-        labels = pa.array(names, type=pa.large_string())
         for cell in np.flatnonzero(np.diff(cuts)):
             made = Builder()
             made.add(paths[cuts[cell] : cuts[cell + 1]], counts[cuts[cell] : cuts[cell + 1]])
@@ -174,7 +180,7 @@ def sharder(bits: np.ndarray, borders: list[tuple[str, ...]]):
                 at = Places(batch.column("text"))
                 if not len(at.word):
                     continue
-                frequent = held(bits, at.keys())
+                frequent = held(bits, keys_of(at.texts))
                 number = np.full(len(frequent), -1, dtype=np.int32)
                 for i, text in zip(np.flatnonzero(frequent), at.texts.filter(pa.array(frequent)).to_pylist(), strict=True):
                     number[i] = texts.setdefault(text, len(texts))
@@ -212,23 +218,26 @@ def uniter(least: int, borders: list[tuple[str, ...]]):
 
     def unite(table: pa.Table) -> pa.Table:
         cell = table.column("cell")[0].as_py()
-        texts: dict[str, int] = {}
-        paths, counts, rows = [], [], 0
-        for data in table.column("shard"):
-            one = Transducer.from_bytes(data.as_py())
-            number = np.array([texts.setdefault(x, len(texts)) for x in one.texts.to_pylist()], dtype=np.int32)
+        shards = [Transducer.from_bytes(data.as_py()) for data in table.column("shard")]
+        every = pa.concat_arrays([s.texts for s in shards]).dictionary_encode()
+        labels, place = _ordered(every.dictionary)
+        number = place[every.indices.to_numpy()]
+        paths, counts, rows, at = [], [], 0, 0
+        for one in shards:
             path, count = one.paths()
-            paths.append(np.where(path >= 0, number[path], -1).astype(np.int32))
+            paths.append(np.append(number[at : at + len(one.texts)], np.int32(-1))[path])
             counts.append(count)
+            at += len(one.texts)
             rows += len(count)
             if rows > SHARD_PATHS:  # holds the distinct paths of the cell, not all copies
                 got = summed(np.concatenate(paths), np.concatenate(counts))
                 paths, counts, rows = [got[0]], [got[1]], len(got[0]) // 2
-        names, place = _ordered(list(texts))
-        union = np.concatenate(paths)
-        union, count = summed(np.where(union >= 0, place[union], -1).astype(np.int32), np.concatenate(counts))
-        labels, total = pa.array(names, type=pa.large_string()), np.concatenate([[0], np.cumsum(count)])
-        edges = [[place[texts[x]] if x in texts else -2 for x in b] for b in borders[max(cell - 1, 0) : cell + 1]]
+        union, count = summed(np.concatenate(paths), np.concatenate(counts))
+        total = np.concatenate([[0], np.cumsum(count)])
+        near = borders[max(cell - 1, 0) : cell + 1]
+        of = pc.index_in(_array([x for b in near for x in b]), labels).to_pylist() if near else []
+        texts = {x: -2 if i is None else i for x, i in zip((x for b in near for x in b), of, strict=True)}
+        edges = [[texts[x] for x in b] for b in near]
         out = []
         for depth, (start, stop) in enumerate(prefixes(union)):
             if depth < 2:  # words are counted already
@@ -260,14 +269,13 @@ def composed(candidates: pa.Table, parts: pa.Table) -> pa.Table:
             for j, label in enumerate([lang, *phrase.split(" ")]):
                 path[i, j] = texts.setdefault(label, len(texts))
         paths.append(path)
-    names, place = _ordered(list(texts))
-    paths = [np.where(p >= 0, place[p], -1).astype(np.int32) for p in paths]
+    labels, place = _ordered(_array(texts))
+    paths = [np.append(place, np.int32(-1))[p] for p in paths]
     made = Builder(sums=False)
     made.add(*summed(paths[0], parts.column(3).to_numpy()))
-    counts = made.finish(pa.array(names, type=pa.large_string()))
+    counts = made.finish(labels)
     # The transducer numbers the labels of the parts anew; other labels are on none of its arcs.
-    of = {text: i for i, text in enumerate(counts.texts.to_pylist())}
-    number = np.array([*(of.get(x, -1) for x in names), -1], dtype=np.int64)
+    number = np.append(pc.fill_null(pc.index_in(labels, counts.texts), -1).to_numpy(), -1).astype(np.int64)
     wanted = number[paths[1]]
     size = (paths[1][:, 1:] >= 0).sum(axis=1)
     lefts = counts.walk(wanted)[:, 1:]
@@ -303,13 +311,13 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
     lefts and rights are the counts of the phrase's first k words and of the rest, for every k.
     """
     source = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    counted = settle(source.mapInArrow(counter, "lang string, word string, path string, key bigint, n bigint")
-                     .groupBy("lang", "word", "path").agg(F.sum("n").alias("n"), F.first("key").alias("key")))
+    counted = settle(source.mapInArrow(counter, "lang string, word string, path string, n bigint")
+                     .groupBy("lang", "word", "path").agg(F.sum("n").alias("n")))
     words = counted.where("word is not null")
     totals = settle(words.groupBy("lang").agg(F.sum("n").alias("total")))
     frequent = words.where(F.col("n") >= least)
     borders = _borders(counted.where("path is not null"), totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first().n)
-    bits = bitmap(frequent, "key", filter_bits(frequent.count()))
+    bits = bitmap(frequent.select("word").mapInArrow(_keyed, "key bigint"), "key", filter_bits(frequent.count()))
     united = (source.mapInArrow(sharder(bits, borders), "cell int, shard binary")
               .groupBy("cell").applyInArrow(uniter(least, borders), "lang string, phrase string, words int, n bigint, cell int, cut boolean"))
     united = settle(united)
