@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from acqlens.llm import words as W
 from acqlens.llm.automata import DEPTH, Builder, Transducer, packed, prefixes, summed
-from acqlens.llm.storage import bitmap, filter_bits, held, settle
+from acqlens.llm.storage import bitmap, few, filter_bits, held, settle
 
 LONGEST = DEPTH - 1  # words of a phrase
 LEAST = 100
@@ -314,7 +314,7 @@ def phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", lea
     counted = settle(source.mapInArrow(counter, "lang string, word string, path string, n bigint")
                      .groupBy("lang", "word", "path").agg(F.sum("n").alias("n")))
     words = counted.where("word is not null")
-    totals = settle(words.groupBy("lang").agg(F.sum("n").alias("total")))
+    totals = few(words.groupBy("lang").agg(F.sum("n").alias("total")))  # few languages are broadcast: candidates are not dealt by language
     frequent = words.where(F.col("n") >= least)
     borders = _borders(counted.where("path is not null"), totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first().n)
     bits = bitmap(frequent.select("word").mapInArrow(_keyed, "key bigint"), "key", filter_bits(frequent.count()))
