@@ -22,7 +22,6 @@ def check_packing(df, window=2048):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     rows = packing.pack(df, BPE, window=window).collect()
     docs, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
