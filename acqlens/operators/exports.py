@@ -6,14 +6,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import SUM_MONEY, avg_round, month_start, rounded_ratio
+from ..functions.exprs import SUM_MONEY, avg_round, month_start, pct2, rounded_ratio
+from ..plans.broadcast import one_row
 from ..sources.files import write_exports
 from ..sources.model import Model
 from .cohort import mart_channel_retention, pbi_cohort_retention
-from .marts import (mart_campaign_funnel, mart_campaign_revenue, mart_campaign_spend,
-                    mart_customer_revenue, mart_reference_date)
-from .metrics import (channel_ltv, channel_ltv_90d, channel_metrics, overall_avg_cac,
-                      profitability_by_campaign, retention_at)
+from .lattice import account_totals, channel_ledger
+from .marts import reference_row
+from .metrics import RECOMMENDATIONS, first_label, profitability_by_campaign
 from .rfm import pbi_rfm_segments
 
 
@@ -34,53 +34,42 @@ def pbi_campaign_performance(m: Model) -> DataFrame:
 
 
 def pbi_channel_performance(m: Model) -> DataFrame:
-    """One row per channel; its recommendation compares unrounded values."""
-    def build():
-        df = channel_metrics(m).join(channel_ltv(m).drop("customers"), "channel_name") \
-            .join(channel_ltv_90d(m), "channel_name", "left") \
-            .join(retention_at(m, 1, "retention_month_1_pct"), "channel_name", "left") \
-            .join(retention_at(m, 3, "retention_month_3_pct"), "channel_name", "left") \
-            .crossJoin(overall_avg_cac(m))
-        ltv, cac = F.col("avg_ltv_lifetime"), F.col("cac")
-        contrib = F.col("marketing_contribution") > 0
-        ok = cac != 0
-        rec = (F.when(contrib & ok & (ltv >= cac * 3) & (cac <= F.col("avg_cac")), "Scale candidate")
-               .when(contrib & ok & (ltv * 2 >= cac * 3), "Maintain / monitor")
-               .when(contrib & ok & (ltv >= cac), "Review")
-               .otherwise("Reduce / investigate"))
-        return df.select(
-            "channel_name", "total_spend", "leads", "conversions", "conversion_rate_pct",
-            "customers_acquired", "cac", "revenue_in_window", "revenue_lifetime", "roas_in_window",
-            "roas_lifetime", "avg_ltv_lifetime", "avg_ltv_90d",
-            rounded_ratio(ltv, cac, 2, 2, 2).alias("ltv_cac_lifetime"),
-            rounded_ratio("avg_ltv_90d", cac, 2, 2, 2).alias("ltv_cac_90d"),
-            "marketing_contribution", "retention_month_1_pct", "retention_month_3_pct",
-            rec.alias("recommendation"),
-        )
-    return m.memo("pbi_channel_performance", build)
+    """One row per channel of the ledger; its recommendation compares unrounded values."""
+    ltv, cac, spend, revenue = F.col("avg_ltv_lifetime"), F.col("cac"), F.col("total_spend"), F.col("revenue_lifetime_to_date")
+    account_cac = rounded_ratio("account_spend", "account_customers", 2, 2, 0)
+    pays = (revenue > spend) & (cac != 0)
+    ratio = lambda a, b: rounded_ratio(a, b, 2, 2, 2)
+    return channel_ledger(m).withColumn("cac", rounded_ratio(spend, "acquired_customer_count", 2, 2, 0)).select(
+        "channel_name", "total_spend",
+        F.col("lead_count").alias("leads"),
+        F.col("converted_lead_count").alias("conversions"),
+        pct2("converted_lead_count", "lead_count").alias("conversion_rate_pct"),
+        F.col("acquired_customer_count").alias("customers_acquired"),
+        "cac",
+        F.col("revenue_in_campaign_window").alias("revenue_in_window"),
+        revenue.alias("revenue_lifetime"),
+        ratio("revenue_in_campaign_window", spend).alias("roas_in_window"),
+        ratio(revenue, spend).alias("roas_lifetime"),
+        "avg_ltv_lifetime", "avg_ltv_90d",
+        ratio(ltv, cac).alias("ltv_cac_lifetime"),
+        ratio("avg_ltv_90d", cac).alias("ltv_cac_90d"),
+        (revenue - spend).cast(SUM_MONEY).alias("marketing_contribution"),
+        "retention_month_1_pct", "retention_month_3_pct",
+        first_label([label for label, _ in RECOMMENDATIONS],
+                    pays & (ltv >= cac * 3) & (cac <= account_cac), pays & (ltv * 2 >= cac * 3), pays & (ltv >= cac)).alias("recommendation"),
+    )
 
 
 def pbi_executive_summary(m: Model) -> DataFrame:
-    """One row of account-wide KPIs; each input is a one-row aggregate."""
-    spend = mart_campaign_spend(m).agg(F.sum("total_spend").cast(SUM_MONEY).alias("total_spend"))
-    revenue = mart_campaign_revenue(m).agg(
-        F.sum("revenue_lifetime_to_date").cast(SUM_MONEY).alias("total_revenue"))
-    acquired = mart_campaign_funnel(m).agg(F.sum("acquired_customer_count").alias("_acquired"))
-    ltv = mart_customer_revenue(m).agg(
-        F.sum("lifetime_revenue_to_date").cast(SUM_MONEY).alias("_ltv_sum"),
-        F.count("lifetime_revenue_to_date").alias("_ltv_n"))
+    """One row of account-wide KPIs over the campaign facts; each input is a one-row aggregate."""
     customers = m.customers.agg(F.count(F.lit(1)).alias("total_customers"))
-    ref = mart_reference_date(m).select(F.col("reference_date").alias("data_as_of"))
-    row = spend
-    for other in (revenue, acquired, ltv, customers, ref):
-        row = row.crossJoin(F.broadcast(other))
-    return row.select(
+    return account_totals(m).crossJoin(one_row(customers)).crossJoin(reference_row(m)).select(
         "total_spend", "total_revenue",
         rounded_ratio("total_revenue", "total_spend", 2, 2, 2).alias("roas_lifetime"),
-        rounded_ratio("total_spend", "_acquired", 2, 2, 0).alias("blended_cac"),
-        avg_round("_ltv_sum", "_ltv_n").alias("avg_ltv_lifetime"),
+        rounded_ratio("total_spend", "acquired_customers", 2, 2, 0).alias("blended_cac"),
+        avg_round("ltv_sum", "ltv_customers").alias("avg_ltv_lifetime"),
         (F.col("total_revenue") - F.col("total_spend")).cast(SUM_MONEY).alias("marketing_contribution"),
-        "total_customers", "data_as_of",
+        "total_customers", F.col("reference_date").alias("data_as_of"),
     )
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import SUM_MONEY, money_sum, month_start
+from ..functions.exprs import SUM_MONEY, money_sum, month_start, months_between_cal
 from ..plans.broadcast import few_rows, one_row
 from ..sources.model import Model
 
@@ -80,6 +80,8 @@ def _campaign_channel_dim(m: Model) -> DataFrame:
     return m.memo("campaign_channel_dim", build)
 
 
+CHECKPOINT_MONTHS = (1, 3)  # months since acquisition that the channel exports report
+
 CUSTOMER_KEYS = ["customer_id", "first_campaign_id", "channel_id", "channel_name",
                  "signup_date", "region", "start_date", "end_date"]
 
@@ -131,7 +133,7 @@ def customer_facts(m: Model) -> DataFrame:
     row); the unprefixed measures are multiplied by ``copies``, as a join of
     every copy to the orders followed by a GROUP BY yields. The customer side is
     partitioned by ``customer_id`` once, which both the copy count and the join
-    reuse.
+    reuse. ``active_month_k``: an order in the k-th calendar month after the signup.
     """
     def build():
         joined = _customer_rows(m).join(orders_for_join(m), "customer_id", "left")
@@ -145,6 +147,7 @@ def customer_facts(m: Model) -> DataFrame:
             F.sum(F.when(in_90d, F.col("amount"))).cast(SUM_MONEY).alias("copy_revenue_90d"),
             F.min("order_date").alias("first_order_date"),
             F.max("order_date").alias("last_order_date"),
+            *(F.bool_or(months_between_cal("order_date", "signup_date") == k).alias(f"active_month_{k}") for k in CHECKPOINT_MONTHS),
         )
         k = F.col("copies")
         return per_copy.select(

@@ -1,9 +1,10 @@
 """Metric operators Q1-Q8, Q13-Q17, Q19-Q24, Q28-Q29 and Q4.
 
-Campaign-grain inputs (M1-M3, stg_campaigns) are bounded by the campaign
-dimension, so their joins and windows are cheap; customer-grain inputs are
-reduced to channel/campaign grain by a partial + final aggregate before any
-join. Every operator returns an unsorted DataFrame; pass ``sort=True`` for the
+Channel and account tables are sums over the roll-up lattice (``lattice``): one
+grouping of spend, leads and customers by campaign, summed upwards. Campaign tables join
+campaign-grain inputs (M1-M3, stg_campaigns), which the campaign dimension bounds;
+customer-grain inputs are reduced to campaign grain by a partial + final aggregate
+before any join. Every operator returns an unsorted DataFrame; pass ``sort=True`` for the
 reference's presentation order (explicit null placement everywhere).
 
 Ratios use the exact helpers of ``acqlens.functions.exprs``. Channel ratios
@@ -12,11 +13,14 @@ divide sums (never average campaign ratios); averages are sum / count.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import SUM_MONEY, avg_round, pct2, rounded_ratio
 from ..sources.model import Model
+from .lattice import FUNNEL, REVENUE, SPEND, WINDOWS, campaign_facts, channel_ledger, channel_sums
 from .marts import (mart_campaign_funnel, mart_campaign_revenue, mart_campaign_spend,
                     mart_customer_revenue, reference_row, stg_customer_facts)
 from .staging import stg_campaigns
@@ -31,8 +35,16 @@ def _per_customer(num, den):
     return rounded_ratio(num, den, 2, 2, 0)
 
 
-def _ssum(c):
-    return F.sum(c).cast(SUM_MONEY)
+def _cac() -> F.Column:
+    return _per_customer("total_spend", "acquired_customer_count").alias("cac")
+
+
+def _roas_lifetime() -> F.Column:
+    return _money_ratio("revenue_lifetime_to_date", "total_spend").alias("roas_lifetime")
+
+
+def _contribution() -> F.Column:
+    return (F.col("revenue_lifetime_to_date") - F.col("total_spend")).cast(SUM_MONEY).alias("marketing_contribution")
 
 
 def _unrounded_cac_ratio(ltv, spend, customers):
@@ -72,17 +84,15 @@ def funnel_by_campaign(m: Model, sort: bool = False) -> DataFrame:
 
 def funnel_by_channel(m: Model, sort: bool = False) -> DataFrame:
     """Q2: funnel counts summed per channel, rate of the sums."""
-    df = campaign_join(m, funnel=True).groupBy("channel_name").agg(
-        F.sum("lead_count").alias("lead_count"),
-        F.sum("converted_lead_count").alias("converted_lead_count"),
-        F.sum("acquired_customer_count").alias("acquired_customer_count"),
-    ).withColumn("conversion_rate_pct", pct2("converted_lead_count", "lead_count"))
+    df = channel_sums(m, FUNNEL).select(
+        "channel_name", "lead_count", "converted_lead_count", "acquired_customer_count",
+        pct2("converted_lead_count", "lead_count").alias("conversion_rate_pct"))
     return _order(df, sort, F.col("conversion_rate_pct").desc_nulls_first())
 
 
 def funnel_totals(m: Model) -> DataFrame:
     """Q3: account-wide funnel totals (one row)."""
-    return mart_campaign_funnel(m).agg(
+    return campaign_facts(m, (FUNNEL,)).agg(
         F.sum("lead_count").alias("total_leads"),
         F.sum("converted_lead_count").alias("total_conversions"),
         F.sum("acquired_customer_count").alias("total_customers_acquired"),
@@ -106,10 +116,7 @@ def cac_by_campaign(m: Model, sort: bool = False) -> DataFrame:
 
 def cac_by_channel(m: Model, sort: bool = False) -> DataFrame:
     """Q6: channel CAC from summed spend and customers."""
-    df = campaign_join(m, spend=True, funnel=True).groupBy("channel_name").agg(
-        _ssum("total_spend").alias("total_spend"),
-        F.sum("acquired_customer_count").alias("acquired_customer_count"),
-    ).withColumn("cac", _per_customer("total_spend", "acquired_customer_count"))
+    df = channel_sums(m, SPEND, FUNNEL).select("channel_name", "total_spend", "acquired_customer_count", _cac())
     return _order(df, sort, F.col("cac").asc_nulls_last())
 
 
@@ -128,26 +135,12 @@ def performance_by_campaign(m: Model, sort: bool = False) -> DataFrame:
     return _order(df, sort, F.col("channel_name").asc_nulls_last(), F.col("roas_lifetime").desc_nulls_last())
 
 
-def _channel_rollup(m: Model, funnel: bool, revenue: bool) -> DataFrame:
-    aggs = [_ssum("total_spend").alias("total_spend")]
-    if funnel:
-        aggs += [F.sum("lead_count").alias("lead_count"),
-                 F.sum("converted_lead_count").alias("converted_lead_count"),
-                 F.sum("acquired_customer_count").alias("acquired_customer_count")]
-    if revenue:
-        aggs += [_ssum("revenue_in_campaign_window").alias("revenue_in_campaign_window"),
-                 _ssum("revenue_lifetime_to_date").alias("revenue_lifetime_to_date")]
-    return campaign_join(m, spend=True, funnel=funnel, revenue=revenue).groupBy("channel_name").agg(*aggs)
-
-
 def performance_by_channel(m: Model, sort: bool = False) -> DataFrame:
     """Q8: Q7 rolled up to channel."""
-    df = _channel_rollup(m, True, True).select(
+    df = channel_sums(m, SPEND, FUNNEL, REVENUE).select(
         "channel_name", "total_spend", "lead_count", "converted_lead_count", "acquired_customer_count",
         pct2("converted_lead_count", "lead_count").alias("conversion_rate_pct"),
-        "revenue_lifetime_to_date",
-        _per_customer("total_spend", "acquired_customer_count").alias("cac"),
-        _money_ratio("revenue_lifetime_to_date", "total_spend").alias("roas_lifetime"),
+        "revenue_lifetime_to_date", _cac(), _roas_lifetime(),
     )
     return _order(df, sort, F.col("roas_lifetime").desc_nulls_last())
 
@@ -159,9 +152,9 @@ def customer_stats(m: Model, level: str) -> DataFrame:
     customer statistics in ONE aggregate over the customer facts: customers,
     order and lifetime-revenue sums, and the 90-day window counts and sums.
 
-    Every LTV figure (Q4, Q13, Q15-Q17, Q19, Q20, Q23, Q24, X1, X2) is read
-    from this one node, so a query that needs several of them aggregates the
-    customer grain once.
+    The LTV figures of Q13, Q15-Q17, Q20, Q23 and X1 are read from this one node, so a
+    query that needs several of them aggregates the customer grain once. Channel tables
+    that need spend or leads too (Q4, Q19, Q24, X2) use the roll-up lattice.
     """
     key = "channel_name" if level == "channel" else "first_campaign_id"
 
@@ -205,7 +198,7 @@ def ltv_by_customer(m: Model, sort: bool = False) -> DataFrame:
 
 
 def channel_ltv(m: Model) -> DataFrame:
-    """Rounded mean lifetime LTV per channel."""
+    """Rounded mean lifetime LTV per channel (Q15)."""
     return customer_stats(m, "channel").select("channel_name", "customers", "avg_ltv_lifetime")
 
 
@@ -246,10 +239,6 @@ def ltv_90d_by_channel(m: Model, sort: bool = False) -> DataFrame:
     return _order(df, sort, F.col("avg_ltv_90d").desc_nulls_last())
 
 
-def channel_ltv_90d(m: Model) -> DataFrame:
-    return customer_stats(m, "channel").select("channel_name", "avg_ltv_90d")
-
-
 def campaign_ltv_90d(m: Model) -> DataFrame:
     return customer_stats(m, "campaign").select("first_campaign_id", "avg_ltv_90d")
 
@@ -260,21 +249,16 @@ def campaign_ltv_90d(m: Model) -> DataFrame:
 LTV_CAC_FLAGS = ["Above 3x heuristic", "Positive but below 3x heuristic", "Below 1x (spend exceeds observed lifetime value)"]
 
 
-def channel_cac(m: Model) -> DataFrame:
-    return campaign_join(m, spend=True, funnel=True).groupBy("channel_name").agg(
-        _ssum("total_spend").alias("total_spend"),
-        F.sum("acquired_customer_count").alias("customers_acquired"),
-    ).withColumn("cac", _per_customer("total_spend", "customers_acquired"))
-
-
 def ltv_cac_by_channel(m: Model, sort: bool = False) -> DataFrame:
     """Q19: LTV:CAC per channel on rounded CAC, with the 3x / 1x heuristic flag."""
     ltv = F.col("avg_ltv_lifetime")
     cac = F.col("cac")
-    df = channel_cac(m).join(channel_ltv(m).drop("customers"), "channel_name").join(
-        channel_ltv_90d(m), "channel_name"
+    df = channel_sums(m, SPEND, FUNNEL, WINDOWS).where("customer_rows > 0").select(
+        "channel_name", "total_spend", "acquired_customer_count", _cac(),
+        avg_round("ltv_sum", "customer_rows").alias("avg_ltv_lifetime"),
+        avg_round("ltv_90d_sum", "windows_complete").alias("avg_ltv_90d"),
     ).select(
-        "channel_name", "total_spend", "customers_acquired", "cac", "avg_ltv_lifetime",
+        "channel_name", "total_spend", F.col("acquired_customer_count").alias("customers_acquired"), "cac", "avg_ltv_lifetime",
         _money_ratio(ltv, cac).alias("ltv_cac_lifetime"),
         "avg_ltv_90d",
         _money_ratio("avg_ltv_90d", cac).alias("ltv_cac_90d"),
@@ -319,10 +303,7 @@ def contribution_by_campaign(m: Model, sort: bool = False) -> DataFrame:
 
 def contribution_by_channel(m: Model, sort: bool = False) -> DataFrame:
     """Q22: summed revenue minus summed spend per channel."""
-    df = _channel_rollup(m, False, True).select(
-        "channel_name", "total_spend", "revenue_lifetime_to_date",
-        (F.col("revenue_lifetime_to_date") - F.col("total_spend")).cast(SUM_MONEY).alias("marketing_contribution"),
-    )
+    df = channel_sums(m, SPEND, REVENUE).select("channel_name", "total_spend", "revenue_lifetime_to_date", _contribution())
     return _order(df, sort, F.col("marketing_contribution").desc_nulls_first())
 
 
@@ -339,10 +320,9 @@ def roas_by_campaign(m: Model, sort: bool = False) -> DataFrame:
 
 def roas_by_channel(m: Model, sort: bool = False) -> DataFrame:
     """Q29: channel ROAS from summed revenue and spend."""
-    df = _channel_rollup(m, False, True).select(
+    df = channel_sums(m, SPEND, REVENUE).select(
         "channel_name", "total_spend", "revenue_in_campaign_window", "revenue_lifetime_to_date",
-        _money_ratio("revenue_in_campaign_window", "total_spend").alias("roas_in_window"),
-        _money_ratio("revenue_lifetime_to_date", "total_spend").alias("roas_lifetime"),
+        _money_ratio("revenue_in_campaign_window", "total_spend").alias("roas_in_window"), _roas_lifetime(),
     )
     return _order(df, sort, F.col("roas_lifetime").desc_nulls_last())
 
@@ -370,17 +350,14 @@ def profitability_by_campaign(m: Model, sort: bool = False) -> DataFrame:
 
 
 def profitability_by_channel(m: Model, sort: bool = False) -> DataFrame:
-    """Q24: Q23 rolled up to channel, joined to the channel's mean LTV."""
-    df = _channel_rollup(m, True, True).join(channel_ltv(m).drop("customers"), "channel_name").select(
+    """Q24: Q23 rolled up to channel, with the channel's mean LTV."""
+    df = channel_sums(m, SPEND, FUNNEL, REVENUE).withColumn("avg_ltv_lifetime", avg_round("ltv_sum", "customer_rows")).select(
         "channel_name", "total_spend", "lead_count", "converted_lead_count", "acquired_customer_count",
         pct2("converted_lead_count", "lead_count").alias("conversion_rate_pct"),
-        _per_customer("total_spend", "acquired_customer_count").alias("cac"),
-        "revenue_lifetime_to_date",
-        _money_ratio("revenue_lifetime_to_date", "total_spend").alias("roas_lifetime"),
-        "avg_ltv_lifetime",
+        _cac(), "revenue_lifetime_to_date", _roas_lifetime(), "avg_ltv_lifetime",
         _unrounded_cac_ratio(F.col("avg_ltv_lifetime"), F.col("total_spend"),
                              F.col("acquired_customer_count")).alias("ltv_cac_lifetime"),
-        (F.col("revenue_lifetime_to_date") - F.col("total_spend")).cast(SUM_MONEY).alias("marketing_contribution"),
+        _contribution(),
     )
     return _order(df, sort, F.col("marketing_contribution").desc_nulls_first())
 
@@ -400,69 +377,26 @@ RECOMMENDATIONS = [
 ]
 
 
-def channel_metrics(m: Model) -> DataFrame:
-    """Channel roll-up of spend, funnel and revenue with CAC, ROAS and contribution."""
-    def build():
-        return _channel_rollup(m, True, True).select(
-            "channel_name", "total_spend",
-            F.col("lead_count").alias("leads"),
-            F.col("converted_lead_count").alias("conversions"),
-            pct2("converted_lead_count", "lead_count").alias("conversion_rate_pct"),
-            F.col("acquired_customer_count").alias("customers_acquired"),
-            _per_customer("total_spend", "acquired_customer_count").alias("cac"),
-            F.col("revenue_in_campaign_window").alias("revenue_in_window"),
-            F.col("revenue_lifetime_to_date").alias("revenue_lifetime"),
-            _money_ratio("revenue_in_campaign_window", "total_spend").alias("roas_in_window"),
-            _money_ratio("revenue_lifetime_to_date", "total_spend").alias("roas_lifetime"),
-            (F.col("revenue_lifetime_to_date") - F.col("total_spend")).cast(SUM_MONEY)
-            .alias("marketing_contribution"),
-        )
-    return m.shared("channel_metrics", build)
-
-
-def overall_avg_cac(m: Model) -> DataFrame:
-    """Spend-weighted CAC over the channel metrics; one row, safe to broadcast."""
-    return F.broadcast(channel_metrics(m).agg(
-        _ssum("total_spend").alias("_s"), F.sum("customers_acquired").alias("_c"),
-    ).select(_per_customer("_s", "_c").alias("avg_cac")))
-
-
-def retention_at(m: Model, month: int, name: str) -> DataFrame:
-    from .cohort import mart_channel_retention
-
-    return mart_channel_retention(m).where(F.col("months_since_acquisition") == month).select(
-        "channel_name", F.col("retention_rate_pct").alias(name))
-
-
-def _label(rule_columns: list) -> F.Column:
-    expr = None
-    for cond, value in rule_columns:
-        expr = F.when(cond, F.lit(value)) if expr is None else expr.when(cond, F.lit(value))
-    return expr
+def first_label(labels: list[str], *conditions: F.Column) -> F.Column:
+    """The label of the first condition that holds; the last label where none does (or all are NULL)."""
+    return reduce(lambda rest, rule: F.when(rule[0], F.lit(rule[1])).otherwise(rest),
+                  reversed(list(zip(conditions, labels))), F.lit(labels[-1]))
 
 
 def budget_allocation(m: Model, sort: bool = False) -> DataFrame:
-    """Q4: recommendation from rounded LTV:CAC and rounded CAC-vs-average."""
-    combined = channel_metrics(m).join(channel_ltv(m).drop("customers"), "channel_name") \
-        .join(retention_at(m, 3, "retention_month_3_pct"), "channel_name", "left") \
-        .crossJoin(overall_avg_cac(m)) \
-        .select(
-            "channel_name", "total_spend", "customers_acquired", "cac",
-            _money_ratio("cac", "avg_cac").alias("cac_vs_avg_ratio"),
-            "roas_lifetime",
-            _money_ratio("avg_ltv_lifetime", "cac").alias("ltv_cac_lifetime"),
-            "marketing_contribution", "retention_month_3_pct",
-        )
-    contrib = F.col("marketing_contribution") > 0
-    ltv_cac = F.col("ltv_cac_lifetime")
-    conds = [
-        contrib & (ltv_cac >= 3) & (F.col("cac_vs_avg_ratio") <= 1),
-        contrib & (ltv_cac >= 1.5),
-        contrib & (ltv_cac >= 1),
-    ]
-    rec = _label([(c, RECOMMENDATIONS[i][0]) for i, c in enumerate(conds)]).otherwise(RECOMMENDATIONS[3][0])
-    why = _label([(c, RECOMMENDATIONS[i][1]) for i, c in enumerate(conds)]).otherwise(RECOMMENDATIONS[3][1])
-    df = combined.select("*", rec.alias("recommendation"), why.alias("rationale"))
+    """Q4: recommendation from rounded LTV:CAC and rounded CAC-vs-average (T6), from the channel ledger."""
+    account_cac = _per_customer("account_spend", "account_customers")
+    rated = channel_ledger(m).select("*", _cac(), _roas_lifetime(), _contribution()).withColumns({
+        "cac_vs_avg_ratio": _money_ratio("cac", account_cac),
+        "ltv_cac_lifetime": _money_ratio("avg_ltv_lifetime", "cac"),
+    })
+    pays, multiple = F.col("marketing_contribution") > 0, F.col("ltv_cac_lifetime")
+    rules = [pays & (multiple >= 3) & (F.col("cac_vs_avg_ratio") <= 1), pays & (multiple >= 1.5), pays & (multiple >= 1)]
+    df = rated.select(
+        "channel_name", "total_spend", F.col("acquired_customer_count").alias("customers_acquired"), "cac", "cac_vs_avg_ratio",
+        "roas_lifetime", "ltv_cac_lifetime", "marketing_contribution", "retention_month_3_pct",
+        first_label([label for label, _ in RECOMMENDATIONS], *rules).alias("recommendation"),
+        first_label([reason for _, reason in RECOMMENDATIONS], *rules).alias("rationale"))
     return _order(df, sort, F.col("marketing_contribution").desc_nulls_first())
 
 

@@ -1,6 +1,6 @@
 """Plan shape: the choices that matter at scale are visible in the physical plan."""
 
-from acqlens.operators import cohort, marts, metrics, quality, rfm
+from acqlens.operators import cohort, exports, marts, metrics, quality, rfm
 from acqlens.sources.driver import model_from_driver
 from acqlens.sources.files import read_parquet_model, write_model
 
@@ -93,6 +93,22 @@ def test_windowed_revenue_shuffles_ordinary_orders_once(spark, tmp_path):
         assert "BroadcastExchange" in text and "approx_top_k" in text
 
 
+def test_channel_tables_come_from_one_grouping_by_campaign(spark, tmp_path):
+    write_model(fresh(spark), str(tmp_path / "model"))
+    m = read_parquet_model(spark, str(tmp_path / "model"))
+    m.persist = False
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    for build in (exports.pbi_channel_performance, metrics.budget_allocation):
+        text = _without_aqe(spark, lambda build=build: build(m))
+        found = scans(text)
+        assert found["daily_campaign_spend"] == found["leads"] == found["customers"] == 1
+        # the sketch of heavy customers, their orders by day, the other orders, the latest date
+        assert found["orders"] == 4
+        assert text.count("Exchange hashpartitioning") <= 15
+    assert scans(_without_aqe(spark, lambda: metrics.funnel_by_channel(m))) == {"leads": 1, "campaigns": 1, "channels": 1}
+    assert "orders" not in scans(_without_aqe(spark, lambda: metrics.cac_by_channel(m)))
+
+
 def test_customer_totals_shuffle_orders_once(spark, tmp_path):
     write_model(fresh(spark), str(tmp_path / "model"))
     m = read_parquet_model(spark, str(tmp_path / "model"))
