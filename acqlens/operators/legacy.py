@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import SUM_MONEY, rounded_ratio
+from ..plans.session import spread
 from ..sources.model import Model
 from .marts import mart_campaign_funnel, mart_reference_date
 from .staging import stg_campaigns
@@ -131,7 +132,7 @@ def user_revenue_tiers(m: Model) -> DataFrame:
         "_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_rows") - 1) / REPLICA_CHUNK).cast("int"))))
     chunks = chunks.withColumn(
         "_copies", F.least(F.lit(REPLICA_CHUNK), F.col("_rows") - F.col("_chunk") * REPLICA_CHUNK).cast("int"))
-    return chunks.repartition("user_id", "_chunk").select(
+    return spread(chunks, "user_id", "_chunk").select(
         "user_id", "lifetime_value", "churn_probability", "client_loyalty",
         F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_one"),
     ).drop("_one")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import SUM_MONEY, avg_round, pct2, rounded_ratio
+from ..plans.session import spread
 from ..sources.model import Model
 from .marts import reference_row, stg_customer_totals
 from .ranking import SortKey, ntiles
@@ -19,6 +20,7 @@ from .ranking import SortKey, ntiles
 SEGMENTS = ["Champions", "New", "Lapsed", "At Risk", "Loyal", "Needs Attention"]
 
 TILES = 5
+COPY_CHUNK = 100_000  # copies of one customer row that one task lays out at a time
 SCORES = [
     ("recency_score", SortKey("recency_days", ascending=False)),
     ("frequency_score", SortKey("frequency")),
@@ -26,22 +28,28 @@ SCORES = [
 ]
 
 
-def rfm_base(m: Model) -> DataFrame:
+def rfm_base(m: Model, chunk: int = COPY_CHUNK) -> DataFrame:
     """Customers with at least one order: recency, frequency, monetary.
 
     One row per customer row (a duplicated customer row stays duplicated, each
-    copy with the customer's own order measures, as the join it mirrors does).
+    copy with the customer's own order measures, as the join it mirrors does). Copies
+    are numbered in chunks, spread by (customer, chunk) before they are laid out, so that a
+    customer row repeated over a third of the table becomes neither one array nor one task.
     """
-    return m.memo("rfm_base", lambda: stg_customer_totals(m).where(F.col("copy_order_rows") > 0)
-                    .crossJoin(reference_row(m)).select(
-        "customer_id",
-        "channel_id", "channel_name", "signup_date",
-        F.col("copy_order_rows").alias("frequency"),
-        F.col("copy_revenue").alias("monetary"),
-        "last_order_date",
-        F.datediff("reference_date", "last_order_date").alias("recency_days"),
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"),
-    ))
+    def build():
+        chunks = spread(stg_customer_totals(m).where(F.col("copy_order_rows") > 0).crossJoin(reference_row(m)).select(
+            "customer_id",
+            "channel_id", "channel_name", "signup_date",
+            F.col("copy_order_rows").alias("frequency"),
+            F.col("copy_revenue").alias("monetary"),
+            "last_order_date",
+            F.datediff("reference_date", "last_order_date").alias("recency_days"),
+            "copies",
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(copies - 1) div {chunk}"))).alias("_chunk"),
+        ), "customer_id", "_chunk")
+        first = F.col("_chunk") * chunk + 1
+        return chunks.withColumn("_copy", F.explode(F.sequence(first, F.least(F.col("copies"), first + (chunk - 1))))).drop("copies", "_chunk")
+    return m.memo(f"rfm_base {chunk}", build)
 
 
 def segment_rule() -> F.Column:

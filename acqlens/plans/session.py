@@ -85,3 +85,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), "tables", name)
+
+
+def spread(df, *columns):
+    """``df`` dealt by ``columns`` over all shuffle partitions, for rows that grow after the shuffle.
+
+    The count is given, so adaptive execution does not join the partitions by
+    the small size that they have before they grow.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -83,3 +83,16 @@ def test_windowed_revenue_under_skew(skewed):
     brute = joined.groupBy("customer_id").agg(
         money(F.when(F.col("order_date") <= F.date_add("signup_date", 90), F.col("order_amount"))).alias("ltv_90d"))
     assert _same(brute, marts.mart_ltv_90d(skewed).select("customer_id", "ltv_90d"))
+
+
+def test_copies_of_one_customer_are_laid_out_in_chunks(skewed):
+    """A customer row repeated many times: as many rows as a plain join gives, spread over partitions."""
+    copies = skewed.customers.where(F.col("customer_id") == HOT).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(1000)))).drop("n")
+    m = skewed.replace(customers=skewed.customers.union(copies))
+    m.persist = False
+    base = rfm.rfm_base(m, chunk=16)
+    hot = base.where(F.col("customer_id") == HOT)
+    assert hot.count() == hot.select("_copy").distinct().count() == 1001
+    assert hot.agg(F.min("_copy"), F.max("_copy")).first() == (1, 1001)
+    assert hot.groupBy(F.spark_partition_id()).count().count() > 1
+    assert _same(base, rfm.rfm_base(m))
