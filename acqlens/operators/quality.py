@@ -6,11 +6,12 @@ tables - is FAIL). Spark plan shape:
 
 * V1-V8 are expressions over one row of facts, gathered by two groupings: what meets
   on the customer's key, and what meets on the campaign's (``_check_facts``);
+* V9-V13 are expressions over one row too: marts and tables as partial rows, summed
+  once (``_invariant_facts``);
 * elsewhere single-table checks of one table run as **one** aggregate pass over it
   (all counts side by side), then unpivot into rows;
 * other orphan checks pre-aggregate the fact side on the join key first (a hot
-  customer or campaign arrives as one row), then anti join the dimension;
-* other reconciliations are one-row aggregates joined with ``crossJoin``.
+  customer or campaign arrives as one row), then anti join the dimension.
 
 Check names are fixed values: they must equal the reference's.
 """
@@ -26,10 +27,9 @@ from pyspark.sql import types as T
 from ..functions.exprs import SUM_MONEY, pct2, rounded_ratio
 from ..plans.broadcast import one_row
 from ..sources.model import Model
-from .cohort import _cohort_customers, cohort_sizes, mart_channel_retention
+from .cohort import cohort_sizes, mart_channel_retention
 from .marts import (mart_campaign_funnel, mart_campaign_revenue, mart_campaign_spend,
-                    mart_customer_revenue)
-from .rfm import mart_customer_rfm
+                    reference_row, stg_customer_totals)
 from .staging import stg_campaigns
 
 FAILING = T.DecimalType(24, 2)
@@ -72,15 +72,6 @@ def _anti_count(fact: DataFrame, key: str, dim: DataFrame, dim_key: str) -> Data
     return per_key.join(keys, key, "left_anti").agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("_v"))
 
 
-def _reconcile(name: str, left: DataFrame, right: DataFrame, round2: bool = False) -> DataFrame:
-    """|left - right| of two one-row aggregates named ``_l`` and ``_r``."""
-    diff = F.abs(F.col("_l") - F.col("_r"))
-    if round2:
-        diff = F.round(diff, 2)
-    return left.crossJoin(one_row(right)).select(
-        F.lit(name).alias("check_name"), diff.cast(FAILING).alias("failing_rows"))
-
-
 # -------------------------------------------------------------- V1-V8 (25 checks)
 
 def data_quality_checks(m: Model, sort: bool = False) -> DataFrame:
@@ -231,55 +222,83 @@ def _check_facts(m: Model) -> DataFrame:
 # -------------------------------------------------------------- V9-V13 (11 checks)
 
 def analytics_checks(m: Model, sort: bool = False) -> DataFrame:
-    """Cohort, RFM, LTV, LTV:CAC and profitability invariants."""
-    parts = []
-    # spine cohorts are never NULL, so COUNT(DISTINCT cohort) <> 1 is min <> max:
-    # one partial/final aggregate instead of a distinct expansion
-    multi_cohort = _cohort_customers(m).groupBy("customer_id").agg(
-        F.min("cohort_month").alias("_lo"), F.max("cohort_month").alias("_hi")).where(
-        F.col("_lo") != F.col("_hi"))
-    parts.append(_single("Cohort: every customer maps to exactly one cohort_month",
-                         multi_cohort, F.count(F.lit(1))))
-    parts.append(_single("Cohort: retention_rate_pct never exceeds 100", mart_channel_retention(m),
-                         _count_if(F.col("retention_rate_pct") > 100)))
-    parts.append(_reconcile("Cohort: sum of cohort sizes = total customers",
-                            cohort_sizes(m).agg(F.sum("cohort_size").alias("_l")),
-                            m.customers.agg(F.count(F.lit(1)).alias("_r"))))
-    rfm = mart_customer_rfm(m)
-    dup_rfm = rfm.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    parts.append(_single("RFM: every customer appears exactly once", dup_rfm, F.count(F.lit(1))))
-    parts.append(_single("RFM: no null recency/frequency/monetary values", rfm,
-                         _count_if(F.col("recency_days").isNull() | F.col("frequency").isNull()
-                                   | F.col("monetary").isNull())))
-    parts.append(_reconcile("RFM: segment counts sum to total customers",
-                            rfm.agg(F.count(F.lit(1)).alias("_l")),
-                            m.customers.agg(F.count(F.lit(1)).alias("_r"))))
-    ltv_total = mart_customer_revenue(m).agg(F.sum("lifetime_revenue_to_date").alias("_l"))
-    parts.append(_reconcile("LTV: sum of customer lifetime LTV = sum of order revenue", ltv_total,
-                            m.orders.agg(F.sum("order_amount").alias("_r")), round2=True))
-
-    cust = mart_customer_revenue(m).groupBy(F.col("acquisition_channel_name").alias("channel_name")).agg(
-        F.sum("lifetime_revenue_to_date").alias("_cust"))
-    camp = mart_campaign_revenue(m).groupBy("channel_id").agg(F.sum("revenue_lifetime_to_date").alias("_camp"))
-    zero = F.lit(0)
-    diffs = m.channels.join(cust, "channel_name", "left").join(camp, "channel_id", "left").select(
-        (F.coalesce("_cust", zero) - F.coalesce("_camp", zero)).alias("_diff"))
-    parts.append(_single(
-        "LTV: channel-level revenue (customer mart) = channel-level revenue (campaign mart)",
-        diffs, F.round(F.coalesce(F.sum(F.abs("_diff")), zero), 2)))
-
-    parts.append(_reconcile("LTV:CAC: total customers across channels = total customers table",
-                            mart_campaign_funnel(m).agg(F.sum("acquired_customer_count").alias("_l")),
-                            m.customers.agg(F.count(F.lit(1)).alias("_r"))))
-    parts.append(_reconcile("Profitability: total revenue_lifetime reconciles with Phase 2 mart",
-                            mart_campaign_revenue(m).agg(F.sum("revenue_lifetime_to_date").alias("_l")),
-                            mart_customer_revenue(m).agg(F.sum("lifetime_revenue_to_date").alias("_r")),
-                            round2=True))
-    parts.append(_reconcile("Profitability: total spend reconciles with Phase 2 mart",
-                            mart_campaign_spend(m).agg(F.sum("total_spend").alias("_l")),
-                            m.daily_campaign_spend.agg(F.sum("spend_amount").alias("_r")),
-                            round2=True))
-    return _finish(parts, sort)
+    """Cohort, RFM, LTV, LTV:CAC and profitability invariants, as expressions over one row (``_invariant_facts``)."""
+    f = F.col
+    gap = lambda left, right: F.abs(f(left) - f(right))
+    entry = lambda entries, key: f"coalesce(element_at(transform(filter({entries}, x -> x.{key} = c.{key}), x -> x.money), 1), 0)"
+    apart = f"abs({entry('customer_side', 'channel_name')} - {entry('campaign_side', 'channel_id')})"
+    by_channel = F.expr(f"aggregate(channels, cast(0 as decimal(38, 2)), (t, c) -> cast(t + {apart} as decimal(38, 2)))")
+    df = _rows(_invariant_facts(m), [
+        ("Cohort: every customer maps to exactly one cohort_month", f("cohort_conflicts")),
+        ("Cohort: retention_rate_pct never exceeds 100", f("rates_above")),
+        ("Cohort: sum of cohort sizes = total customers", gap("cohort_size", "customer_records")),
+        ("RFM: every customer appears exactly once", f("scored_repeatedly")),
+        ("RFM: no null recency/frequency/monetary values", f("scored_incomplete")),
+        ("RFM: segment counts sum to total customers", gap("scored", "customer_records")),
+        ("LTV: sum of customer lifetime LTV = sum of order revenue", F.round(gap("lifetime_value", "order_amount"), 2)),
+        ("LTV: channel-level revenue (customer mart) = channel-level revenue (campaign mart)", F.round(by_channel, 2)),
+        ("LTV:CAC: total customers across channels = total customers table", gap("acquired_customer_count", "customer_records")),
+        ("Profitability: total revenue_lifetime reconciles with Phase 2 mart", F.round(gap("campaign_revenue", "lifetime_value"), 2)),
+        ("Profitability: total spend reconciles with Phase 2 mart", F.round(gap("total_spend", "spend_amount"), 2)),
+    ])
+    return _finish([df], sort)
+
+
+def _customer_levels(m: Model) -> DataFrame:
+    """Customers summed by customer and by channel in one grouping (``customer_level`` tells which).
+
+    A customer's rows in the RFM mart are its copies with an order: scoring adds
+    columns by comparing with cut keys and neither adds nor drops a row, so nobody is ranked here.
+    """
+    month = F.trunc("signup_date", "month")
+    scored = F.col("copy_order_rows") > 0
+    incomplete = F.col("last_order_date").isNull() | F.col("reference_date").isNull() | F.col("copy_revenue").isNull()
+    rows = stg_customer_totals(m).crossJoin(reference_row(m)).select(
+        "customer_id", "channel_name",
+        F.when(month <= F.col("reference_month"), month).alias("cohort"),
+        F.when(scored, F.col("copies")).otherwise(F.lit(0)).alias("scored"),
+        F.when(scored & incomplete, F.col("copies")).otherwise(F.lit(0)).alias("incomplete"),
+        F.coalesce("revenue", F.lit(0).cast(SUM_MONEY)).alias("money"))
+    return rows.groupingSets([["customer_id"], ["channel_name"]], "customer_id", "channel_name").agg(
+        (F.grouping("customer_id") == 0).alias("customer_level"),
+        (F.min("cohort") != F.max("cohort")).alias("conflict"),
+        F.sum("scored").alias("scored"), F.sum("incomplete").alias("incomplete"), F.sum("money").cast(SUM_MONEY).alias("money"))
+
+
+def _invariant_facts(m: Model) -> DataFrame:
+    """All counts and sums of the invariants as one row: partial rows of every mart and table, united and summed once.
+
+    The marts that are compared are computed apart (customer totals, campaign
+    revenue), so that a difference shows. Lists hold one entry per channel.
+    """
+    at_customer, at_channel = F.col("customer_level"), ~F.col("customer_level")
+    one = lambda condition: F.when(condition, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+    parts = [
+        _customer_levels(m).select(
+            one(at_customer & F.col("conflict")).alias("cohort_conflicts"),
+            one(at_customer & (F.col("scored") > 1)).alias("scored_repeatedly"),
+            F.when(at_customer, F.col("incomplete")).alias("scored_incomplete"),
+            F.when(at_customer, F.col("scored")).alias("scored"),
+            F.when(at_customer, F.col("money")).alias("lifetime_value"),
+            F.when(at_channel, F.struct("channel_name", "money")).alias("customer_side")),
+        mart_campaign_revenue(m).groupBy("channel_id").agg(F.sum("revenue_lifetime_to_date").cast(SUM_MONEY).alias("money")).select(
+            F.col("money").alias("campaign_revenue"), F.struct("channel_id", "money").alias("campaign_side")),
+        m.channels.select(F.struct("channel_id", "channel_name").alias("channels")),
+        mart_channel_retention(m).select(one(F.col("retention_rate_pct") > 100).alias("rates_above")),
+        cohort_sizes(m).select("cohort_size"),
+        m.customers.select(F.lit(1).cast("bigint").alias("customer_records")),
+        mart_campaign_funnel(m).select("acquired_customer_count"),
+        mart_campaign_spend(m).select("total_spend"),
+        m.daily_campaign_spend.select("spend_amount"),
+        m.orders.select("order_amount"),
+    ]
+    met = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    listed = ("customer_side", "campaign_side", "channels")
+    counts = ("cohort_conflicts", "scored_repeatedly", "scored_incomplete", "scored", "rates_above", "customer_records")
+    return met.agg(
+        *(F.collect_list(c).alias(c) for c in listed),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts),  # sums of no rows are NULL elsewhere, as reconciliations want them
+        *(F.sum(c).alias(c) for c in met.columns if c not in (*listed, *counts)))
 
 
 # -------------------------------------------------------------- V14-V15 (informational)

@@ -64,6 +64,20 @@ def test_check_suites_read_no_table_more_than_twice(spark, tmp_path):
     assert max(scans(_without_aqe(spark, lambda: quality.constraint_checks(m))).values()) <= 2
 
 
+def test_invariants_rank_nobody(spark, tmp_path):
+    write_model(fresh(spark), str(tmp_path / "model"))
+    m = read_parquet_model(spark, str(tmp_path / "model"))
+    m.persist = False
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    spark.sparkContext.setJobGroup("invariants", "building the plan")
+    text = _without_aqe(spark, lambda: quality.analytics_checks(m))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("invariants")  # no checkpoint, no cut keys
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    found = scans(text)
+    assert found["leads"] == 1 and found["daily_campaign_spend"] == 2
+    assert text.count("Exchange hashpartitioning") <= 30 and "Window" not in text
+
+
 def test_retention_reads_customers_and_orders_once(spark, tmp_path):
     write_model(fresh(spark), str(tmp_path / "model"))
     m = read_parquet_model(spark, str(tmp_path / "model"))
