@@ -111,3 +111,39 @@ def test_cluster_without_checkpoint_folder_is_an_error():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="yarn")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def test_versioned_load_is_all_or_nothing(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from acqlens.sources.driver import model_from_driver
+    from acqlens.sources.files import load_version, read_version
+    from acqlens.sources.model import TABLES
+
+    place = str(tmp_path / "model")
+    m = model_from_driver(spark, "/root/testdata/sf0.001")
+    counts = {name: m.table(name).count() for name in TABLES}
+    assert load_version(m, place, partition_months=True) == counts
+    assert {name: df.count() for name, df in read_version(spark, place).tables().items()} == counts
+
+    broken = m.replace(customers=m.customers.limit(3), orders=m.orders.withColumn("order_amount", F.raise_error(F.lit("broken row")).cast("decimal(18,2)")))
+    with pytest.raises(Exception, match="broken row"):
+        load_version(broken, place)
+    assert read_version(spark, place).customers.count() == counts["customers"]  # not the three of the load that failed
+
+    old = read_version(spark, place)
+    assert load_version(old.replace(orders=old.orders.where("order_id % 2 = 0")), place)["orders"] < counts["orders"]  # over its own folder
+    assert read_version(spark, place).orders.where("order_id % 2 = 1").count() == 0
+    assert read_version(spark, place, number=1).orders.count() == counts["orders"]
+    with pytest.raises(ValueError, match="no complete load"):
+        read_version(spark, place, number=9)
+
+
+def test_versioned_load_of_empty_tables(spark, tmp_path):
+    from acqlens.sources.files import load_version, read_version
+    from acqlens.sources.model import TABLES
+    from fixtures import make_model
+
+    assert load_version(make_model(spark), str(tmp_path / "m"), partition_months=True) == dict.fromkeys(TABLES, 0)
+    assert all(df.count() == 0 for df in read_version(spark, str(tmp_path / "m")).tables().values())
