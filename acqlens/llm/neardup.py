@@ -6,7 +6,13 @@
    share a band hash hang on the least class of the bucket, so a bucket of m
    classes makes m - 1 edges, never m^2 pairs.
 3. Components of these edges are the candidate groups. Every link with a band
-   collision lies inside one, and groups without any chance collision are small.
+   collision lies inside one. Chance collisions can chain many texts over one template
+   into a large group although few of them are similar, so a group of more than one
+   chunk is tightened without loss (``_tightened``): two sets with a Jaccard similarity
+   of t share one of the q - ceil(t q) + 1 shingles of each that come first in any
+   common order. The order is by how often a shingle occurs in large groups, so what
+   all copies of a template share comes last. Texts that share such a shingle form
+   the new, smaller groups.
 4. Inside a group all pairs are verified on the full shingle sets. Small groups
    are dealt together to tasks of bounded size; a large one is cut into chunks and
    each pair of chunks is a task, so one group is spread over many tasks. The
@@ -36,13 +42,15 @@ from pyspark.sql import functions as F
 
 from acqlens.llm import words as W
 from acqlens.llm.components import components
-from acqlens.llm.storage import bitmap, few, held, list_of, now_named, set_aside, settle
+from acqlens.llm.storage import bitmap, few, filter_bits, held, list_of, now_named, set_aside, settle
 
 SHINGLE = 5
 THRESHOLD = 0.8
 RECALL = 0.995
 CHUNK_SHINGLES = 1 << 20  # shingles of one chunk of classes (8 MB of keys)
 CHUNK_CLASSES = 1024
+CELLS = 1 << 18  # cells of the table of shingle counts that orders the shingles of large groups (2 MB)
+PACK_SHINGLES = CHUNK_SHINGLES >> 3  # shingles that small groups bring to a task, on average at most
 DENSE = 64  # shingles in more classes than this are counted by matrix product
 
 
@@ -128,6 +136,65 @@ def _passing(bits: np.ndarray):
     return keep
 
 
+def _cells(keys: np.ndarray) -> np.ndarray:
+    return (W.mix(keys) >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
+
+
+def _count_cells(batches):
+    """Arrow function: (text) to (cell, n), the shingles of each cell, summed over the task."""
+    total = np.zeros(CELLS, dtype=np.int64)
+    for whole in batches:
+        for batch in W.slices(whole, "text"):
+            values, _ = W.shingles(batch.column("text"), SHINGLE)
+            total += np.bincount(_cells(values), minlength=CELLS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "n"])
+
+
+def prefix(keys: np.ndarray, often: np.ndarray, threshold: float) -> np.ndarray:
+    """Those keys of a set, rarest first, of which it shares one with every set as similar as the threshold."""
+    need = max(1, math.ceil(threshold * len(keys) - 1e-9))
+    return keys[np.lexsort((keys, often[_cells(keys)]))[: len(keys) - need + 1]]
+
+
+def _prefixes(often: np.ndarray, threshold: float):
+    """Arrow function: (node, root, text) to (node, root, keys)."""
+
+    def first(batches):
+        for whole in batches:
+            for batch in W.slices(whole, "text"):
+                values, bounds = W.shingles(batch.column("text"), SHINGLE)
+                keys = [prefix(np.unique(values[a:b]), often, threshold).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node"), batch.column("root"), pa.array(keys, type=pa.list_(pa.int64()))], names=["node", "root", "keys"])
+
+    return first
+
+
+def _bucket_edges(members: DataFrame, *key: str) -> DataFrame:
+    """Each node of a bucket hangs on the bucket's least node; a bucket of m nodes makes m - 1 edges."""
+    least = members.groupBy(*key).agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return members.join(least, list(key)).select("node", "low").where("node <> low")
+
+
+def _tightened(large: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(node, root) of the smaller groups within large ones: nodes joined by shingles of their prefixes."""
+    with_text = large.select("node", "root", "cls").join(texts, "cls").select("node", "root", "text")
+    counts = with_text.select("text").mapInArrow(_count_cells, "cell bigint, n bigint").groupBy("cell").agg(
+        F.sum("n").alias("n")).toArrow()  # at most CELLS rows
+    often = np.zeros(CELLS, dtype=np.int64)
+    often[counts.column("cell").to_numpy()] = counts.column("n").to_numpy()
+    keyed = settle(with_text.mapInArrow(_prefixes(often, threshold), "node bigint, root bigint, keys array<bigint>"))
+    return components(_bucket_edges(keyed.select("node", "root", F.explode("keys").alias("key")), "root", "key"), "node", "low")
+
+
+def _placed(members: DataFrame) -> DataFrame:
+    """Members (node, root, ..., size) with the number of chunks of their group and their chunk."""
+    totals = members.groupBy("root").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("c")).select(
+        "root", F.greatest(F.ceil(F.col("s") / CHUNK_SHINGLES), F.ceil(F.col("c") / CHUNK_CLASSES)).alias("chunks"))
+    return members.join(totals, "root").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)"))
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Matrix of the number of keys that each two of these sorted key sets share."""
     n = len(sets)
@@ -217,21 +284,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
              F.first("mark").alias("mark"), F.first("size").alias("size"), F.first("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id()))
 
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = banded.join(least, "band").select("node", "low").where("node <> low")
-    groups = components(edges, "node", "low")
-
-    cost = classes.join(groups, "node").select("node", "root", "cls", "mark", "copies", "size")
-    totals = cost.groupBy("root").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("c")).select(
-        "root", "s", F.greatest(F.ceil(F.col("s") / CHUNK_SHINGLES), F.ceil(F.col("c") / CHUNK_CLASSES)).alias("chunks"))
-    placed = settle(cost.join(totals, "root").withColumn("chunk", F.expr("pmod(xxhash64(node), chunks)")))
+    groups = components(_bucket_edges(classes.select("node", F.explode("bands").alias("band")), "band"), "node", "low")
+    placed = settle(_placed(classes.join(groups, "node").select("node", "root", "cls", "mark", "copies", "size")))
+    texts = (source.select("text").mapInArrow(_passing(bitmap(placed, "mark", filter_bits(placed.count()))), "cls binary, text string")
+             .groupBy("cls").agg(F.first("text").alias("text")))
+    large = placed.where("chunks > 1")
+    if large.limit(1).count():
+        texts = settle(texts)
+        members = large.drop("root", "chunks", "chunk").join(_tightened(large, texts, threshold), "node")
+        placed = settle(placed.where("chunks = 1").unionByName(_placed(members)))
     whole = placed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first().s
-    packs = max(1, math.ceil(whole / CHUNK_SHINGLES))
+    packs = max(1, math.ceil(whole / PACK_SHINGLES))
 
-    bits = bitmap(placed, "mark")
-    texts = (source.select("text").mapInArrow(_passing(bits), "cls binary, text string")
-             .groupBy("cls").agg(F.first("text").alias("text")))
     # One task for each pair of chunks of a large group; small groups are dealt together.
     pair = F.expr("""
         inline(if(chunks = 1, array(struct(0L as i, 0L as j)),

@@ -76,6 +76,71 @@ def test_large_near_copy_group_is_cut_into_chunks(make_docs, monkeypatch):
     assert joined(neardup.jaccard_join(make_docs(rows))) == brute_join(rows)
 
 
+def template_corpus(n, seed):
+    """Texts that keep 110 words of a template (similarity about 0.3 to 0.6), and copies of some with one changed word."""
+    rng = random.Random(seed)
+    base = [f"t{k}" for k in range(150)]
+    texts = []
+    for i in range(n):
+        own = [f"o{i}_{k}" for k in range(40)]
+        texts.append(" ".join(base[:110] + own if i % 2 else own + base[40:]))
+    for i in range(0, n, 7):
+        w = texts[i].split()
+        w[rng.randrange(len(w))] = f"x{i}"
+        texts.append(" ".join(w))
+    return list(enumerate(texts))
+
+
+def test_template_group_is_tightened_without_loss(make_docs, monkeypatch):
+    """Chance collisions chain all texts of a template; only similar ones are left together for verification."""
+    monkeypatch.setattr(neardup, "CHUNK_CLASSES", 8)
+    groups = []
+    tighten = neardup._tightened
+
+    def seen(large, texts, threshold):
+        found = tighten(large, texts, threshold)
+        groups.append((large.groupBy("root").count().agg(F.max("count")).first()[0],
+                       found.groupBy("root").count().agg(F.max("count")).first()[0]))
+        return found
+
+    monkeypatch.setattr(neardup, "_tightened", seen)
+    rows = template_corpus(140, 8)
+    assert joined(neardup.jaccard_join(make_docs(rows))) == brute_join(rows)
+    (before, after), = groups
+    assert before > 8 and after <= 4
+
+
+def test_prefixes_of_similar_sets_meet():
+    """Whatever the table of counts: two sets at the threshold share a key of their prefixes."""
+    rng = np.random.default_rng(4)
+    for size in (1, 2, 4, 5, 9, 10, 37, 200):
+        often = rng.integers(0, 5, neardup.CELLS)
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 1 << 60, size).astype(np.uint64))
+            swap = rng.integers(0, size // 4 + 1)
+            b = np.unique(np.concatenate([a[rng.permutation(len(a))[swap:]], rng.integers(0, 1 << 60, swap // 2).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if both / (len(a) + len(b) - both) >= 0.8:
+                assert len(np.intersect1d(neardup.prefix(a, often, 0.8), neardup.prefix(b, often, 0.8)))
+
+
+def test_planted_pairs_are_found(make_docs):
+    """600 pairs at similarities from 0.8 up to 0.9: at least 0.99 of the links are found, and none below 0.8."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(600):
+        w = [f"p{k}_{i}" for i in range(104)]
+        other = list(w)
+        other[rng.randrange(4, 100)] = f"y{k}"
+        if k % 2:
+            other[rng.randrange(4, 100)] = f"z{k}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    want = {r for r in brute_join(rows)}
+    got = set(joined(neardup.jaccard_join(make_docs(rows))))
+    links = sum(r[2] for r in want)
+    assert links >= 600 and sum(r[2] for r in got) >= 0.99 * links and all(g[2] <= 1 for g in got)
+
+
 def test_one_per_group(make_docs):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(3, text), (2, text + " more"), (9, "other words that stand alone here"), (9, "other words that stand alone here"), (4, None)]
