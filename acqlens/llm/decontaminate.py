@@ -1,17 +1,20 @@
-"""Benchmark decontamination: size-dependent MinHash sketches of the items, exact verification on whole documents.
+"""Benchmark decontamination: size-partitioned MinHash containment search, exact verification on whole documents.
 
 A test item is a small set of five-word shingles, a document a large one, so
-their Jaccard similarity says little; containment is counted instead. An item of
-q shingles is contained with at least t if a document holds at least c = ceil(t q)
-of them, wherever they stand, so such a document holds at least one of any
-q - c + 1 of the item's shingles. The q - c + 1 least shingle hashes (the item's
-bottom-k MinHash sketch, k by its size) are its keys: no contained item is missed.
-
-Keys and shingles of the items go into two bitmaps of fixed size. Documents are
+their Jaccard similarity says little; containment is estimated instead. Items are
+partitioned by size (shingle counts from a power of two up to the next), and each
+partition has a sketch setting of its own (``setting``): an item of q shingles is
+contained with at least t if a document holds at least c = ceil(t q) of them, wherever
+they stand, so it misses at most q - c. With a bottom-k MinHash sketch of the
+k = q - c + h least shingle hashes it holds at least h of them. Partitions of larger
+items ask for more hits h, so that one shingle that many items and many documents have
+makes no candidate; no contained item is missed, whatever the partition.
+
+Keys and shingles of the items go into two bitmaps sized by their counted number (at most 64 MB). Documents are
 scanned once, map-side: a document with a key keeps those of its shingles that an
 item may have. Equal sets (of documents, of items) are handled once, under a
-64-bit mark. Candidate pairs come from a join on the key; each pair's shingles are
-then counted by a join on (document's mark, shingle), so no row carries more than
+64-bit mark. Candidate pairs are the (document, item) with the hits that the item's
+partition asks for, counted after a join on the key; each pair's shingles are then counted by a join on (document's mark, shingle), so no row carries more than
 one shingle and a long document with many items is spread over tasks.
 
 Result: one row per (document, item) with the share of the item's distinct
@@ -34,19 +37,23 @@ from pyspark.sql import functions as F
 
 from acqlens.llm import words as W
 from acqlens.llm.neardup import SHINGLE
-from acqlens.llm.storage import bitmap, few, held, now_named, set_aside, settle
+from acqlens.llm.storage import bitmap, few, filter_bits, held, now_named, set_aside, settle
 
 CONTAINMENT = 0.8
 
 
-def sketch_size(size: int, containment: float = CONTAINMENT) -> int:
-    """Of so many shingles of an item of ``size`` every document that contains it holds at least one."""
+def setting(size: int, containment: float = CONTAINMENT) -> tuple[int, int]:
+    """(k, h) of an item of ``size``: a document that contains it holds at least h of its k least shingle hashes.
+
+    h is an eighth of the least size of the item's partition, and at least one.
+    """
     least = math.ceil(containment * size)
     while least and (least - 1) / size >= containment:  # the quotient decides, as in the verification
         least -= 1
     while least / size < containment:
         least += 1
-    return min(size - least + 1, size)
+    hits = min(max(1, (1 << size.bit_length() - 1) >> 3), max(1, least))
+    return min(size - least + hits, size), hits
 
 
 def _sets(column: pa.Array) -> list[np.ndarray]:
@@ -61,14 +68,15 @@ def _mark(shingles: np.ndarray) -> int:
     return int(W.mix(np.array([W.mix(shingles * np.uint64(W.GOLDEN)).sum(dtype=np.uint64) + np.uint64(len(shingles))])).view(np.int64)[0])
 
 
-def _rows(id_name: str, mark_name: str, ids: pa.Array, keys: list[np.ndarray], sets: list[np.ndarray]) -> pa.RecordBatch:
+def _rows(id_name: str, mark_name: str, ids: pa.Array, keys: list[np.ndarray], sets: list[np.ndarray], **more) -> pa.RecordBatch:
     lists = [pa.array([x.view(np.int64) for x in column], type=pa.list_(pa.int64())) for column in (keys, sets)]
-    return pa.RecordBatch.from_arrays([ids, pa.array([_mark(x) for x in sets], type=pa.int64()), *lists],
-                                      names=[id_name, mark_name, "keys", "shingles"])
+    numbers = [pa.array(x, type=pa.int64()) for x in more.values()]
+    return pa.RecordBatch.from_arrays([ids, pa.array([_mark(x) for x in sets], type=pa.int64()), *lists, *numbers],
+                                      names=[id_name, mark_name, "keys", "shingles", *more])
 
 
 def itemiser(containment: float):
-    """Arrow function: (item, text) to (item, set, keys, shingles)."""
+    """Arrow function: (item, text) to (item, set, keys, shingles, hits); hits is what a candidate document needs."""
 
     def itemise(batches):
         for whole in batches:
@@ -76,8 +84,9 @@ def itemiser(containment: float):
                 sets = _sets(batch.column("text"))
                 rows = [d for d, s in enumerate(sets) if len(s)]
                 sets = [sets[d] for d in rows]
+                settings = [setting(len(s), containment) for s in sets]
                 yield _rows("item", "item_set", batch.column("item").take(pa.array(rows, type=pa.int64())),
-                            [s[: sketch_size(len(s), containment)] for s in sets], sets)
+                            [s[:k] for s, (k, _) in zip(sets, settings, strict=True)], sets, hits=[h for _, h in settings])
 
     return itemise
 
@@ -106,16 +115,17 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """(id, item id, containment) of every item found in a document; see the module text."""
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, id_col), (items, item_id_col)))
     index = settle(items.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("text")).mapInArrow(
-        itemiser(containment), f"item {item_kind}, item_set bigint, keys array<bigint>, shingles array<bigint>"))
+        itemiser(containment), f"item {item_kind}, item_set bigint, keys array<bigint>, shingles array<bigint>, hits bigint"))
     item_sets = index.dropDuplicates(["item_set"])
-    keyed = item_sets.select("item_set", F.explode("keys").alias("key"))
+    keyed = item_sets.select("item_set", "hits", F.explode("keys").alias("key"))
     parts = item_sets.select("item_set", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     hits = settle(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        searcher(bitmap(keyed, "key"), bitmap(parts, "shingle")),
+        searcher(*(bitmap(x, c, filter_bits(x.count())) for x, c in ((keyed, "key"), (parts, "shingle")))),
         f"id {kind}, doc_set bigint, keys array<bigint>, shingles array<bigint>"))
     doc_sets = hits.dropDuplicates(["doc_set"])
     pairs = (doc_sets.select("doc_set", F.explode("keys").alias("key")).join(keyed, "key")
-             .select("doc_set", "item_set").distinct())
+             .groupBy("doc_set", "item_set").agg(F.count(F.lit(1)).alias("met"), F.first("hits").alias("hits"))
+             .where("met >= hits").select("doc_set", "item_set"))
     counted = (
         pairs.join(parts, "item_set")
         .join(doc_sets.select("doc_set", F.explode("shingles").alias("shingle")), ["doc_set", "shingle"])

@@ -217,6 +217,33 @@ def test_items_with_inserted_words_are_counted_over_the_whole_document(spark, ma
     assert got == want and {(k, 0) for k in range(len(inserted))} <= want
 
 
+def test_settings_miss_no_contained_item():
+    """In each partition: without any q - c of its shingles a document still holds h of the k least."""
+    for q in range(1, 600):
+        k, h = decontaminate.setting(q)
+        missed = next(m for m in range(q, -1, -1) if (q - m) / q >= 0.8)
+        assert 1 <= h <= k <= q and k - missed >= h
+    assert [decontaminate.setting(q)[1] for q in (1, 15, 16, 31, 32, 64, 128)] == [1, 1, 2, 2, 4, 8, 16]
+
+
+def test_recall_is_whole_in_every_size_partition(spark, make_docs):
+    """Items of each size partition, in documents that lack about as many shingles as may be lacking."""
+    rng = random.Random(21)
+    items, docs = [], []
+    for number, q in enumerate((6, 12, 20, 30, 40, 60, 90, 120, 200, 300)):
+        words_ = [f"m{number}_{i}" for i in range(q + 4)]
+        items.append((number, " ".join(words_)))
+        for t in range(12):
+            changed = list(words_)
+            for _ in range(max(1, int(0.2 * q) // 5 + t % 2)):
+                changed[rng.randrange(len(changed))] = f"c{rng.randrange(10**7)}"
+            docs.append((len(docs), " ".join([*(f"f{rng.randrange(10**4)}" for _ in range(300)), *changed])))
+    frame = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(make_docs(docs), frame).collect()}
+    want = brute_leaks(docs, items)
+    assert got == want and {i for _, i in want} >= set(range(2, 10)) and len(want) < len(docs)
+
+
 def test_leaks_of_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.leaks(make_docs([(1, "a b c d e f")]), none).collect() == []
