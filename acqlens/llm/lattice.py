@@ -1,8 +1,8 @@
 """Subword lattice scoring: the marginal probability of a text over all its segmentations.
 
-The pieces come from an existing vocabulary file; its scores (ranks) give the
-starting piece probabilities, which expectation-maximisation re-estimates on the
-distinct training words. Pieces do not cross word borders, so a text's marginal
+The pieces come from an existing vocabulary file; its scores (ranks) give piece
+probabilities, which are the start and the prior (one pseudo-count per piece on average,
+dealt by the scores) of expectation-maximisation on the distinct training words. Pieces do not cross word borders, so a text's marginal
 probability is the product of its words' and of the end token's.
 
 A word's lattice has one more edge, from its start to its end: the word as a
@@ -264,7 +264,8 @@ def _expected_pieces(path: str, logp: np.ndarray):
 def fit(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Natural-log probabilities of the pieces, the fallback byte and the end, by EM over the word table.
 
-    Each distinct training word counts once, as each gives one discount to the pieces.
+    Each distinct training word counts once, as each gives one discount to the pieces. The
+    vocabulary's scores are the prior: pseudo-counts, on average one per piece.
     """
     vocab = vocabulary(path)
     logp = vocab.start
@@ -272,7 +273,7 @@ def fit(words: DataFrame, path: str, rounds: int = ROUNDS) -> np.ndarray:
     for _ in range(rounds):
         rows = seen.mapInArrow(_expected_pieces(path, logp), "piece bigint, n double").groupBy("piece").agg(
             F.sum("n").alias("n")).collect()  # one row per vocabulary piece at most
-        n = np.ones(vocab.n + 2)
+        n = (vocab.n + 2) * np.exp(vocab.start)
         n[vocab.n + 1] += 1
         for r in rows:
             n[r.piece] += r.n
