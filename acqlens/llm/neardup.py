@@ -49,7 +49,7 @@ THRESHOLD = 0.8
 RECALL = 0.995
 CHUNK_SHINGLES = 1 << 20  # shingles of one chunk of classes (8 MB of keys)
 CHUNK_CLASSES = 1024
-CELLS = 1 << 18  # cells of the table of shingle counts that orders the shingles of large groups (2 MB)
+CELLS = 1 << 16  # cells of the table of shingle counts that orders the shingles of large groups (512 kB)
 PACK_SHINGLES = CHUNK_SHINGLES >> 3  # shingles that small groups bring to a task, on average at most
 DENSE = 64  # shingles in more classes than this are counted by matrix product
 
@@ -188,6 +188,14 @@ def _tightened(large: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     return components(_bucket_edges(keyed.select("node", "root", F.explode("keys").alias("key")), "root", "key"), "node", "low")
 
 
+def _loose(large: DataFrame, classes: DataFrame, bands: int, agree: float) -> DataFrame:
+    """The roots of large groups whose members have less than the share ``agree`` of bands in common with the least member."""
+    member = large.select("node", "root").join(classes.select("node", "bands"), "node")
+    least = member.groupBy("root").agg(F.min_by("bands", "node").alias("low_bands"))
+    return settle(member.join(least, "root").groupBy("root").agg(
+        F.avg(F.size(F.array_intersect("bands", "low_bands"))).alias("common")).where(F.col("common") < agree * bands).select("root"))
+
+
 def _placed(members: DataFrame) -> DataFrame:
     """Members (node, root, ..., size) with the number of chunks of their group and their chunk."""
     totals = members.groupBy("root").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("c")).select(
@@ -288,11 +296,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = settle(_placed(classes.join(groups, "node").select("node", "root", "cls", "mark", "copies", "size")))
     texts = (source.select("text").mapInArrow(_passing(bitmap(placed, "mark", filter_bits(placed.count()))), "cls binary, text string")
              .groupBy("cls").agg(F.first("text").alias("text")))
-    large = placed.where("chunks > 1")
-    if large.limit(1).count():
+    loose = _loose(placed.where("chunks > 1"), classes, bands, threshold**rows / 2)
+    if loose.limit(1).count():
+        large = placed.join(loose, "root", "left_semi")
         texts = settle(texts)
         members = large.drop("root", "chunks", "chunk").join(_tightened(large, texts, threshold), "node")
-        placed = settle(placed.where("chunks = 1").unionByName(_placed(members)))
+        placed = settle(placed.join(loose, "root", "left_anti").unionByName(_placed(members)))
     whole = placed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s")).first().s
     packs = max(1, math.ceil(whole / PACK_SHINGLES))
 
